@@ -8,12 +8,15 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodeframe.session import ship
+
 #: A key is hot when it holds at least one row in HOT_SHARE of all rows, so that
 #: there are at most HOT_SHARE hot keys whatever the size of the data.
 HOT_SHARE = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
