@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodeframe.llm import bpe, decontam, omh, pii, toxicity
 from lodeframe.llm.common import checkpoint, table
+from lodeframe.session import ship
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,6 +14,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     return omh.remove_near_duplicates(docs)
 
 
@@ -21,10 +23,12 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     return pii.remove_personal_data(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     return bpe.encode_documents(docs)
 
 
