@@ -155,7 +155,8 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(sent.value)
         for texts in batches:
-            yield pd.DataFrame([scorer.predict(t) for t in texts], columns=["lang_pred", "score"])
+            found = [scorer.predict(t) for t in texts]
+            yield pd.DataFrame({"lang_pred": pd.Series([x for x, _ in found], dtype=object), "score": pd.Series([x for _, x in found], dtype=float)})
 
     held = F.coalesce(held_out(F.col("doc_id")), F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), predict(F.col("text").cast("string")).alias("p"))

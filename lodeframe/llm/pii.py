@@ -239,7 +239,7 @@ def pseudonymised(text: Column, key: bytes = KEY) -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             out = [(None, None) if t is None else replaced(t, key) for t in texts]
-            yield pd.DataFrame({"text": [t for t, _ in out], "entities": [None if f is None else [dict(zip(("start", "end", "kind", "surrogate"), x)) for x in f] for _, f in out]})
+            yield pd.DataFrame({"text": pd.Series([t for t, _ in out], dtype=object), "entities": [None if f is None else [dict(zip(("start", "end", "kind", "surrogate"), x)) for x in f] for _, f in out]})
 
     return run(text.cast("string"))
 

@@ -1,7 +1,8 @@
 """Sharding by proportional stratified interleaving.
 
 The rows of each source are ranked in a seeded shuffle. Row r of n gets the fraction
-(2r - 1) / 2n, all rows are put in the order of their fractions, and the order is cut
+(r - u) / n, where u, between 0 and 1, is drawn by a hash for each source, so that sources of one
+size do not step together. All rows are put in the order of their fractions, and the order is cut
 into equal runs. Any run then holds of each source its share of the rows, to within
 rounding, and the sizes of shards differ by one row at most (law ``rows``).
 
@@ -37,6 +38,11 @@ def _slice_of_key(slices: int) -> Column:
     return (F.conv(F.substring("__key", 1, 8), 16, 10).cast("long") * slices / F.lit(1 << 32)).cast("long")
 
 
+def _start(seed: str) -> Column:
+    drawn = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), "__source")), 1, 8), 16, 10).cast("double")
+    return (drawn + 0.5) / F.lit(float(1 << 32))
+
+
 def shard(docs: DataFrame, shards: int = 24, seed: str = SEED, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard and source of every row."""
     data = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
@@ -50,7 +56,7 @@ def shard(docs: DataFrame, shards: int = 24, seed: str = SEED, slice_rows: int =
         F.crc32(data).alias("text_crc32"),
     ).withColumn("__slice", _slice_of_key(slices))
     ranked = _ranked(rows, ["__source"], "__slice", ["__key", "doc_id", "size", "text_crc32"], "__rank").drop("__slice")
-    rows = ranked.withColumn("__fraction", (2 * F.col("__rank") - 1) / (2 * F.col("__n"))).drop("__rank", "__n")
+    rows = ranked.withColumn("__fraction", (F.col("__rank") - _start(seed)) / F.col("__n")).drop("__rank", "__n")
     rows = rows.withColumn("__slice", (F.col("__fraction") * slices).cast("long")).withColumn("__all", F.lit(0))
     placed = _ranked(rows, ["__all"], "__slice", ["__fraction", "__source", "__key", "doc_id", "size", "text_crc32"], "__place")
     at = F.col("__place") - 1
@@ -82,9 +88,9 @@ rows_ as (
          octet_length(encode(coalesce(text, ''))) + 8 as size, coalesce(crc, 0)::bigint as text_crc32
   from documents left join crcs using (text)),
 ranked as (
-  select *, row_number() over (partition by source order by k, doc_id, size, text_crc32) as r, count(*) over (partition by source) as n from rows_),
+  select *, (('0x' || substr(md5('{SEED}:' || coalesce('=' || source, '')), 1, 8))::bigint::double + 0.5) / 4294967296::double as u, row_number() over (partition by source order by k, doc_id, size, text_crc32) as r, count(*) over (partition by source) as n from rows_),
 placed as (
-  select *, row_number() over (order by (2 * r - 1)::double / (2 * n)::double, source, k, doc_id, size, text_crc32) - 1 as p, count(*) over () as total from ranked)
+  select *, row_number() over (order by (r::double - u) / n::double, source, k, doc_id, size, text_crc32) - 1 as p, count(*) over () as total from ranked)
 select doc_id, size::bigint as size, text_crc32, 'rows' as law, (p * 24 // total)::int as shard,
        (p - ((p * 24 // total) * total + 23) // 24)::bigint as slot, null::int as grown_shard, source
 from placed

@@ -32,6 +32,8 @@ SAMPLE, MOST, BITS, FOLDS = 12_000, 20_000, 20, 3
 MOST_KEPT = 300_000
 #: Rounds of the fit, weight of the penalty.
 ROUNDS, PENALTY = 150, 1.0
+#: The least cut: a text of which the models know nothing is not rejected.
+EVEN = 0.5 + 1e-6
 
 
 def hashed(word: str) -> tuple[int, ...]:
@@ -162,7 +164,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], sample: int
         hits = np.cumsum(y[order])
         f1 = 2 * hits / (np.arange(1, len(y) + 1) + max(1, y.sum()))
         f1[out[order] < 0.5] = -1
-        cuts.append(float(max(0.5, out[order][int(f1.argmax())])) if len(y) and f1.max() > 0 else 0.5)
+        cuts.append(float(max(EVEN, out[order][int(f1.argmax())])) if len(y) and f1.max() > 0 else EVEN)
         earlier = np.column_stack([earlier, out])
     return {"categories": categories, "kept": kept, "weights": weights, "cuts": cuts}
 

@@ -1,0 +1,283 @@
+"""Each operator against a plain version, and on odd input: nulls, empty and long texts, repeats, empty tables, extra columns."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lodeframe.llm import bpe, decontam, langid, licenses, omh, pii, sharding, topk, toxicity, urlfilter
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, toxic string"
+SCHEMA = "doc_id long, text string"
+
+
+def documents(spark, texts):
+    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), 0.5, "x") for i, t in enumerate(texts)], DOCS)
+
+
+def odd(spark):
+    rows = [(1, None, None, None, None, None, None), (2, "", "en", "a", 0, 1.0, "y"), (None, "no id at all", "en", "a", 12, 1.0, "y"), (4, "word " * 30_000, "en", None, 150_000, 1.0, "y"), (5, "same text here", "en", "a", 14, 1.0, "y"), (5, "same text here", "en", "a", 14, 1.0, "y"), (6, "%%% !!!", "de", "b", 7, None, None)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+def labels(spark, rows=((1, 1, 0), (2, 0, 1), (4, 1, 0), (4, 1, 0), (None, 1, 1), (9, None, 1))):
+    return spark.createDataFrame(list(rows), "doc_id long, quality int, toxic int")
+
+
+def benchmark(spark, rows):
+    return spark.createDataFrame(rows, "item_id long, text string")
+
+
+PER_ROW = {
+    "licenses": lambda s, d: licenses.scan(d),
+    "langid": lambda s, d: langid.train_and_identify(d),
+    "bpe": lambda s, d: bpe.encode_documents(d),
+    "sharding": lambda s, d: sharding.shard(d),
+    "toxicity": lambda s, d: toxicity.score_documents(d, labels(s)),
+    "pii": lambda s, d: pii.surrogates(d),
+    "omh": lambda s, d: omh.classes(d),
+    "decontam": lambda s, d: decontam.contamination(d, benchmark(s, [(1, "same text here"), (2, None), (None, "no id"), (3, "")])),
+}
+
+
+@pytest.mark.parametrize("name", PER_ROW)
+def test_odd_input_gives_a_row_each(spark, name):
+    assert PER_ROW[name](spark, odd(spark)).count() == 7
+    assert PER_ROW[name](spark, odd(spark).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("stage", [lambda s, d: toxicity.remove_toxic(d, labels(s)), lambda s, d: omh.remove_near_duplicates(d), lambda s, d: decontam.remove_contaminated(d, benchmark(s, [(1, "same text here")])), lambda s, d: pii.remove_personal_data(d)])
+def test_stages_keep_columns(spark, stage):
+    out = stage(spark, odd(spark))
+    assert out.columns == odd(spark).columns and 4 <= out.count() <= 7
+    assert stage(spark, odd(spark).limit(0)).count() == 0
+
+
+def test_license_rules(spark):
+    apache = "Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\nhttp://x"
+    rows = licenses.scan(documents(spark, ["Foo.\nReleased under the MIT License.", apache, "All rights reserved. Some text.", "plain prose", "LICENSED UNDER CC BY-NC 4.0.\nLicensed under CC BY-NC 4.0!"])).orderBy("doc_id").collect()
+    assert [r.verdict for r in rows] == ["MIT", "Apache-2.0", "unknown", "none", "CC-BY-NC-4.0"]
+    assert rows[1].n_known == 3 and rows[4].identifiers == "CCBYNC4Line,CCBYNC4Line"
+
+
+def test_every_known_sentence_has_an_anchor():
+    found = [s for s, i in licenses.EXACT.items() if not any(a in s for a in licenses.ANCHORS)]
+    assert all("cc" in s and "licen" in s for s in found) and all(any(a in s for a in licenses.ANCHORS) for s in licenses.STARTS)
+
+
+def test_languages_on_rows_that_were_held_out(spark):
+    made = random.Random(1)
+    parts = {"aa": "ba bo bu ka ko".split(), "bb": "zil zol zul xil xol".split()}
+    rows = [(i, " ".join("".join(made.choices(parts[lang], k=3)) for _ in range(20)), lang) for i, lang in enumerate(made.choices(["aa", "bb"], k=200))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = langid.train_and_identify(docs).join(docs, "doc_id").collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in out)
+    held = [r for r in out if r.held_out]
+    assert held and all(r.lang == r.lang_pred and 0 <= r.score <= 1 for r in held)
+    und = langid.train_and_identify(docs.unionByName(spark.createDataFrame([(900, "12 34 !", "aa"), (901, None, "aa")], docs.schema))).filter("doc_id >= 900").collect()
+    assert {(r.lang_pred, r.score) for r in und} == {("und", 0.0)}
+
+
+def test_url_rules(spark):
+    urls = [None, "nothing", "http://a.Example.com/en/1", "http://www.example.com/en/1?x=/", "https://x.net/es/2#f", "https://x.net/en/2", "http://y.com", "http://y.com/", "http://notnet/es/1", "net://net/fr/", "http://z.org?q=http://a.com/", "http://xcom/"]
+    pages = spark.createDataFrame([(i, u, "h", "p", "v") for i, u in enumerate(urls)], "page_id long, url string, host string, path string, verdict string")
+    out = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urlfilter.judge(pages).collect()}
+    assert out[0] == out[1] == ("", "", None, "allow")
+    assert out[2] == ("a.example.com", "/en/1", "example.com/en/", "block")
+    assert out[3] == ("www.example.com", "/en/1", "www.example.com/en/", "allow")
+    assert out[4] == ("x.net", "/es/2", "net/es/", "block") and out[5][2:] == (None, "allow")
+    assert out[6] == ("y.com", "", None, "allow") and out[7][2] == "com/" and out[8][2] is None
+    assert out[9][2:] == ("net/fr/", "block") and out[10][:2] == ("z.org", "") and out[11][2] is None
+    assert urlfilter.judge(pages.limit(0)).count() == 0
+
+
+def test_pure_templates_are_rejected(spark):
+    """Pages that differ from blocked ones by a spelling that no rule has are in the same template."""
+    rows = [(i, f"http://h.net/es/{i}") for i in range(40)] + [(100, "http://h.net//es/7"), (101, "http://h.net/en/7"), (102, "http://other.org/es/1")]
+    out = {r.page_id: r for r in urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert out[100].rule is None and out[100].verdict == "block" and out[101].verdict == out[102].verdict == "allow"
+
+
+def test_bpe_is_that_of_the_library(spark):
+    import tiktoken
+
+    path, pattern = bpe.public_vocabulary()
+    ranks = bpe.load_ranks(path)
+    plain = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    own, made = bpe.codec(path, pattern), random.Random(2)
+    letters = "aaab  \t\n\x1c\x85\xa0é²½ßñ漢字𝔘́'s1２0-_ئسа ꟲǅ"
+    texts = ["".join(made.choices(letters, k=made.randint(0, 60))) for _ in range(500)] + ["a" * 5000, " " * 700, "<|endoftext|>", ""]
+    for t in texts:
+        ids = own.encode(t)
+        assert ids == " ".join(map(str, plain.encode_ordinary(t))) and own.decode(ids) == t.encode()
+    rows = bpe.encode_documents(documents(spark, [*texts, None]), with_ids=True).orderBy("doc_id").collect()
+    for t, r in zip([*texts, ""], rows):
+        assert r.token_ids == plain.encode_ordinary(t) and r.n_tokens == len(r.token_ids) and r.decoded_sha256 == hashlib.sha256(t.encode()).hexdigest()
+
+
+def test_bpe_appends_and_edits():
+    path, pattern = bpe.public_vocabulary()
+    table, made = bpe.PrefixTable(bpe.load_ranks(path)), random.Random(3)
+    for _ in range(200):
+        table.become(bytes(made.choices(b"thereandin", k=20)))
+        before = list(table.lasts)
+        table.append(b"ingest")
+        assert table.lasts[: len(before)] == before
+        a = made.randint(0, 20)
+        table.edit(a, a + made.randint(0, 5), b"xy")
+        fresh = bpe.PrefixTable(table.ranks)
+        fresh.append(table.data)
+        assert fresh.ids() == table.ids()
+
+
+def test_shards_follow_the_mixture(spark):
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 50)).alias("source"))
+    out = sharding.shard(docs).collect()
+    by: dict = {}
+    for r in out:
+        by.setdefault(r.shard, []).append(r)
+    assert sorted(by) == list(range(24)) and {len(v) for v in by.values()} <= {83, 84}
+    for rows in by.values():
+        assert sorted(r.slot for r in rows) == list(range(len(rows)))
+        assert abs(sum(r["source"] == "hot" for r in rows) - 667 / 24) <= 2
+    assert all(r.size == 9 and r.text_crc32 == zlib.crc32(b"t") for r in out)
+
+
+def test_toxic_texts_are_found(spark):
+    made = random.Random(4)
+    words, bad = ["w%s" % "".join(made.choices("abcdefgh", k=5)) for _ in range(300)], ["vile", "nasty", "awful"]
+    letters = str.maketrans("0123456789", "ghijklmnop")
+    rows, marks = [], []
+    for i in range(600):
+        t = made.choices([w.translate(letters) for w in words], k=40)
+        y = i % 6 == 0
+        if y:
+            t[5], t[9] = made.sample(bad, 2)
+        rows.append((i, " ".join(t)))
+        if i < 400:
+            marks.append((i, made.randint(0, 1), int(y)))
+    out = toxicity.score_documents(spark.createDataFrame(rows, SCHEMA), labels(spark, marks)).collect()
+    unseen = [r for r in out if r.doc_id >= 400]
+    assert np.mean([r.toxic == (r.doc_id % 6 == 0) for r in unseen]) > 0.95
+    none = toxicity.score_documents(spark.createDataFrame(rows[:5], SCHEMA), spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect()
+    assert not any(r.toxic for r in none)
+
+
+def test_surrogates():
+    text = "Mail a.Bc.12@mail5.example.com or A.BC.12@mail5.example.com, call +1 (988) 555-2485 from 42.144.35.254, card 4539578763621486, token = \"1beb58b8af68854f\", Mrs Anna Keller met Peter Schmidt. Anna Keller left."
+    out, found = pii.replaced(text)
+    assert len(out) and [k for _, _, k, _ in found] == ["email", "email", "phone", "ip", "card", "secret", "given", "family", "given", "family", "given", "family"]
+    assert all(text[s:e] not in out for s, e, _, _ in found)
+    made = [m for *_, m in found]
+    assert made[0].lower() == made[1].lower() and re.fullmatch(r"[a-z]\.[A-Z][a-z]\.\d\d@[a-z]{4}\d\.[a-z]{7}\.com", made[0])
+    assert re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", made[2]) and pii.luhn(made[4]) and made[4][0] == "4"
+    assert (made[6], made[7]) == (made[10], made[11]) and made[6] in pii.NAMES["f", "latin"] and made[8] in pii.NAMES["m", "latin"]
+    assert pii.replaced("nothing to see at 3.5 percent")[0] == "nothing to see at 3.5 percent"
+
+
+def test_surrogates_differ():
+    made = random.Random(5)
+    for kind, new in (("ip", lambda: ".".join(str(made.randint(1, 223)) for _ in range(4))), ("email", lambda: f"x{made.randint(0, 999)}@m.org"), ("family", lambda: "Kel" + made.choice("abdefo") + made.choice("lmnr"))):
+        given = {new() for _ in range(300)}
+        got = {pii.surrogate(pii.KEY, kind, g) for g in given}
+        assert len(got) == len(given) and all(pii.surrogate(pii.KEY, kind, g) != g for g in given)
+
+
+def plain_lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b):
+            row[j + 1], before = (before + 1 if x == y else max(row[j + 1], row[j])), row[j + 1]
+    return row[-1]
+
+
+def test_alignment():
+    made = random.Random(6)
+    for _ in range(3000):
+        a = [made.randint(0, 9) for _ in range(made.randint(0, 25))]
+        b = list(a)
+        for _ in range(made.randint(0, 7)):
+            i = made.randint(0, len(b))
+            b[i : i + made.randint(0, 1)] = [made.randint(0, 9)] * made.randint(0, 1)
+        want = plain_lcs(a, b) >= 0.8 * max(len(a), len(b)) - 1e-9
+        assert omh.similar(np.array(a, np.uint32), np.array(b, np.uint32)) == want
+
+
+def test_near_duplicates_against_all_pairs(spark):
+    made = random.Random(7)
+    texts = []
+    for _ in range(25):
+        base = ["".join(made.choices("abcdefgh", k=4)) for _ in range(made.choice([8, 40, 150]))]
+        texts.append(base)
+        for _ in range(made.randint(0, 30) if len(texts) == 1 else made.randint(0, 4)):
+            copy = list(base)
+            for _ in range(made.randint(0, len(base) // 12)):
+                copy[made.randrange(len(copy))] = "zz"
+            texts.append(copy)
+    docs = documents(spark, [" ".join(t) for t in texts])
+    got = {r.doc_id: r.class_id for r in omh.classes(docs).collect()}
+    want = list(range(len(texts)))
+
+    def top(x):
+        while want[x] != x:
+            x = want[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if plain_lcs(texts[i], texts[j]) >= 0.8 * max(len(texts[i]), len(texts[j])):
+                a, b = sorted((top(i), top(j)))
+                want[b] = a
+    assert got == {i: top(i) for i in range(len(texts))}
+    assert omh.remove_near_duplicates(docs).count() == len(set(got.values()))
+
+
+def test_components_of_a_long_chain(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 99)], "a long, b long")
+    assert {r.node: r["class"] for r in omh.components(links).collect()} == {i: 0 for i in range(61)} | {99: 99, 100: 99}
+
+
+def plain_contamination(texts, items, window=10):
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    out = []
+    for t in texts:
+        w, hit, ids = words(t), set(), set()
+        for item, text in items:
+            x = words(text)
+            for i in range(max(1, len(x) - window + 1) if x else 0):
+                p = x[i : i + window]
+                for s in range(len(w) - len(p) + 1):
+                    if w[s : s + len(p)] == p:
+                        hit.update(range(s, s + len(p)))
+                        ids.add(str(item))
+        out.append((len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit)))
+    return out
+
+
+@pytest.mark.parametrize("most", [8_000_000, 60])
+def test_contamination(spark, most):
+    made = random.Random(8)
+    items = [(i, " ".join(made.choices("a b c é".split(), k=n))) for i, n in enumerate([1, 2, 3, 9, 10, 11, 14, 25, 25])] + [(20, "Only, ONCE; there"), (21, "..."), (22, "")]
+    texts = [" ".join(made.choices("a b c é zz".split(), k=made.randint(0, 60))) for _ in range(60)] + [None, "", "only once   THERE", items[7][1].upper() + " " + items[8][1]]
+    got = [tuple(r)[1:] for r in decontam.contamination(documents(spark, texts), benchmark(spark, items), most=most).orderBy("doc_id").collect()]
+    assert got == plain_contamination(texts, items)
+
+
+def test_top_k_against_brute_force(spark):
+    made = np.random.default_rng(9)
+    rows = [(int(i), [float(x) for x in v], "x") for i, v in enumerate(made.normal(size=(900, 12)).astype(np.float32))]
+    rows += [(1000, rows[3][1], "x"), (1001, rows[3][1], "x"), (1002, None, "x"), (1003, [float("nan")] * 12, "x"), (1004, [None] + [1.0] * 11, "x"), (1100, [float("inf")] * 12, "x"), (None, rows[0][1], "x")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string").repartition(3)
+    whole = {i: np.floor(1024 * np.array(v, np.float32).astype(np.float64)).astype(np.int64) for i, v, _ in rows if i is not None and i < 1002}
+    want = []
+    for q in (i for i in whole if i % 100 == 0):
+        best = sorted((-int(whole[q] @ v), i) for i, v in whole.items() if i != q)[:10]
+        want += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
+    assert sorted(tuple(r) for r in topk.top_k(df).collect()) == sorted(want)
+    assert sorted(tuple(r) for r in topk.top_k(df, query_block=3).collect()) == sorted(want)
+    assert topk.top_k(df.limit(0)).count() == 0
