@@ -32,7 +32,7 @@ QUERIES = {
     "c06_orphan_files": "select f.file from (select distinct file from code_ a) f left join (select distinct 'src/app/m' || regexp_extract(text, 'helper_([0-9]+)', 1) || '.py' as target from code_ b) e on f.file = e.target where e.target is null",
     "c07_orphan_functions": "select d.name from (select distinct name from code_ a) d left join (select distinct regexp_extract(text, '(helper_[0-9]+)[(]', 1) as callee from code_ b) u on u.callee = d.name where u.callee is null",
     "c08_external_references": "select e.callee, case when d.name is null then 'external' else 'internal' end as kind, count(*) as n from (select regexp_extract(text, '(helper_[0-9]+)[(]', 1) as callee from code_ a) e left join (select distinct name from code_ b) d on d.name = e.callee group by 1, 2",
-    "c10_test_coverage": "select distinct a.file from code_ a where exists (select 1 from code_ b where b.file = 'src/tests/test_m' || regexp_extract(a.file, 'm([0-9]+)[.]', 1) || '.py')",
+    "c10_test_coverage": "select distinct a.file from code_ a where exists (select 1 from code_ b where b.file = 'src/tests/test_m' || cast(cast(regexp_extract(a.file, 'm([0-9]+)[.]', 1) as int) % 10 as string_) || '.ts')",
     "c21_innermost_scope": "select p.construct_id, max(s.start_line) as scope_start from (select construct_id, file, start_line + 5 as at from code_ x) p join (select file, start_line, start_line + 30 as end_line from code_ y) s on p.file = s.file and p.at between s.start_line and s.end_line group by p.construct_id",
     "c27_inherited_properties": "select prop, min(src) as src from (select name as prop, 'own' as src from code_ a where lang = 'python' union all select name, 'parent' from code_ b where lang = 'typescript') t group by prop",
     "c29_pattern_equivalents": "select c.construct_id, e.target from code_ c join (select 'python' as lang, 'print($X)' as pattern, 'console.log($X)' as target union all select 'typescript', 'console.log($X)', 'print($X)') e on c.lang = e.lang",

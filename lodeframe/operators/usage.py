@@ -51,7 +51,7 @@ QUERIES = {
       from (select l_partkey, sum(l_quantity) as s, count(*) as n, count(distinct l_suppkey) as f, cast(max(l_linenumber) as double) as c, cast(count_if(l_returnflag = 'R') as double) as t from lineitem group by l_partkey) g""",
     "i05_priority_label": "select o_orderkey, case when s >= 80 then 'critical' when s >= 60 then 'high' when s >= 40 then 'medium' when s >= 20 then 'low' else 'minimal' end as label from (select o_orderkey, o_totalprice % 100 as s from orders) t",
     "i06_recommendation": "select p_partkey, case when p_size >= 40 then 'high value: extract ' || p_brand when p_size >= 20 then 'medium value' else 'low value' end as advice from part",
-    "i07_effort_ratio": "select l_orderkey, l_linenumber, round(l_extendedprice / greatest(l_quantity * 3, 1), 3) as ratio from lineitem",
+    "i07_effort_ratio": "select l_orderkey, l_linenumber, cast(floor(l_extendedprice / greatest(l_quantity * 3, 1)) as bigint) as ratio from lineitem",
     "i08_strategy_suitability": "select p_partkey, least(100, greatest(0, 70 + case when p_size < 10 then 20 else -10 end + case when p_retailprice > 1500 then 15 else 0 end)) as extract_function, least(100, greatest(0, 50 + case when p_size > 30 then 30 else -20 end)) as extract_class from part",
     "i09_smell_severity": "select l_orderkey, l_linenumber, case when l_quantity / 20 >= 2.0 then 'high' when l_quantity / 20 >= 1.5 then 'medium' else 'low' end as severity from lineitem where l_quantity > 20",
     "i10_complexity_level": "select p_partkey, case when p_size <= 5 then 'low' when p_size <= 10 then 'medium' else 'high' end as level from part",

@@ -91,10 +91,25 @@ def duck_sql(text: str) -> str:
     text = re.sub(r"(?<!\w)array\(", "list_value(", text)
     text = re.sub(r"(?<=[(,] )\((\w+), (\w+)\) -> ", r"lambda \1, \2: ", text)
     text = re.sub(r"(?<=[(,] )(\w+) -> ", r"lambda \1: ", text)
-    text = re.sub(r"(?<!\w)regexp_replace\(((?:[^()']|'[^']*'|\([^()]*\))*)\)", r"regexp_replace(\1, 'g')", text)
+    text = _everywhere(text)
     return re.sub(r"(?<!\w)r'", "'", text)
 
 
+def _everywhere(text: str) -> str:
+    """Every regexp_replace with the option that replaces all matches."""
+    name, at = "regexp_replace(", 0
+    while (at := text.find(name, at)) >= 0:
+        at += len(name)
+        depth, quoted, end = 1, False, at
+        while depth:
+            c = text[end]
+            quoted ^= c == "'"
+            depth += 0 if quoted else (c == "(") - (c == ")")
+            end += 1
+        text = f"{text[: end - 1]}, 'g'{text[end - 1 :]}"
+    return text
+
+
 def run(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     """The query over the tables of a folder; only the tables that it names are opened."""
     said = spark_sql(text)
