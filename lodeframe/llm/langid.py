@@ -71,7 +71,8 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     for i in range(len(marked) - size + 1):
                         grams[marked[i : i + size]] += n
             for kind, found in ((0, words), (1, grams)):
-                yield pd.DataFrame({"lang": lang, "kind": kind, "unit": list(found), "n": list(found.values())})
+                if found:
+                    yield pd.DataFrame({"lang": lang, "kind": kind, "unit": list(found), "n": list(found.values())})
 
 
 def train(labelled: DataFrame, sample: int = SAMPLE, most_langs: int = MOST_LANGS, most: int = MOST) -> dict:
