@@ -124,7 +124,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], sample: int
         yield pd.DataFrame({"h": seen, "n": table[seen, 0]} | {y: table[seen, i + 1] for i, y in enumerate(names)})
 
     totals = rows.agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(y), F.lit(0)).alias(y) for y in names]).first()
-    found = rows.mapInPandas(count, "h int, n int" + "".join(f", {y} int" for y in names)).groupBy("h").agg(F.sum("n").alias("n"), *[F.sum(y).alias(y) for y in names]).filter("n > 2").toPandas()
+    found = rows.mapInPandas(count, "h int, n int" + "".join(f", {y} int" for y in names)).groupBy("h").agg(F.sum("n").alias("n"), *[F.sum(y).alias(y) for y in names]).filter("n > 2").toArrow().to_pandas()
     gain = np.zeros(len(found))
     for y in names if totals["n"] else []:
         share = totals[y] / totals["n"]
@@ -137,7 +137,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], sample: int
         for batch in batches:
             yield pd.DataFrame({"id": batch["id"], "f": [sorted(features.of(t)) for t in batch["text"]]} | {y: batch[y] for y in names})
 
-    got = rows.mapInPandas(place, "id long, f array<int>" + "".join(f", {y} int" for y in names)).orderBy("id", F.hash("f")).toPandas()
+    got = rows.mapInPandas(place, "id long, f array<int>" + "".join(f", {y} int" for y in names)).orderBy("id", F.hash("f")).toArrow().to_pandas()
     lists, width = [np.asarray(f, np.int64) for f in got["f"]], len(kept)
     fold = np.array([zlib.crc32(str(i).encode()) % FOLDS for i in got["id"]], int)
 
