@@ -67,7 +67,7 @@ QUERIES = {
     "h16_node_sequence": "select construct_id, array_text_(array_sorted_(array_unique_(regexp_extract_all(text, '(if|for|while|return|def)', 0))), '>') as nodes from code_ c",
     "h20_size_bucket": "select construct_id, case when n <= 5 then 0 when n <= 10 then 1 when n <= 20 then 2 when n <= 40 then 3 when n <= 80 then 4 when n <= 160 then 5 when n <= 320 then 6 else 7 end as bucket from (select construct_id, array_length_(regexp_extract_all(text, '\\n', 0)) + 1 as n from code_ c) t",
     "h21_structure_hash": "select construct_id, hash_(array_text_(regexp_extract_all(text, '(if|for|while|return|def)', 0), '|')) as h from code_ c",
-    "h22_secrets": "select doc_id, line_no, position('token = ' in lower(line)) as col from lines_ l where matches_(line, '(?i)token *= *[\"][a-z0-9]{20,}')",
+    "h22_secrets": "select doc_id, line_no, position('token = ' in lower(line)) as col from lines_ l where matches_(line, '(?i)token *= *[\"][a-z0-9]{20,}|[a-z0-9]@[a-z0-9]+[.]')",
     "h23_magic_numbers": "select construct_id, array_text_(array_filter_(regexp_extract_all(text, '[0-9]+', 0), x -> not array_has_(array('0', '1', '2', '10', '100'), x)), ',') as found from code_ c",
     "h24_identifiers": "select construct_id, array_text_(array_sorted_(array_filter_(array_unique_(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*', 0)), x -> not array_has_(array('if', 'for', 'while', 'def', 'return', 'and', 'or', 'in'), x))), ',') as ids from code_ c",
     "h25_literals": "select construct_id, array_text_(regexp_extract_all(text, '[\"][^\"]*[\"]', 0), ',') as lits from code_ c where matches_(text, '[\"]')",

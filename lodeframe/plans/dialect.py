@@ -19,9 +19,9 @@ CODE = """
 select p_partkey as construct_id,
   'src/' || case when p_partkey % 9 = 0 then 'tests/test_' when p_partkey % 7 = 0 then 'node_modules/' else 'app/' end || 'm' || cast(p_partkey % 40 as string_) || case when p_partkey % 3 = 0 then '.ts' else '.py' end as file,
   case when p_partkey % 3 = 0 then 'typescript' else 'python' end as lang,
-  case when p_partkey % 13 = 0 then '__init__' when p_partkey % 8 = 0 then 'to_' || p_brand else 'fn_' || cast(p_partkey % 300 as string_) end as name,
+  case when p_partkey % 13 = 0 then '__init__' when p_partkey % 8 = 0 then 'to_' || p_brand else 'fn_' || cast(p_partkey % 60 as string_) end as name,
   cast(1 + p_partkey % 50 as int) as start_line,
-  'def fn_' || cast(p_partkey % 300 as string_) || '(a, b=2' || repeat(', p', cast(p_partkey % 7 as int)) || '):' || chr(10)
+  'def fn_' || cast(p_partkey % 60 as string_) || '(a, b=2' || repeat(', p', cast(p_partkey % 7 as int)) || '):' || chr(10)
   || '    # TODO check ' || p_brand || chr(10)
   || '    if a > ' || cast(p_size as string_) || ' and b or a < 7:' || chr(10)
   || '        for i in range(' || cast(p_size as string_) || '):' || chr(10)
