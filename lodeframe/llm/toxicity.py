@@ -19,6 +19,7 @@ category's probability is 0 or 1 throughout, and no text is found. Repeated labe
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterator
 
@@ -111,6 +112,44 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def _chain(rows: pd.DataFrame, names: list[str], width: int) -> tuple[list[np.ndarray], list[float]]:
+    """Weights and cut of each category, from rows of id, features (places below ``width``) and 0 or 1 for each name."""
+    rows = rows.assign(f=[np.asarray(f, np.int32) for f in rows["f"]])
+    rows = rows.iloc[sorted(range(len(rows)), key=lambda i, ids=rows["id"].to_numpy(), fs=rows["f"].to_numpy(): (ids[i], fs[i].tobytes()))]
+    lists = [np.asarray(f, np.int64) for f in rows["f"]]
+    fold = np.array([zlib.crc32(str(i).encode()) % FOLDS for i in rows["id"]], int)
+
+    def packed(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        own = [lists[i] for i in which]
+        return np.concatenate([[0], np.cumsum([len(f) for f in own])]).astype(np.int64), np.concatenate(own).astype(np.int64) if own else np.zeros(0, np.int64)
+
+    def predict(w: np.ndarray, which: np.ndarray, more: np.ndarray) -> np.ndarray:
+        start, cols = packed(which)
+        return _sigmoid(np.bincount(np.repeat(np.arange(len(which)), np.diff(start)), w[cols], minlength=len(which)) + more @ w[width:-1] + w[-1])
+
+    everything, earlier = np.arange(len(rows)), np.zeros((len(rows), 0))
+    weights: list[np.ndarray] = []
+    cuts: list[float] = []
+    prior: list[float] = []
+    for name in names:
+        y = rows[name].to_numpy(float) > 0
+        weights.append(_fit(*packed(everything), earlier, y, width))
+        out = np.zeros(len(rows))
+        for k in range(FOLDS):
+            seen, rest = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
+            if len(rest):
+                out[rest] = predict(_fit(*packed(seen), earlier[seen], y[seen], width), rest, earlier[rest])
+        # A text of which the models know nothing stays below the cut.
+        prior.append(float(_sigmoid(np.dot(weights[-1][width:-1], prior) + weights[-1][-1])))
+        order = np.argsort(-out, kind="stable")
+        hits = np.cumsum(y[order])
+        measure = hits / (MISSED * max(1, y.sum()) + np.arange(1, len(y) + 1))
+        cut = out[order][int(measure.argmax())] if y.any() else 0.5
+        cuts.append(float(max(cut, prior[-1] + 1e-6)))
+        earlier = np.column_stack([earlier, out])
+    return weights, cuts
+
+
 def train(docs: DataFrame, labels: DataFrame, categories: list[str], sample: int = SAMPLE, most: int = MOST) -> dict:
     """A chain for the ``categories``, columns of ``labels`` that hold 0 or 1; both tables have doc_id."""
     names = [f"y{i}" for i in range(len(categories))]
@@ -128,51 +167,29 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], sample: int
         (seen,) = np.nonzero(table[:, 0])
         yield pd.DataFrame({"h": seen, "n": table[seen, 0]} | {y: table[seen, i + 1] for i, y in enumerate(names)})
 
-    totals = rows.agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(y), F.lit(0)).alias(y) for y in names]).first()
-    found = rows.mapInPandas(count, "h int, n int" + "".join(f", {y} int" for y in names)).groupBy("h").agg(F.sum("n").alias("n"), *[F.sum(y).alias(y) for y in names]).filter("n > 2").toArrow().to_pandas()
-    gain = np.zeros(len(found))
-    for y in names if totals["n"] else []:
+    found = rows.mapInPandas(count, "h int, n int" + "".join(f", {y} int" for y in names)).groupBy("h").agg(F.sum("n").alias("n"), *[F.sum(y).alias(y) for y in names]).filter("n > 2")
+    totals = rows.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("n"), *[F.coalesce(F.sum(y), F.lit(0)).alias(y) for y in names]).first()
+    gains = []
+    for y in names:
         share = totals[y] / totals["n"]
-        expected = found["n"].to_numpy(float) * share
-        gain = np.maximum(gain, (found[y].to_numpy(float) - expected) ** 2 / np.maximum(expected * (1 - share), 1e-9))
-    best = np.lexsort((found["h"], -gain))[:most]
-    kept = np.sort(found["h"].to_numpy(np.int64)[best[gain[best] >= SIGNIFICANT]])
+        gains.append((F.col(y) - F.col("n") * share) ** 2 / F.greatest(F.col("n") * share * (1 - share), F.lit(1e-9)))
+    best = found.withColumn("gain", F.array_max(F.array(*gains))).filter(F.col("gain") >= SIGNIFICANT).orderBy(F.desc("gain"), "h").limit(most).select("h")
+    kept = np.sort(best.toArrow()["h"].to_numpy().astype(np.int64))
+    width = len(kept)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         features = Features(kept)
         for batch in batches:
             yield pd.DataFrame({"id": batch["id"], "f": [sorted(features.of(t)) for t in batch["text"]]} | {y: batch[y] for y in names})
 
-    got = rows.mapInPandas(place, "id long, f array<int>" + "".join(f", {y} int" for y in names)).orderBy("id", F.hash("f")).toArrow().to_pandas()
-    lists, width = [np.asarray(f, np.int64) for f in got["f"]], len(kept)
-    fold = np.array([zlib.crc32(str(i).encode()) % FOLDS for i in got["id"]], int)
-
-    def packed(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        own = [lists[i] for i in which]
-        return np.concatenate([[0], np.cumsum([len(f) for f in own])]).astype(np.int64), np.concatenate(own).astype(np.int64) if own else np.zeros(0, np.int64)
-
-    def predict(w: np.ndarray, which: np.ndarray, more: np.ndarray) -> np.ndarray:
-        start, cols = packed(which)
-        return _sigmoid(np.bincount(np.repeat(np.arange(len(which)), np.diff(start)), w[cols], minlength=len(which)) + more @ w[width:-1] + w[-1])
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = list(batches)
+        if any(len(x) for x in own):
+            yield pd.DataFrame({"chain": [pickle.dumps(_chain(pd.concat(own, ignore_index=True), names, width))]})
 
-    everything, weights, cuts, prior = np.arange(len(got)), [], [], []
-    earlier = np.zeros((len(got), 0))
-    for name in names:
-        y = got[name].to_numpy() > 0 if len(got) else np.zeros(0, bool)
-        weights.append(_fit(*packed(everything), earlier, y, width))
-        out = np.zeros(len(got))
-        for k in range(FOLDS):
-            seen, rest = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
-            if len(rest):
-                out[rest] = predict(_fit(*packed(seen), earlier[seen], y[seen], width), rest, earlier[rest])
-        # A text of which the models know nothing stays below the cut.
-        prior.append(float(_sigmoid(np.dot(weights[-1][width:-1], prior) + weights[-1][-1])))
-        order = np.argsort(-out, kind="stable")
-        hits = np.cumsum(y[order])
-        measure = hits / (MISSED * max(1, y.sum()) + np.arange(1, len(y) + 1))
-        cut = out[order][int(measure.argmax())] if y.any() else 0.5
-        cuts.append(float(max(cut, prior[-1] + 1e-6)))
-        earlier = np.column_stack([earlier, out])
+    # One task fits the chain: what it reads is the bounded sample, and a lost executor costs a retry, not the job.
+    got = rows.mapInPandas(place, "id long, f array<int>" + "".join(f", {y} int" for y in names)).repartition(1).mapInPandas(fit, "chain binary").first()
+    weights, cuts = pickle.loads(got["chain"]) if got else _chain(pd.DataFrame({x: [] for x in ("id", "f", *names)}), names, width)
     return {"categories": categories, "kept": kept, "weights": weights, "cuts": cuts}
 
 
