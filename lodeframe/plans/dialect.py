@@ -34,7 +34,39 @@ select p_partkey as construct_id,
 from part
 """
 
+#: Commits, in place of a repository's log: conventional subjects and others.
+COMMITS = """
+select o_orderkey as id, o_orderdate as made_at,
+  case o_orderkey % 9 when 0 then 'feat(core): add column ' || cast(o_custkey as string_) || ' (#' || cast(o_custkey % 50 as string_) || ')'
+    when 1 then 'fix: repair join, closes #7 and #' || cast(o_custkey % 9 as string_) when 2 then 'feat!: drop old reader'
+    when 3 then 'docs(readme): say more' when 4 then 'Merge pull request #' || cast(o_orderkey as string_) || ' from branch'
+    when 5 then 'refactor(plan)!: move rules' when 6 then 'update things' when 7 then 'perf:faster scan' else 'unknown(x): what' end as subject,
+  case o_custkey % 6 when 0 then 'BREAKING CHANGE: names' when 1 then 'see PR ' || cast(o_custkey as string_) when 2 then 'BREAKING-CHANGE' else '' end as body
+from orders
+"""
+#: Imports of the files of the code corpus: level 0 is absolute, more is relative, -1 a script's path.
+IMPORTS = """
+select p_partkey as import_id,
+  'src/' || case when p_partkey % 9 = 0 then 'tests/test_' when p_partkey % 7 = 0 then 'node_modules/' else 'app/' end || 'm' || cast(p_partkey % 40 as string_) || case when p_partkey % 3 = 0 then '.ts' else '.py' end as source,
+  case when p_partkey % 3 = 0 then -1 else cast(p_size % 3 as int) end as level,
+  case when p_partkey % 3 = 0 then case p_size % 4 when 0 then './m' when 1 then '../app/m' when 2 then 'lib-' else './m' end || cast(p_size % 45 as string_) || case when p_size % 8 = 3 then '.js' else '' end
+    else case p_size % 3 when 0 then 'app.m' when 1 then 'm' else 'app.m' end || cast(p_size % 45 as string_) end as module
+from part
+"""
+#: Linked entities: an id, one or two types, a name and a reference to another id.
+ENTITIES = """
+select p_partkey as entity, p_size as site, 'https://example.com/#p' || cast(p_partkey as string_) as id,
+  case p_partkey % 7 when 0 then 'Organization' when 1 then 'WebPage' when 2 then 'Product' when 3 then 'Service' when 4 then 'BlogPosting' when 5 then 'Review' else 'WebSite' end as type_a,
+  case when p_partkey % 11 = 0 then 'FAQPage' when p_partkey % 13 = 0 then 'BreadcrumbList' end as type_b,
+  case when p_partkey % 17 <> 0 then p_name end as label, 'https://example.com/#p' || cast(p_partkey + 7 as string_) as ref
+from part
+"""
+
 _SPARK = {
+    "commits_": f"({COMMITS})",
+    "imports_": f"({IMPORTS})",
+    "entities_": f"({ENTITIES})",
+    "gathered_": "collect_list",
     "code_lines_": "(select construct_id, file, lang, name, start_line, pos + 1 as line_no, line from code_ lateral view posexplode(split(text, '\\n')) t as pos, line)",
     "lines_": "(select doc_id, pos + 1 as line_no, line from documents lateral view posexplode(split(text, '\\n')) t as pos, line)",
     "code_": f"({CODE})",
@@ -53,6 +85,10 @@ _SPARK = {
     "slice_": "slice",
 }
 _DUCK = {
+    "commits_": f"({COMMITS})",
+    "imports_": f"({IMPORTS})",
+    "entities_": f"({ENTITIES})",
+    "gathered_": "list",
     "code_lines_": "(select construct_id, file, lang, name, start_line, unnest(range(1, len(l) + 1)) as line_no, unnest(l) as line from (select *, string_split(text, chr(10)) as l from code_) as cl)",
     "lines_": "(select doc_id, unnest(range(1, len(l) + 1)) as line_no, unnest(l) as line from (select doc_id, string_split(text, chr(10)) as l from documents) as dl)",
     "code_": f"({CODE})",

@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> None:
@@ -22,3 +22,12 @@ def ship(spark: SparkSession) -> None:
             packed.write(file, file.relative_to(root.parent))
     context.addPyFile(place)
     context._lodeframe_shipped = True
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a copy in the shared folder that ``spark.checkpoint.dir`` names; unset, as in tests, in a temporary one."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "lodeframe-checkpoints"))
+    return df.checkpoint(eager=True)
