@@ -31,7 +31,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted({**entry.SQL_QUERIES, **entry.graph.FRAMES}))
+@pytest.mark.parametrize("name", sorted({**entry.SQL_QUERIES, **entry.FRAMES}))
 def test_same_rows(spark, duck, name):
     df = entry.queries()[name](spark, SF_DIR)
     columns = sorted(df.columns)
