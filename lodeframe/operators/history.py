@@ -18,7 +18,7 @@ QUERIES = {
     "h32_change_types": f"select id, {_CHANGE} as change_type from {_PARSED} p",
     # Versions are months. The groups are counted, never gathered in a row.
     "d21_commits_by_change_type": f"select date_trunc('month', made_at) as version, {_CHANGE} as change_type, count(*) as n, count_if(is_breaking) as breaking, min(id) as first_id from {_PARSED} p group by 1, 2",
-    # One row for each line of the changelog, in its place.
-    "l25_changelog": f"""select version, change_type, row_number() over (partition by version, change_type order by id) as line_no,
+    # One row for each line of the changelog, in its place: no version is numbered in one task.
+    "l25_changelog": f"""select version, change_type, id as place,
       '- ' || case when is_breaking then '**BREAKING** ' else '' end || coalesce('**' || scope || '**: ', '') || said as line from (select date_trunc('month', made_at) as version, {_CHANGE} as change_type, id, is_breaking, scope, said from {_PARSED} p) q""",
 }
