@@ -24,7 +24,7 @@ def _rows(**fields: T.DataType) -> T.ArrayType:
 # Types as objects: text could only be read with a session.
 _INT, _STRING = T.IntegerType(), T.StringType()
 SIGNATURE = _rows(name=_STRING, start=_INT, end=_INT, params=T.ArrayType(_STRING), decorators=T.ArrayType(_STRING))
-NODE = _rows(node=_INT, parent=_INT, kind=_STRING, line=_INT, last=_INT)
+NODE = _rows(node=_INT, parent=_INT, kind=_STRING, line=_INT, last=_INT, depth=_INT)
 EDIT = _rows(kind=_STRING, old_start=_INT, old_end=_INT, new_start=_INT, new_end=_INT)
 
 
@@ -102,7 +102,7 @@ def tree(text: pd.Series) -> pd.Series:
                 rows[parent]["last"] = len(rows) - 1
                 continue
             at = len(rows)
-            rows.append({"node": at, "parent": parent, "kind": type(node).__name__, "line": getattr(node, "lineno", 0), "last": at})
+            rows.append({"node": at, "parent": parent, "kind": type(node).__name__, "line": getattr(node, "lineno", 0), "last": at, "depth": rows[parent]["depth"] + 1 if parent >= 0 else 0})
             todo.append((None, at))
             todo.extend((c, at) for c in reversed(list(ast.iter_child_nodes(node))))
         return rows

@@ -55,4 +55,16 @@ QUERIES = {
     "l43_search_by_language": "select lang, construct_id, place from (select lang, construct_id, row_number() over (partition by lang order by construct_id) as place from code_ c where matches_(text, r'\\bwhile\\b')) t where place <= 100",
     "l44_change_impact": "select callee, count(*) as calls, count(distinct file) as files, case when count(distinct file) > 10 then 'high' when count(distinct file) > 3 then 'medium' else 'low' end as risk from (select file, regexp_extract(line, r'\\b(helper_[0-9]+)\\(', 1) as callee from code_lines_ c) t where callee <> '' group by callee",
     "l46_structured_data_report": f"select entity, case when position('ld+json' in html) > 0 then 1 else 0 end + case when position('itemscope' in html) > 0 then 1 else 0 end + case when position('property=' in html) > 0 then 1 else 0 end as formats, matches_(html, r'itemscope\\s*>|ld[+]json\">[{{]broken') as faulty from {_HTML} h",
+    "c11_coverage_by_reference": "select s.stem, count(t.construct_id) > 0 as covered from (select distinct 'helper_' || cast(construct_id % 20 as string_) as stem from code_ s0) s left join (select construct_id, regexp_extract(text, r'\\b(helper_[0-9]+)\\b', 1) as stem from code_ t0 where matches_(file, 'test')) t on t.stem = s.stem group by s.stem",
+    "g06_merged_excludes": "select p_partkey, array_text_(array_unique_(array('node_modules', 'dist', 'venv', lower(p_brand), 'dist', case when p_size % 2 = 0 then 'venv' else 'build' end)), ',') like '%build%' as has_build from part",
+    "f06_head": "select id, type_a from entities_ e order by id limit 25",
+    "a41_ignored_paths": "select c.construct_id, max(x.kind) as kind from code_ c join (select 'node_modules/' as part, 'excluded' as kind union all select 'tests/', 'test' union all select '.min.', 'minified') x on position(x.part in c.file) > 0 group by c.construct_id",
+    "b29_entity_ids": "select id, array_text_(array_filter_(array(case when position('#' in id) = 0 then 'no fragment' end, case when not matches_(id, '^https?://') then 'not absolute' end, case when matches_(id, ' ') then 'space' end, case when matches_(id, '[0-9]{4,}') then 'looks generated' end), x -> x is not null), ',') as warnings from entities_ e",
+    "k06_graph_report": "select e.site, count(*) as entities, count(distinct e.type_a) as types, count_if(k.known is null) as broken from entities_ e left join (select id as known from entities_ f) k on e.ref = k.known group by e.site",
+    "l18_extracted_functions": "select name, 'def ' || lower(name) || '_shared(' || case when count(*) > 2 then 'value, key' else 'value' end || '):' || chr(10) || '    return value' as code, count(*) as copies from code_ c group by name having count(*) > 1",
+    "l27_bindings": "select p_partkey, case p_size % 3 when 0 then 'get' when 1 then 'create' else 'delete' end || replace(p_brand, '#', '_') as method, 'return self.request(\"' || case p_size % 3 when 0 then 'GET' when 1 then 'POST' else 'DELETE' end || '\", \"/' || lower(p_brand) || '\")' as body from part",
+    "l28_conversion_warnings": "select construct_id, array_text_(array_filter_(array(case when matches_(text, r'\\beval\\(') then 'eval' end, case when matches_(text, r'\\brange\\(') then 'range' end, case when matches_(text, 'while ') then 'while' end), x -> x is not null), ',') as warnings from code_ c where lang = 'python'",
+    "l29_condensed": "select lang, count(*) as kept, cast(sum(length(trim(line))) as bigint) as size from code_lines_ c where trim(line) <> '' and not matches_(line, r'^\\s*(#|//|print\\(|console[.]log)') group by lang",
+    "l42_orphan_report": "select 'file' as kind, f.file as name from (select distinct file from code_ a) f left join (select distinct 'src/app/m' || regexp_extract(text, 'helper_([0-9]+)', 1) || '.py' as target from code_ b) e on f.file = e.target where e.target is null union all select 'function', d.name from (select distinct name from code_ c) d left join (select distinct regexp_extract(text, '(helper_[0-9]+)[(]', 1) as callee from code_ g) u on u.callee = d.name where u.callee is null",
+    "l45_equivalents": "select q.word, min(p.target) as target, max(case when p.concept = q.word then 'direct' else 'fuzzy' end) as how from (select distinct lower(p_brand) || case when p_size % 2 = 0 then ' list comprehension' else '' end as word from part) q join (select 'list comprehension' as concept, 'map' as target union all select 'dictionary', 'object' union all select 'comprehension', 'flatMap') p on position(p.concept in q.word) > 0 group by q.word",
 }

@@ -100,6 +100,26 @@ def find_code(lines: DataFrame, pattern: str) -> DataFrame:
     return lines.filter(F.col("line").rlike(expression)).select("*", (F.position(text, F.col("line")) - 1).alias("column"), text.alias("text"), groups.alias("variables"))
 
 
+def rewrite_code(lines: DataFrame, pattern: str, fix: str) -> DataFrame:
+    """The lines that a pattern matches, with ``fixed``: each match replaced by ``fix``, whose variables are those of the pattern."""
+    expression, names = syntax.pattern_regex(pattern)
+    template = re.sub(r"([\\\\])", r"\\\\\1", fix)
+    for at, name in sorted(enumerate(names, 1), key=lambda x: -len(x[1])):
+        template = template.replace(f"$$${name}", f"\0{at}\0").replace(f"${name}", f"\0{at}\0")
+    template = re.sub("\0(\\d+)\0", r"${v\1}", template.replace("$", "\\$"))
+    for at in range(1, len(names) + 1):
+        template = template.replace(f"${{v{at}}}", f"${at}")
+    return lines.filter(F.col("line").rlike(expression)).select("*", F.regexp_replace("line", expression, template).alias("fixed"))
+
+
+def hybrid_similarity(pairs: DataFrame, least: float = 0.5) -> DataFrame:
+    """id, similarity, method of pairs (id, a, b): those that are unlike by tokens stop there, others are compared by lines as well."""
+    first = pairs.select("*", token_similarity("a", "b").alias("tokens"))
+    early = first.filter(F.col("tokens") < least).select("id", F.col("tokens").alias("similarity"), F.lit("minhash").alias("method"))
+    both = first.filter(F.col("tokens") >= least).select("id", (0.4 * F.col("tokens") + 0.6 * syntax.line_similarity("a", "b")).alias("similarity"), F.lit("hybrid").alias("method"))
+    return early.unionByName(both)
+
+
 def apply_fixes(lines: DataFrame, fixes: DataFrame) -> DataFrame:
     """file, text after ``fixes`` (file, line_no, replacement) of whole ``lines`` (file, line_no, line).
 
@@ -155,8 +175,14 @@ FRAMES = {
     "b19_inside": lambda spark, sf: _code(spark, sf).filter("lang = 'python'").select("id", syntax.tree("text").alias("nodes")).select("id", F.explode(syntax.inside(F.col("nodes"), "Call", "For")).alias("t")).select("id", "t.*"),
     "l37_find_code": lambda spark, sf: find_code(_lines(spark, sf), "if $A > $B and $$$REST:").select("id", "line_no", "column", "text", F.col("variables")["A"].alias("a"), F.col("variables")["B"].alias("b")),
     "l08_fixes": _fixed,
+    "j07_hybrid_similarity": lambda spark, sf: hybrid_similarity(_neighbours(spark, sf).select("id", F.col("text").alias("a"), F.col("other").alias("b"))),
+    "j09_precise_similarity": lambda spark, sf: _neighbours(spark, sf).select("id", syntax.line_similarity(*[F.regexp_replace(c, r"(?m)^ {5,}", "    ") for c in ("text", "other")]).alias("similarity")),
+    "k07_tree_depth": lambda spark, sf: _code(spark, sf).filter("lang = 'python'").select("id", F.explode(syntax.tree("text")).alias("t")).groupBy("id").agg(F.count(F.lit(1)).alias("nodes"), F.max("t.depth").alias("depth")),
+    "l05_pattern_fix": lambda spark, sf: rewrite_code(_lines(spark, sf), "print($X)", "log.info($X)").select("id", "line_no", "fixed"),
+    "i28_edit_statistics": lambda spark, sf: _neighbours(spark, sf).select("id", syntax.line_edits("text", "other").alias("e")).select("id", F.size("e").alias("edits"), F.aggregate("e", F.lit(0), lambda n, x: n + F.when(x["kind"] != "equal", x["old_end"] - x["old_start"] + x["new_end"] - x["new_start"]).otherwise(0)).alias("changed")),
 }
 FRAME_ORACLES = {
+    "l05_pattern_fix": dialect.duck_sql(r"select construct_id as id, line_no, regexp_replace(line, r'print\s*\(([^\s,()]+)\)', r'log.info(\1)') as fixed from code_lines_ c where matches_(line, r'print\([^\s,()]+\)')"),
     "l37_find_code": dialect.duck_sql(r"select construct_id as id, line_no, position('if a >' in line) - 1 as column, regexp_extract(line, r'if a > [^\s,()]+ and .*:', 0) as text, 'a' as a, regexp_extract(line, r'if a > ([^\s,()]+) and', 1) as b from code_lines_ c where matches_(line, r'if a > [^\s,()]+ and .*:')"),
     "l08_fixes": "with l as (" + dialect.duck_sql("select construct_id, line_no, line from code_lines_ c") + r") select cast(construct_id as varchar) as file, string_agg(regexp_replace(line, '\bvar\b', 'let', 'g'), chr(10) order by line_no) as text from l where not (line like '%console.log%' and line not like '%var%') group by 1",
 }

@@ -76,3 +76,11 @@ def test_graphs_on_cycles_and_nulls(spark):
     assert sorted(map(tuple, graph.reachable(edges, entries).collect())) == [(1, 0), (2, 1), (3, 2)]
     assert sorted(map(tuple, graph.components(edges).collect())) == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (7, 7)]
     assert graph.reachable(edges.limit(0), entries.limit(0)).count() == 0 and graph.components(edges.limit(0)).count() == 0
+
+
+def test_rewrites_and_hybrid(spark):
+    lines = spark.createDataFrame([(1, "  a = f(x, y) + f(1, 2)"), (2, "g()")], "id int, line string")
+    assert [tuple(r)[2] for r in search.rewrite_code(lines, "f($A, $B)", "$B.g($A, '$5\\n')").collect()] == ["  a = y.g(x, '$5\\n') + 2.g(1, '$5\\n')"]
+    long = "\n".join(f"w{i} = {i}" for i in range(60))
+    pairs = spark.createDataFrame([(1, long, long), (2, long, "a b c d"), (3, None, "a")], "id int, a string, b string")
+    assert [(r.id, r.method) for r in search.hybrid_similarity(pairs).orderBy("id").collect()] == [(1, "hybrid"), (2, "minhash"), (3, "minhash")]
