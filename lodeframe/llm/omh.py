@@ -12,11 +12,12 @@ Texts of up to ``SHORT`` words have sketches of two-word k-mers as well, since o
 spoils most of their runs of five.
 
 How work stays bounded. Texts with equal words are one node from the start. A bucket of
-up to ``SMALL`` nodes has all its pairs verified. In a larger one every node is paired with
-a leader, and the bucket is dealt anew by the next sketch, where it is small or has
-other leaders; over all sketches, a link between different texts has many ways to be
-found. Candidates of which the longer one is too long are dropped, as no
-alignment could link them. Nothing is collected on the driver.
+up to ``SMALL`` nodes has all its pairs verified. In a larger one every node is first paired with
+a leader. What the links found so far leave in different classes is then compared in full,
+in cells of two blocks of up to ``BLOCK`` nodes of the bucket: a pair is aligned unless its texts are
+connected already, met under an earlier sketch or have too few words in common. So every
+pair that shares a bucket is either tried or in one class. Candidates of which the longer
+one is too long are dropped, as no alignment could link them. Nothing is collected on the driver.
 
 Null text, and one without words, is near to nothing but an equal non-null text. Rows
 whose doc_id is null get an id by their text and may be in groups. The class of
@@ -37,7 +38,7 @@ from lodeframe.llm.common import HOT_SHARE, byte_words, checkpoint, lookup_join
 
 WORDS, SIMILARITY = 5, 0.8
 SKETCHES, PER_SKETCH, SHORT, SHORT_WORDS = 28, 2, 64, 2
-SMALL = 12
+SMALL, BLOCK = 12, 512
 #: k-mers times sketches whose hashes are held at once.
 CELLS = 2_000_000
 
@@ -120,33 +121,30 @@ def digests(docs: DataFrame) -> DataFrame:
     return docs.select(row_id(docs).alias("key"), F.col("text").cast("string").alias("text")).mapInPandas(_digest, "rid long, k1 long, k2 long, n int, sk array<long>")
 
 
-def candidate_pairs(nodes: DataFrame, total: int, similarity: float = SIMILARITY) -> DataFrame:
-    """Distinct pairs a < b of nodes (rid, n, sk) that share a bucket, as the module says."""
+def buckets(nodes: DataFrame, total: int) -> DataFrame:
+    """rid, n, key, members, leader for every node (rid, n, sk) and each of its buckets that has others."""
     # A text has SKETCHES rows here, a short one twice as many, of a few bytes each.
-    sized = nodes.filter(F.size("sk") > 0).select("rid", "n", F.posexplode("sk").alias("at", "key"), "sk")
-    after = F.get("sk", F.when(F.col("at") % SKETCHES == SKETCHES - 1, F.col("at") - SKETCHES + 1).otherwise(F.col("at") + 1))
-    rows = sized.select("rid", "n", "key", F.xxhash64("key", after).alias("deeper"))
-    first = _shared(rows.select("rid", "n", "key", "deeper"), ["deeper"], total, 1)
-    first = checkpoint(first)
-    large = first.filter(F.col("members") > SMALL)
-    second = _shared(large.select("rid", "n", F.col("deeper").alias("key")), [], total, 2)
-    pairs = _within_small(first, similarity).unionByName(_within_small(second, similarity)).unionByName(_with_leader(large, similarity)).unionByName(_with_leader(second.filter(F.col("members") > SMALL), similarity))
-    return pairs.distinct()
-
-
-def _shared(rows: DataFrame, extra: list[str], total: int, salt: int) -> DataFrame:
+    return _shared(nodes.select("rid", "n", F.explode("sk").alias("key")), total)
+
+
+def candidate_pairs(found: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Distinct pairs a < b: all of small buckets, and those with the leader of larger ones."""
+    return _within_small(found, similarity).unionByName(_with_leader(found.filter(F.col("members") > SMALL), similarity)).distinct()
+
+
+def _shared(rows: DataFrame, total: int) -> DataFrame:
     """The rows whose key others have as well, with the number of them and a leader.
 
     The leader is the member whose id has the least hash, so that the buckets that one
     group of near copies has under all sketches mostly agree on it, and pairs with it repeat.
     """
-    found = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct(F.xxhash64(F.lit(salt), "rid").alias("h"), "rid", "n")).alias("leader")).filter("members > 1")
+    found = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct(F.xxhash64(F.lit(1), "rid").alias("h"), "rid", "n")).alias("leader")).filter("members > 1")
     found = found.withColumn("weight", F.col("members"))
     bound = max(2, -(-total // HOT_SHARE))
     hot, cold = found.filter(F.col("weight") >= bound).drop("weight"), found.filter(F.col("weight") < bound).drop("weight")
     # Of hot keys, those of a thousandth of all texts or more, there are a few tens of thousands at most.
     joined = rows.join(F.broadcast(hot), "key", "left")
-    return joined.filter("members is not null").unionByName(joined.filter("members is null").drop("members", "leader").join(cold, "key")).select("rid", "n", "key", *extra, "members", "leader")
+    return joined.filter("members is not null").unionByName(joined.filter("members is null").drop("members", "leader").join(cold, "key")).select("rid", "n", "key", "members", "leader")
 
 
 def _pair(a: str, na: str, b: str, nb: str, similarity: float, df: DataFrame) -> DataFrame:
@@ -165,6 +163,63 @@ def _within_small(rows: DataFrame, similarity: float) -> DataFrame:
     return _pair("xr", "xn", "yr", "yn", similarity, pairs.select(F.col("x.rid").alias("xr"), F.col("x.n").alias("xn"), F.col("y.rid").alias("yr"), F.col("y.n").alias("yn")))
 
 
+def rest_of_large(found: DataFrame, label: DataFrame, nodes: DataFrame, docs: DataFrame, total: int, similarity: float = SIMILARITY) -> DataFrame:
+    """Links (a, b) between nodes of one large bucket that ``label`` (node, class) has in different classes."""
+    large = found.filter(F.col("members") > SMALL).select("rid", "key").join(label.withColumnRenamed("node", "rid"), "rid", "left").select("rid", "key", F.coalesce("class", "rid").alias("class"))
+    large = checkpoint(large)
+    state = large.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("class").alias("low"), F.max("class").alias("high"))
+    state = state.withColumn("weight", F.col("members")).withColumn("open", F.col("low") != F.col("high")).drop("low", "high")
+    left = lookup_join(large, state, ["key"], "weight", total).filter("open")
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    cells = left.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64(F.lit(2), "rid"), F.col("blocks")).cast("int"))
+    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = checkpoint(cells.select("rid", "class", "key", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")))
+    needed = cells.select("rid").distinct()
+    words = checkpoint(_words(docs, needed).join(nodes.select("rid", "sk"), "rid"))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(_cell(pdf, similarity), columns=["a", "b"], dtype="int64")
+
+    return cells.join(words, "rid").groupBy("key", "lo", "hi").applyInPandas(compare, "a long, b long")
+
+
+def _cell(pdf: pd.DataFrame, similarity: float) -> list[tuple[int, int]]:
+    """Links of one cell that connect classes: of pairs of its two blocks, or of all pairs if it has one."""
+    pdf = pdf.sort_values("rid")
+    rids, key = pdf["rid"].tolist(), int(pdf["key"].iloc[0])
+    # Texts of a key are all short or all long, so they have the same sketches.
+    words, sk, own = [np.frombuffer(w, np.uint32) for w in pdf["w"]], np.array([list(s) for s in pdf["sk"]], np.int64), pdf["own"].to_numpy()
+    across = pdf["lo"].iloc[0] != pdf["hi"].iloc[0]
+    at = int(np.flatnonzero(sk[0] == key)[0])
+    size = np.array([len(w) for w in words])
+    # Equal words are numbered, so that texts have as many of these in common as words.
+    labelled = [labelled_kmers(w.astype(np.uint64), 1) for w in words]
+    codes = np.unique(np.concatenate(labelled), return_inverse=True)[1]
+    starts = np.concatenate([[0], np.cumsum(size)[:-1]])
+    marks = np.zeros(int(codes.max()) + 1, np.int32)
+    top = np.unique(pdf["class"].to_numpy(), return_inverse=True)[1]
+    out = []
+    for i in range(len(rids) - 1):
+        later = np.arange(len(rids)) > i
+        later &= top != top[i]
+        if across:
+            later &= own != own[i]
+        if not later.any():
+            continue
+        mine = codes[starts[i] : starts[i] + size[i]]
+        marks[mine] = 1
+        shared = np.add.reduceat(marks[codes], starts)
+        marks[mine] = 0
+        later &= shared >= similarity * np.maximum(size, size[i]) - 1e-9
+        if at:
+            later &= ~(sk[:, :at] == sk[i, :at]).any(axis=1)
+        for j in np.flatnonzero(later).tolist():
+            if top[i] != top[j] and similar(words[i], words[j], similarity):
+                out.append((rids[i], rids[j]))
+                top[top == top[j]] = top[i]
+    return out
+
+
 def common(a: np.ndarray, b: np.ndarray, band: int) -> int:
     """Length of the longest common subsequence among alignments that stay within ``band`` of the diagonal.
 
@@ -214,22 +269,28 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> boo
     return common(a, b, int(longer - least) + 1) >= least
 
 
-def verified(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) whose texts are near duplicates; each text is read as numbers of its words."""
+def _words(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """rid, w: the texts of the ids ``needed``, as numbers of their words."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"rid": batch["rid"], "w": [np.array([xxhash.xxh32_intdigest(w) for w in byte_words(t)], np.uint32).tobytes() for t in batch["text"]]})
 
+    texts = docs.select(row_id(docs).alias("rid"), F.col("text").cast("string").alias("text")).join(needed, "rid", "left_semi")
+    # An id given twice to different texts would leave it open which one is meant: it stands for the first by order of its words.
+    return texts.mapInPandas(read, "rid long, w binary").groupBy("rid").agg(F.min("w").alias("w"))
+
+
+def verified(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) whose texts are near duplicates."""
+
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             ok = [similar(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), similarity) for x, y in zip(batch["wa"], batch["wb"])]
             yield batch.loc[ok, ["a", "b"]]
 
     needed = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
-    texts = docs.select(row_id(docs).alias("rid"), F.col("text").cast("string").alias("text")).join(needed, "rid", "left_semi")
-    # An id given twice to different texts would leave it open which one is meant: it stands for the first by order of its words.
-    words = checkpoint(texts.mapInPandas(read, "rid long, w binary").groupBy("rid").agg(F.min("w").alias("w")))
+    words = checkpoint(_words(docs, needed))
     one = pairs.join(words.withColumnRenamed("rid", "b").withColumnRenamed("w", "wb").hint("shuffle_merge"), "b")
     both = one.join(words.withColumnRenamed("rid", "a").withColumnRenamed("w", "wa").hint("shuffle_merge"), "a")
     return both.select("a", "b", "wa", "wb").mapInPandas(align, "a long, b long")
@@ -270,8 +331,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     total = rows.count()
     groups = checkpoint(rows.groupBy("k1", "k2").agg(F.min("rid").alias("node"), F.count(F.lit(1)).alias("weight")))
     nodes = checkpoint(rows.join(groups.select(F.col("node").alias("rid"), "k1", "k2"), ["rid", "k1", "k2"], "left_semi").select("rid", "n", "sk"))
-    pairs = checkpoint(candidate_pairs(nodes, total, similarity))
-    links = components(verified(pairs, docs, similarity))
+    found = checkpoint(buckets(nodes, total))
+    near = checkpoint(verified(checkpoint(candidate_pairs(found, similarity)), docs, similarity))
+    rest = rest_of_large(found, components(near), nodes, docs, total, similarity)
+    links = components(near.unionByName(rest))
     classes = groups.join(links, "node", "left").select("k1", "k2", "weight", F.coalesce("class", "node").alias("class"))
     # Texts that stand alone are their own class and need no look-up.
     return lookup_join(rows.select("rid", "k1", "k2"), classes, ["k1", "k2"], "weight", total)

@@ -239,6 +239,22 @@ def test_near_duplicates_against_all_pairs(spark):
     assert omh.remove_near_duplicates(docs).count() == len(set(got.values()))
 
 
+@pytest.mark.parametrize("copies", [500, 2000])
+def test_copies_that_are_near_their_base_only(spark, copies):
+    """Copies edited independently are linked to the base and hardly to one another."""
+    made = random.Random(copies)
+    base = ["".join(made.choices("abcdefgh", k=5)) for _ in range(400)]
+    texts = [base]
+    for c in range(copies):
+        copy = list(base)
+        for i in made.sample(range(400), 48):
+            copy[i] = f"x{c}y{i}"
+        texts.append(copy)
+    docs = documents(spark, [" ".join(t) for t in texts])
+    found = [r.class_id for r in omh.classes(docs).collect()]
+    assert found.count(0) > 0.95 * len(texts)
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 99)], "a long, b long")
     assert {r.node: r["class"] for r in omh.components(links).collect()} == {i: 0 for i in range(61)} | {99: 99, 100: 99}
