@@ -8,8 +8,8 @@ aligned: two texts are near duplicates if the longest common subsequence of thei
 has at least 0.8 of the words of the longer one. The band is as wide as an alignment that
 good can need, so the result is exact. Groups are the connected components.
 
-Texts of up to ``SHORT`` words have sketches of two-word k-mers as well, since one edit
-spoils most of their runs of five.
+All texts have sketches of shorter k-mers as well, of two words up to ``SHORT`` words and
+of three beyond, since one edit spoils up to five runs of five.
 
 How work stays bounded. Texts with equal words are one node from the start. A bucket of
 up to ``SMALL`` nodes has all its pairs verified. In a larger one every node is first paired with
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from lodeframe.llm.common import HOT_SHARE, byte_words, checkpoint, lookup_join
 
 WORDS, SIMILARITY = 5, 0.8
-SKETCHES, PER_SKETCH, SHORT, SHORT_WORDS = 28, 2, 64, 2
+SKETCHES, PER_SKETCH, SHORT, SHORT_WORDS, LONG_WORDS = 28, 2, 64, 2, 3
 SMALL, BLOCK = 12, 512
 #: k-mers times sketches whose hashes are held at once.
 CELLS = 2_000_000
@@ -91,6 +91,17 @@ def sketches(kmers: np.ndarray, salt: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+def text_sketches(hashes: np.ndarray) -> np.ndarray:
+    """The sketches of a text of these words: of five-word k-mers and of shorter ones.
+
+    Texts of lengths about ``SHORT`` have both kinds of shorter ones, so that those which an
+    alignment could link have one in common.
+    """
+    n = len(hashes)
+    sizes = [WORDS] + [SHORT_WORDS] * (n <= SHORT) + [LONG_WORDS] * (n > SIMILARITY * SHORT)
+    return np.concatenate([sketches(labelled_kmers(hashes, k), k) for k in sizes])
+
+
 def _digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = []
@@ -99,9 +110,7 @@ def _digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if words:
                 content = b" ".join(words)
                 hashes = word_hashes(words)
-                sk = sketches(labelled_kmers(hashes, WORDS), WORDS)
-                if len(words) <= SHORT:
-                    sk = np.concatenate([sk, sketches(labelled_kmers(hashes, SHORT_WORDS), SHORT_WORDS)])
+                sk = text_sketches(hashes)
             else:
                 # No words: equal texts are copies, null ones are not.
                 content = b"\0" + (text.encode("utf-8", "surrogatepass") if text is not None else b"\0" + str(key).encode())
@@ -123,7 +132,7 @@ def digests(docs: DataFrame) -> DataFrame:
 
 def buckets(nodes: DataFrame, total: int) -> DataFrame:
     """rid, n, key, members, leader for every node (rid, n, sk) and each of its buckets that has others."""
-    # A text has SKETCHES rows here, a short one twice as many, of a few bytes each.
+    # A text has two or three times SKETCHES rows here, of a few bytes each.
     return _shared(nodes.select("rid", "n", F.explode("sk").alias("key")), total)
 
 
@@ -187,10 +196,12 @@ def _cell(pdf: pd.DataFrame, similarity: float) -> list[tuple[int, int]]:
     """Links of one cell that connect classes: of pairs of its two blocks, or of all pairs if it has one."""
     pdf = pdf.sort_values("rid")
     rids, key = pdf["rid"].tolist(), int(pdf["key"].iloc[0])
-    # Texts of a key are all short or all long, so they have the same sketches.
-    words, sk, own = [np.frombuffer(w, np.uint32) for w in pdf["w"]], np.array([list(s) for s in pdf["sk"]], np.int64), pdf["own"].to_numpy()
+    words, own = [np.frombuffer(w, np.uint32) for w in pdf["w"]], pdf["own"].to_numpy()
+    # What a text has before this key, by place; places where a text has nothing or another kind of sketch never agree.
+    before = [list(s)[: list(s).index(key)] for s in pdf["sk"]]
+    at = max(map(len, before))
+    sk = np.array([b + [i] * (at - len(b)) for i, b in enumerate(before)], np.int64)
     across = pdf["lo"].iloc[0] != pdf["hi"].iloc[0]
-    at = int(np.flatnonzero(sk[0] == key)[0])
     size = np.array([len(w) for w in words])
     # Equal words are numbered, so that texts have as many of these in common as words.
     labelled = [labelled_kmers(w.astype(np.uint64), 1) for w in words]

@@ -255,6 +255,19 @@ def test_copies_that_are_near_their_base_only(spark, copies):
     assert found.count(0) > 0.95 * len(texts)
 
 
+@pytest.mark.parametrize("words", [60, 80, 400, 2000])
+def test_pairs_of_long_texts_share_a_sketch(words):
+    """Scattered replaced words up to the operator's own threshold."""
+    made, shared = np.random.default_rng(words), 0
+    for _ in range(200):
+        a = made.integers(0, 1 << 63, words).astype(np.uint64)
+        b = a.copy()
+        at = made.choice(words, words // 5, replace=False)
+        b[at] = made.integers(0, 1 << 63, len(at)).astype(np.uint64)
+        shared += len(np.intersect1d(omh.text_sketches(a), omh.text_sketches(b))) > 0
+    assert shared >= 190
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 99)], "a long, b long")
     assert {r.node: r["class"] for r in omh.components(links).collect()} == {i: 0 for i in range(61)} | {99: 99, 100: 99}
