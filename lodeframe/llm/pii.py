@@ -54,7 +54,7 @@ FINDERS = [
     ("card", re.compile(r"(?<![\w.-])(?:\d{4}[ -]?){3}\d{4}(?![\w-]|\.\d)")),
     ("ssn", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")),
 ]
-CAPITAL = re.compile(r"\b([A-ZÀ-ÖØ-ÞА-Я][a-zß-öø-ÿа-я]+)\.? ([A-ZÀ-ÖØ-ÞА-Я][a-zß-öø-ÿа-я]+)\b(?: ([A-ZÀ-ÖØ-ÞА-Я][a-zß-öø-ÿа-я]+)\b)?")
+CAPITAL = re.compile(r"\b([A-ZÀ-ÖØ-ÞА-Я][a-zß-öø-ÿа-я]+)(?=\.? ([A-ZÀ-ÖØ-ÞА-Я][a-zß-öø-ÿа-я]+)\b(?: ([A-ZÀ-ÖØ-ÞА-Я][a-zß-öø-ÿа-я]+)\b)?)")
 GIVEN = {n.lower(): (g, s) for (g, s), names in NAMES.items() for n in names}
 
 
@@ -189,21 +189,28 @@ def entities(text: str) -> list[tuple[int, int, str]]:
         for kind, finder in FINDERS:
             for m in finder.finditer(text):
                 add(*m.span(1 if finder.groups else 0), kind)
+    taken = 0
     for m in CAPITAL.finditer(text):
         first, second = m[1], m[2]
+        if m.start() < taken:
+            continue
         if first in TITLES:
             if second.lower() in GIVEN and m[3]:
                 add(*m.span(2), "given")
                 add(*m.span(3), "family")
+                taken = m.end(3)
             else:
                 add(*m.span(2), "given" if second.lower() in GIVEN else "family")
+                taken = m.end(2)
         elif first.lower() in GIVEN:
             add(*m.span(1), "given")
             add(*m.span(2), "given" if second.lower() in GIVEN else "family")
+            # A second given name may have the family name after it.
+            taken = m.start(2) if second.lower() in GIVEN else m.end(2)
     return sorted(found)
 
 
-DIGIT_OR_SIGN = re.compile(r"[@\d]|(?i:token|secret|api_?key|passw)\s*[=:]|sk-|ghp_|AIza")
+DIGIT_OR_SIGN = re.compile(r"[@\d]|(?i:token|secret|api_?key|passw)\s*[=:]|sk-|ghp_|AIza|AKIA|ASIA")
 
 
 def same(kind: str, text: str) -> str:
