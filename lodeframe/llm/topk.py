@@ -62,7 +62,8 @@ class ImpactIndex:
         pending = [list(np.sort(can[:, d])) for d in range(dims)]
         floor = None if least is None else least - int(base.sum())
         step = max(1, len(plan) // 8)
-        possible = np.arange(n)
+        others = np.flatnonzero(ids != own)  # rows of the query's own id are no candidates, however many there are
+        possible = others
         for start in range(0, len(plan), step):
             for x in plan[start : start + step]:
                 s, d = divmod(int(x), dims)
@@ -73,13 +74,12 @@ class ImpactIndex:
                 pending[d].pop()
             left = np.array([p[-1] if p else 0 for p in pending])
             bound = floor
-            if n > k:
-                kth = int(np.partition(gathered, n - k - 1)[n - k - 1])  # one more than k: the query's own row may be among them
+            if len(others) >= k:
+                kth = int(np.partition(gathered[others], len(others) - k)[len(others) - k])
                 bound = kth if bound is None else max(bound, kth)
-            possible = np.flatnonzero(gathered + slack + int(left.sum()) >= bound) if bound is not None else possible
+            possible = others[(gathered + slack + int(left.sum()))[others] >= bound] if bound is not None else possible
             if len(possible) <= max(4 * k, n // 50):
                 break
-        possible = possible[ids[possible] != own]
         score = self.X[possible] @ q
         return heapq.nsmallest(k, zip((-score).tolist(), ids[possible].tolist()))
 

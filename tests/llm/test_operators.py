@@ -320,3 +320,14 @@ def test_top_k_against_brute_force(spark):
     assert sorted(tuple(r) for r in topk.top_k(df).collect()) == sorted(want)
     assert sorted(tuple(r) for r in topk.top_k(df, query_block=3).collect()) == sorted(want)
     assert topk.top_k(df.limit(0)).count() == 0
+
+
+def test_top_k_of_an_id_on_many_rows(spark):
+    made = np.random.default_rng(10)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(made.normal(size=(60, 8)).astype(np.float32)) if i % 100]
+    large = [100.0] * 8
+    rows += [(100, large)] * 15
+    out = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)).collect()
+    best = sorted((-int(np.floor(1024 * np.array(v)).astype(np.int64) @ np.array([102400] * 8)), i) for i, v in rows if i != 100)[:10]
+    want = [(100, n, i, -s) for n, (s, i) in enumerate(best, 1)]
+    assert sorted({tuple(r) for r in out}) == want
