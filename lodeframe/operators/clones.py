@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from lodeframe.operators.graph import components
 from lodeframe.operators.search import BANDS, _code, bands, shingles, signature
-from lodeframe.plans.skew import hot_join
+from lodeframe.plans.skew import lookup_join
 from lodeframe.session import checkpoint
 
 SMALL, SIMILARITY = 12, 0.8
@@ -44,7 +44,7 @@ def _pair(a: str, b: str) -> list:
 def _bucketed(rows: DataFrame, total: int) -> DataFrame:
     """The rows (node, key, ...) whose key others have as well, with members and leader."""
     found = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("leader")).filter("members > 1")
-    return hot_join(rows, found, ["key"], "members", total)
+    return lookup_join(rows, found.withColumn("weight", F.col("members")), ["key"], "weight", total, "inner")
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
@@ -84,7 +84,7 @@ def clone_classes(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     degree = linked.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     classes = components(linked.select(F.col("a").alias("source"), F.col("b").alias("target")))
     known = groups.join(classes, "node", "left").join(degree, "node", "left").select("digest", F.coalesce("class", "node").alias("class_id"), "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return hot_join(rows.select("id", "digest"), known, ["digest"], "n_copies", total).select("id", "class_id", "n_copies", "n_links")
+    return lookup_join(rows.select("id", "digest"), known.withColumn("weight", F.col("n_copies")), ["digest"], "weight", total).select("id", "class_id", "n_copies", "n_links")
 
 
 def _classes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodeframe.plans.skew import weighed_join
 from lodeframe.session import checkpoint
 
 _FOLDER = "regexp_replace(source, '/[^/]*$', '')"
@@ -49,43 +50,51 @@ QUERIES = {
 def reachable(edges: DataFrame, entries: DataFrame) -> DataFrame:
     """node, depth of every node that can be reached from the ``entries`` (node) along ``edges`` (source, target).
 
-    Each round joins only the frontier, so that all rounds together read each edge's
-    source once as a find; what was seen is checkpointed. Cycles end, as a node is
-    entered once. Null ends lead nowhere; repeated edges and entries count once.
+    Each round joins only the frontier, and writes only what it finds: all rounds together
+    write each node once. Cycles end, as a node is entered once. Null ends lead nowhere;
+    repeated edges and entries count once.
     """
-    edges = edges.select("source", "target").dropna().distinct()
+    edges = checkpoint(edges.select("source", "target").dropna().distinct())
     frontier = checkpoint(entries.select("node").dropna().distinct().withColumn("depth", F.lit(0)))
     seen, depth = frontier, 0
     while not frontier.isEmpty():
         depth += 1
         found = edges.join(frontier, edges["source"] == frontier["node"], "left_semi").select(F.col("target").alias("node")).distinct()
         frontier = checkpoint(found.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
-        seen = checkpoint(seen.unionByName(frontier))
+        seen = seen.unionByName(frontier)
+        if depth % 16 == 0:
+            # The parts of so many rounds are put together, so that the plan stays small.
+            seen = checkpoint(seen)
     return seen
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, class: the least node that each end of ``edges`` (source, target) is connected to.
 
-    Every node of a round points to its least neighbour, pointers are followed to their
-    ends and the edges move there, so the number of rounds grows with the logarithm of the
-    nodes. Nothing is collected. Null ends are dropped; loops and repeats do not matter.
+    Every node of a round points to its least neighbour, if that is less than itself; the
+    pointers are followed to their ends, and the edges move to the ends. At least half of the
+    nodes that still have edges go in a round, and edges within one end go with them, so all
+    rounds together do little more than the first. A node that many point to is joined by
+    broadcast. Nothing is collected. Null ends are dropped; loops and repeats do not matter.
     """
-    edges = edges.select("source", "target").dropna()
-    both = edges.unionByName(edges.select(F.col("target").alias("source"), F.col("source").alias("target"))).distinct()
-    label = checkpoint(both.select(F.col("source").alias("node")).distinct().withColumn("class", F.col("node")))
-    rest = checkpoint(both.filter("source <> target"))
-    while not rest.isEmpty():
-        to = checkpoint(rest.groupBy(F.col("source").alias("from")).agg(F.least(F.min("target"), F.col("source")).alias("to")))
+    ends = checkpoint(edges.select(F.least("source", "target").alias("u"), F.greatest("source", "target").alias("v")).filter("source is not null and target is not null").distinct())
+    label, size = ends.select(F.explode(F.array("u", "v")).alias("node")).distinct().withColumn("class", F.col("node")), ends.count()
+    ends = ends.filter("u <> v")
+    left = ends.count()
+    while left:
+        both = ends.unionByName(ends.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        to = checkpoint(both.groupBy(F.col("u").alias("from")).agg(F.least(F.min("v"), F.col("u")).alias("to")))
         while True:
             beyond = to.select(F.col("from").alias("to"), F.col("to").alias("beyond"))
-            step = checkpoint(to.join(beyond, "to").select("from", F.col("beyond").alias("to"), (F.col("beyond") != F.col("to")).alias("moved")))
+            step = checkpoint(weighed_join(to, beyond, ["to"], 2 * left).select("from", F.col("beyond").alias("to"), (F.col("beyond") != F.col("to")).alias("moved")))
             to = step.select("from", "to")
             if step.filter("moved").isEmpty():
                 break
-        label = checkpoint(label.join(to.withColumnRenamed("from", "class"), "class", "left").select("node", F.coalesce("to", "class").alias("class")))
-        moved = rest.join(to.select(F.col("from").alias("source"), F.col("to").alias("p")), "source").join(to.select(F.col("from").alias("target"), F.col("to").alias("q")), "target")
-        rest = checkpoint(moved.filter("p <> q").select(F.col("p").alias("source"), F.col("q").alias("target")).distinct())
+        label = checkpoint(weighed_join(label, to.withColumnRenamed("from", "class"), ["class"], 2 * size).select("node", F.coalesce("to", "class").alias("class")))
+        moved = weighed_join(ends, to.select(F.col("from").alias("u"), F.col("to").alias("p")), ["u"], left)
+        moved = weighed_join(moved, to.select(F.col("from").alias("v"), F.col("to").alias("q")), ["v"], left)
+        ends = checkpoint(moved.filter("p <> q").select(F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v")).distinct())
+        left = ends.count()
     return label
 
 

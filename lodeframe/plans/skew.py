@@ -2,21 +2,46 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A key is hot from one row in HOT_SHARE on, so at most HOT_SHARE keys of one set of rows are.
+#: A key is hot when it holds at least one row in HOT_SHARE of all rows, so that
+#: there are at most HOT_SHARE hot keys whatever the size of the data.
 HOT_SHARE = 1000
+#: Rows that a broadcast has answered, or that have a null key, go through the shuffle in so many parts.
+SPREAD = 4096
 
 
-def hot_join(rows: DataFrame, found: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
-    """The ``rows`` whose keys are in ``found`` (one row a key), which says in ``weight`` how many rows have the key.
+def lookup_join(rows: DataFrame, found: DataFrame, keys: list[str], weight: str, total: int, how: str = "left") -> DataFrame:
+    """``rows`` joined (left or inner) to ``found``, which has one row for each value of ``keys``.
 
-    Hot keys are joined by broadcast: their number is bounded, as the weights of ``total``
-    rows sum to that. What is left has no hot key and goes through a shuffle.
+    ``weight`` names a column of ``found`` with the number of ``rows`` that have the
+    key; it is not returned. Keys that hold one row in HOT_SHARE or more are joined by
+    broadcast: as their weights sum to ``total`` at most, there are at most HOT_SHARE of
+    them. All other keys go through a shuffle in which no key is hot; the rows that are
+    answered by then are spread over it by a hash of the row. Both sides are read once.
+    Null keys find nothing.
     """
     bound = max(2, -(-total // HOT_SHARE))
-    hot, cold = found.filter(F.col(weight) >= bound), found.filter(F.col(weight) < bound)
-    tried = rows.join(F.broadcast(hot.withColumn("__hot", F.lit(True))), keys, "left")
-    extra = [c for c in found.columns if c not in keys]
-    return tried.filter("__hot").drop("__hot").unionByName(tried.filter("__hot is null").drop("__hot", *extra).join(cold, keys))
+    extra = [c for c in found.columns if c not in (*keys, weight)]
+    both = found.withColumns({"__ok": F.lit(True), "__spread": F.lit(0)}).select(*keys, *extra, "__ok", "__spread", weight)
+    hot = both.filter(F.col(weight) >= bound).select(*keys, *[F.col(c).alias(f"__hot_{c}") for c in (*extra, "__ok")])
+    cold = both.filter(F.col(weight) < bound).drop(weight)
+    tried = rows.join(F.broadcast(hot), keys, "left")
+    null = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    hashed = F.xxhash64(*[F.col(c) for c, kind in rows.dtypes if "map<" not in kind])
+    tried = tried.withColumn("__spread", F.when(F.col("__hot___ok") | null, 1 + F.pmod(hashed, F.lit(SPREAD))).otherwise(0).cast("int"))
+    done = tried.join(cold, [*keys, "__spread"], "left").withColumns({c: F.coalesce(f"__hot_{c}", c) for c in (*extra, "__ok")})
+    if how == "inner":
+        done = done.filter("__ok")
+    return done.select(*rows.columns, *extra)
+
+
+def weighed_join(rows: DataFrame, found: DataFrame, keys: list[str], total: int, how: str = "left") -> DataFrame:
+    """As ``lookup_join``, for a ``found`` that does not know how many of the ``total`` rows have its keys: hot ones are counted first."""
+    bound = max(2, -(-total // HOT_SHARE))
+    hot = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__weight")).filter(F.col("__weight") >= bound)
+    known = found.join(F.broadcast(hot), keys, "left").withColumn("__weight", F.coalesce("__weight", F.lit(1)))
+    return lookup_join(rows, known, keys, "__weight", total, how)

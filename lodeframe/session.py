@@ -25,9 +25,17 @@ def ship(spark: SparkSession) -> None:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a copy in the shared folder that ``spark.checkpoint.dir`` names; unset, as in tests, in a temporary one."""
+    """Cut the lineage with a copy in the shared folder that ``spark.checkpoint.dir`` names.
+
+    Where that is unset, a temporary folder will do as long as one machine is all there is; on a
+    cluster, where a lost executor would take it along, it is an error.
+    """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "lodeframe-checkpoints"))
+        if folder is None:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+            folder = os.path.join(tempfile.gettempdir(), "lodeframe-checkpoints")
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
