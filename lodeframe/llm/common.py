@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeframe.session import ship
+from lodeframe.plans.skew import HOT_SHARE, lookup_join, weighed_join
+from lodeframe.session import checkpoint, ship
 
-#: A key is hot when it holds at least one row in HOT_SHARE of all rows, so that
-#: there are at most HOT_SHARE hot keys whatever the size of the data.
-HOT_SHARE = 1000
+__all__ = ["HOT_SHARE", "WORD_BYTES", "ascii_lower", "byte_words", "checkpoint", "columns_of", "lookup_join", "ship", "table", "unused", "weighed_join"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,36 +16,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a copy in the shared checkpoint folder.
-
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where
-    that setting is absent (tests on one machine) is a temporary folder used.
-    """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "lodeframe-checkpoints"))
-    return df.checkpoint(eager=True)
-
-
-def lookup_join(rows: DataFrame, found: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
-    """``rows`` left-joined to ``found``, which has one row for each value of ``keys``.
-
-    ``weight`` names a column of ``found`` with the number of ``rows`` that have the
-    key; it is not returned. Keys that hold one row in HOT_SHARE or more are joined by
-    broadcast: as their weights sum to ``total`` at most, there are at most HOT_SHARE of
-    them. All other keys go through a shuffle in which no key is hot. Null keys find
-    nothing.
-    """
-    bound = max(2, -(-total // HOT_SHARE))
-    extra = [c for c in found.columns if c not in (*keys, weight)]
-    hot = found.filter(F.col(weight) >= bound).select(*keys, *extra, F.lit(True).alias("__hot"))
-    cold = found.filter(F.col(weight) < bound).select(*keys, *extra)
-    tried = rows.join(F.broadcast(hot), keys, "left")
-    done = tried.filter(F.col("__hot")).drop("__hot")
-    rest = tried.filter(F.col("__hot").isNull()).drop("__hot", *extra).join(cold, keys, "left")
-    return done.unionByName(rest)
+def unused(name: str, *frames: DataFrame) -> str:
+    """``name``, with as many marks as it takes to be no column of the frames."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns of a frame by their names as they are: dots in them are no paths."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
 
 
 def ascii_lower(text: Column) -> Column:
