@@ -45,3 +45,18 @@ def weighed_join(rows: DataFrame, found: DataFrame, keys: list[str], total: int,
     hot = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__weight")).filter(F.col("__weight") >= bound)
     known = found.join(F.broadcast(hot), keys, "left").withColumn("__weight", F.coalesce("__weight", F.lit(1)))
     return lookup_join(rows, known, keys, "__weight", total, how)
+
+
+def salted_join(rows: DataFrame, found: DataFrame, key: str, total: int) -> DataFrame:
+    """The ``total`` ``rows`` joined (inner) to ``found``, whose rows, one for each ``key``, may be too large to broadcast.
+
+    The rows of a hot key are dealt to parts of about one in HOT_SHARE of all rows, and
+    its row of ``found`` is sent to each: over all keys there are 2 * HOT_SHARE such copies at most.
+    """
+    bound = max(2, -(-total // HOT_SHARE))
+    hot = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__rows")).filter(F.col("__rows") >= bound)
+    hot = F.broadcast(hot.select(key, F.ceil(F.col("__rows") / bound).cast("int").alias("__parts")))
+    parts = F.coalesce("__parts", F.lit(1))
+    dealt = rows.join(hot, key, "left").withColumn("__part", F.pmod(F.xxhash64(*rows.columns), parts).cast("int")).drop("__parts")
+    copies = found.join(hot, key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
+    return dealt.join(copies.hint("shuffle_merge"), [key, "__part"]).drop("__part")
