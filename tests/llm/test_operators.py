@@ -64,11 +64,6 @@ def test_license_rules(spark):
     assert rows[1].n_known == 3 and rows[4].identifiers == "CCBYNC4Line,CCBYNC4Line"
 
 
-def test_every_known_sentence_has_an_anchor():
-    found = [s for s, i in licenses.EXACT.items() if not any(a in s for a in licenses.ANCHORS)]
-    assert all("cc" in s and "licen" in s for s in found) and all(any(a in s for a in licenses.ANCHORS) for s in licenses.STARTS)
-
-
 def test_languages_on_rows_that_were_held_out(spark):
     made = random.Random(1)
     parts = {"aa": "ba bo bu ka ko".split(), "bb": "zil zol zul xil xol".split()}
