@@ -21,7 +21,10 @@ one is too long are dropped, as no alignment could link them. Nothing is collect
 
 Null text, and one without words, is near to nothing but an equal non-null text. Rows
 whose doc_id is null get an id by their text and may be in groups. The class of
-a group is its least id. Repeated rows are copies. Empty input gives no rows.
+a group is its least id. Rows are told apart by id and text: repeats of both are copies, and
+of different texts under one id each has a class of its own, named by a hash of id and words (below zero)
+unless it is alone in having the id, and keeps its row if it is not near another. Extra
+columns, whatever their names, are kept as they are. Empty input gives no rows.
 """
 
 from __future__ import annotations
@@ -34,7 +37,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeframe.llm.common import HOT_SHARE, byte_words, checkpoint, lookup_join
+from lodeframe.llm.common import byte_words, checkpoint, columns_of, lookup_join, unused
+from lodeframe.operators import graph
+from lodeframe.plans.skew import salted_join
 
 WORDS, SIMILARITY = 5, 0.8
 SKETCHES, PER_SKETCH, SHORT, SHORT_WORDS, LONG_WORDS = 28, 2, 64, 2, 3
@@ -105,7 +110,7 @@ def text_sketches(hashes: np.ndarray) -> np.ndarray:
 def _digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = []
-        for key, text in zip(batch["key"], batch["text"]):
+        for key, h, text in zip(batch["key"], batch["h"], batch["text"]):
             words = byte_words(text)
             if words:
                 content = b" ".join(words)
@@ -116,8 +121,8 @@ def _digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 content = b"\0" + (text.encode("utf-8", "surrogatepass") if text is not None else b"\0" + str(key).encode())
                 sk = np.zeros(0, np.int64)
             full = xxhash.xxh3_128(content).intdigest()
-            out.append((key, (full >> 64) - (1 << 63), (full & ((1 << 64) - 1)) - (1 << 63), len(words), sk))
-        yield pd.DataFrame(out, columns=["rid", "k1", "k2", "n", "sk"])
+            out.append((key, h, (full >> 64) - (1 << 63), (full & ((1 << 64) - 1)) - (1 << 63), len(words), sk))
+        yield pd.DataFrame(out, columns=["rid", "h", "k1", "k2", "n", "sk"])
 
 
 def row_id(docs: DataFrame) -> Column:
@@ -125,9 +130,15 @@ def row_id(docs: DataFrame) -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.lit("no id"), F.col("text").cast("string")))
 
 
+def text_id(docs: DataFrame) -> Column:
+    """What tells texts under one id apart."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def digests(docs: DataFrame) -> DataFrame:
-    """rid, k1, k2 (128 bits of the words), n (words), sk (sketches) of every row."""
-    return docs.select(row_id(docs).alias("key"), F.col("text").cast("string").alias("text")).mapInPandas(_digest, "rid long, k1 long, k2 long, n int, sk array<long>")
+    """rid, h (of the text), k1, k2 (128 bits of the words), n (words), sk (sketches) of every row."""
+    rows = docs.select(row_id(docs).alias("key"), text_id(docs).alias("h"), F.col("text").cast("string").alias("text"))
+    return rows.mapInPandas(_digest, "rid long, h long, k1 long, k2 long, n int, sk array<long>")
 
 
 def buckets(nodes: DataFrame, total: int) -> DataFrame:
@@ -148,12 +159,7 @@ def _shared(rows: DataFrame, total: int) -> DataFrame:
     group of near copies has under all sketches mostly agree on it, and pairs with it repeat.
     """
     found = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct(F.xxhash64(F.lit(1), "rid").alias("h"), "rid", "n")).alias("leader")).filter("members > 1")
-    found = found.withColumn("weight", F.col("members"))
-    bound = max(2, -(-total // HOT_SHARE))
-    hot, cold = found.filter(F.col("weight") >= bound).drop("weight"), found.filter(F.col("weight") < bound).drop("weight")
-    # Of hot keys, those of a thousandth of all texts or more, there are a few tens of thousands at most.
-    joined = rows.join(F.broadcast(hot), "key", "left")
-    return joined.filter("members is not null").unionByName(joined.filter("members is null").drop("members", "leader").join(cold, "key")).select("rid", "n", "key", "members", "leader")
+    return lookup_join(rows, found.withColumn("weight", F.col("members")), ["key"], "weight", total, "inner").select("rid", "n", "key", "members", "leader")
 
 
 def _pair(a: str, na: str, b: str, nb: str, similarity: float, df: DataFrame) -> DataFrame:
@@ -183,13 +189,13 @@ def rest_of_large(found: DataFrame, label: DataFrame, nodes: DataFrame, docs: Da
     cells = left.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64(F.lit(2), "rid"), F.col("blocks")).cast("int"))
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = checkpoint(cells.select("rid", "class", "key", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")))
-    needed = cells.select("rid").distinct()
+    needed = nodes.join(cells.select("rid").distinct(), "rid", "left_semi")
     words = checkpoint(_words(docs, needed).join(nodes.select("rid", "sk"), "rid"))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(_cell(pdf, similarity), columns=["a", "b"], dtype="int64")
 
-    return cells.join(words, "rid").groupBy("key", "lo", "hi").applyInPandas(compare, "a long, b long")
+    return salted_join(cells, words, "rid", cells.count()).groupBy("key", "lo", "hi").applyInPandas(compare, "a long, b long")
 
 
 def _cell(pdf: pd.DataFrame, similarity: float) -> list[tuple[int, int]]:
@@ -281,86 +287,71 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> boo
 
 
 def _words(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """rid, w: the texts of the ids ``needed``, as numbers of their words."""
+    """rid, w: the texts of the nodes ``needed`` (rid; own and h, the row that stands for it), as numbers of their words."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"rid": batch["rid"], "w": [np.array([xxhash.xxh32_intdigest(w) for w in byte_words(t)], np.uint32).tobytes() for t in batch["text"]]})
 
-    texts = docs.select(row_id(docs).alias("rid"), F.col("text").cast("string").alias("text")).join(needed, "rid", "left_semi")
-    # An id given twice to different texts would leave it open which one is meant: it stands for the first by order of its words.
+    texts = docs.select(row_id(docs).alias("own"), text_id(docs).alias("h"), F.col("text").cast("string").alias("text"))
+    texts = texts.join(needed.select("rid", "own", "h"), ["own", "h"]).select("rid", "text")
+    # Repeats of a row have equal texts: one is taken.
     return texts.mapInPandas(read, "rid long, w binary").groupBy("rid").agg(F.min("w").alias("w"))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) whose texts are near duplicates."""
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) of nodes whose texts are near duplicates."""
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             ok = [similar(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), similarity) for x, y in zip(batch["wa"], batch["wb"])]
             yield batch.loc[ok, ["a", "b"]]
 
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
-    words = checkpoint(_words(docs, needed))
-    one = pairs.join(words.withColumnRenamed("rid", "b").withColumnRenamed("w", "wb").hint("shuffle_merge"), "b")
-    both = one.join(words.withColumnRenamed("rid", "a").withColumnRenamed("w", "wa").hint("shuffle_merge"), "a")
-    return both.select("a", "b", "wa", "wb").mapInPandas(align, "a long, b long")
+    needed = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), "rid", "left_semi")
+    words, size = checkpoint(_words(docs, needed)), pairs.count()
+    one = salted_join(pairs, words.withColumnRenamed("rid", "b").withColumnRenamed("w", "wb"), "b", size)
+    # The hash that deals the rows of a hot leader must not read the texts.
+    both = salted_join(one.select("a", F.struct("b", "wb").alias("y")), words.withColumnRenamed("rid", "a").withColumnRenamed("w", "wa"), "a", size)
+    return both.select("a", "y.b", "wa", "y.wb").mapInPandas(align, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, class for each node of the links (a, b): the least node that it is connected to.
-
-    Each round every node points to its least neighbour, if that is less than itself; the
-    pointers are followed to their ends, and the links are moved to the ends. At least half
-    of the nodes that still have links go in a round, and links within one end go with
-    them, so all rounds together do little more than the first.
-    """
-    ends = checkpoint(links.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).filter("u <> v").distinct())
-    label = ends.select(F.col("u").alias("node"), F.col("u").alias("class")).limit(0)
-    first = True
-    while not ends.isEmpty():
-        both = ends.unionByName(ends.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        to = checkpoint(both.groupBy(F.col("u").alias("from")).agg(F.least(F.min("v"), F.col("u")).alias("to")))
-        while True:
-            beyond = to.select(F.col("from").alias("to"), F.col("to").alias("beyond"))
-            step = checkpoint(to.join(beyond, "to").select("from", F.col("beyond").alias("to"), (F.col("beyond") != F.col("to")).alias("moved")))
-            to = step.select("from", "to")
-            if step.filter("moved").isEmpty():
-                break
-        if first:
-            label, first = to.select(F.col("from").alias("node"), F.col("to").alias("class")), False
-        else:
-            label = checkpoint(label.join(to.withColumnRenamed("from", "class"), "class", "left").select("node", F.coalesce("to", "class").alias("class")))
-        moved = ends.join(to.select(F.col("from").alias("u"), F.col("to").alias("p")), "u").join(to.select(F.col("from").alias("v"), F.col("to").alias("q")), "v")
-        ends = checkpoint(moved.filter("p <> q").select(F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v")).distinct())
-    return label
+    """node, class for each node of the links (a, b): the least node that it is connected to."""
+    return graph.components(links.select(F.col("a").alias("source"), F.col("b").alias("target")))
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """rid, k1, k2, class of every row; rows of one class are near duplicates of each other, by links."""
+    """rid, h, class, kept (whether the row or a repeat of it stands for its class) of every row; rows of one class are near duplicates of each other, by links."""
     rows = checkpoint(digests(docs))
     total = rows.count()
-    groups = checkpoint(rows.groupBy("k1", "k2").agg(F.min("rid").alias("node"), F.count(F.lit(1)).alias("weight")))
-    nodes = checkpoint(rows.join(groups.select(F.col("node").alias("rid"), "k1", "k2"), ["rid", "k1", "k2"], "left_semi").select("rid", "n", "sk"))
+    groups = rows.groupBy("k1", "k2").agg(F.min(F.struct("rid", "h")).alias("x"), F.count(F.lit(1)).alias("weight")).select("k1", "k2", F.col("x.rid").alias("own"), F.col("x.h").alias("h"), "weight")
+    # A group is known by its least id, or, if another group has that too, by a hash.
+    groups = checkpoint(groups)
+    twice = groups.groupBy("own").agg(F.count(F.lit(1)).alias("groups")).filter("groups > 1")
+    named = F.when(F.col("groups").isNull(), F.col("own")).otherwise(-1 - F.shiftrightunsigned(F.xxhash64("own", "k1", "k2"), 2))
+    groups = checkpoint(lookup_join(groups, twice.withColumn("rows", F.col("groups")), ["own"], "rows", total).withColumn("node", named).drop("groups"))
+    nodes = checkpoint(rows.select(F.col("rid").alias("own"), "h", "n", "sk").join(groups.select("own", "h", F.col("node").alias("rid")), ["own", "h"]).groupBy("rid").agg(F.min("own").alias("own"), F.min("h").alias("h"), F.min("n").alias("n"), F.min("sk").alias("sk")))
     found = checkpoint(buckets(nodes, total))
-    near = checkpoint(verified(checkpoint(candidate_pairs(found, similarity)), docs, similarity))
-    rest = rest_of_large(found, components(near), nodes, docs, total, similarity)
+    near = checkpoint(verified(checkpoint(candidate_pairs(found, similarity)), nodes, docs, similarity))
+    rest = checkpoint(rest_of_large(found, components(near), nodes, docs, total, similarity))
     links = components(near.unionByName(rest))
-    classes = groups.join(links, "node", "left").select("k1", "k2", "weight", F.coalesce("class", "node").alias("class"))
-    # Texts that stand alone are their own class and need no look-up.
-    return lookup_join(rows.select("rid", "k1", "k2"), classes, ["k1", "k2"], "weight", total)
+    classes = groups.join(links, "node", "left").select("k1", "k2", "weight", F.coalesce("class", "node").alias("class"), F.when(F.coalesce("class", "node") == F.col("node"), F.struct("own", "h")).alias("first"))
+    out = lookup_join(rows.select("rid", "h", "k1", "k2"), classes, ["k1", "k2"], "weight", total)
+    kept = F.coalesce((F.col("rid") == F.col("first.own")) & F.col("h").eqNullSafe(F.col("first.h")), F.lit(False))
+    return out.select("rid", "h", "class", kept.alias("kept"))
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id, kept (the representative) of every row."""
     found = near_duplicates(docs, similarity)
-    return found.select(F.col("rid").alias("doc_id"), F.col("class").alias("class_id"), (F.col("rid") == F.col("class")).alias("kept"))
+    return found.select(F.col("rid").alias("doc_id"), F.col("class").alias("class_id"), "kept")
 
 
 def remove_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row of each group, that of the least id, with all columns of ``docs``; of repeats of that row one."""
-    found = near_duplicates(docs, similarity)
-    kept = found.filter("rid = class").groupBy("rid").agg(F.count(F.lit(1)).alias("__rows")).withColumnRenamed("rid", "__rid")
-    rows = docs.withColumn("__rid", row_id(docs)).join(kept, "__rid")
-    once, repeated = rows.filter("__rows = 1"), rows.filter("__rows > 1")
-    return once.select(*docs.columns).unionByName(repeated.dropDuplicates(["__rid"]).select(*docs.columns))
+    rid, h, many = unused("rid", docs), unused("h", docs), unused("rows", docs)
+    kept = near_duplicates(docs, similarity).filter("kept").groupBy("rid", "h").agg(F.count(F.lit(1)).alias(many))
+    kept = kept.withColumnRenamed("rid", rid).withColumnRenamed("h", h)
+    rows = docs.withColumn(rid, row_id(docs)).withColumn(h, text_id(docs)).join(kept, [rid, h])
+    once, repeated = rows.filter(F.col(many) == 1), rows.filter(F.col(many) > 1)
+    return once.select(*columns_of(docs)).union(repeated.dropDuplicates([rid, h]).select(*columns_of(docs)))
