@@ -3,26 +3,32 @@
 Entities are found by pattern: e-mail addresses, telephone numbers, IPv4 addresses, card
 numbers, secrets (tokens, keys, passwords) and names (a given name of the lists below, or a title, before a capitalised word).
 Each is replaced by another of its kind. A surrogate is the image of the
-entity under a permutation, made from a secret key, of all strings of the entity's format:
-equal entities get equal surrogates everywhere (coreference), and different ones different
+entity under a permutation, made from the caller's secret key, of all strings of the entity's format:
+equal entities get equal surrogates in all texts (coreference), and different ones different
 surrogates, without any table of what has been given out. The permutation is a Feistel
 network turned into a single cycle, so that nothing is its own surrogate, and it is walked on
-until the result keeps what the kind demands: check digit of a card, octets of an address,
-and for names no string that is on the lists. Given names move along a keyed
+until the result keeps what the kind demands: check digit of a card, the range of an address (private,
+loopback, multicast and so on), and for names no string that is on the lists. Given names move along a keyed
 cycle of the names of the same gender and script; family names keep script, letter case
-and the places of vowels. The text is checked last: as many different surrogates as entities,
-none of which is an entity of the same text, or the key is changed for that text's clashes (one more walk).
+and the places of vowels. A name that is found once is replaced wherever the text has it as a word.
+
+The surrogates of a text are checked: should two formats of one kind ever meet in one surrogate,
+the later entity by order walks on until it is alone, and keeps that throughout the text. As all is one permutation, a
+surrogate can be a string that stands for something else in the corpus; that one has then another surrogate.
+Who has the key can undo the replacement, so it must be kept secret.
 
 Letter case does not tell e-mail addresses or names apart, nor does punctuation tell
 telephone numbers apart, and it is kept. Null text stays null and
-empty text empty; texts without entities come back unchanged. Rows stay as they are in
-number, order and all other columns, except n_chars, which follows the text.
+empty text empty; texts without entities come back unchanged, and long ones are searched whole. Rows stay as they are in
+number, order and all other columns, whatever their names, except n_chars, which follows the text; an empty
+table gives no rows, and repeated rows get equal texts.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right, insort
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -30,18 +36,21 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodeframe.llm.common import columns_of, unused
+
 # Given names by gender and script, and titles by gender.
 NAMES = {
-    ("f", "latin"): "Anna Maria Laura Julia Emma Sophie Marie Elena Clara Alice Emily Sarah Carmen Lucia Petra Ingrid Nina Rosa Eva Martha".split(),
-    ("m", "latin"): "John Peter Paul Thomas Michael David Daniel Martin Andreas Stefan Pierre Louis Carlos Miguel Pablo Hans Karl James William Robert".split(),
-    ("f", "cyrillic"): "Анна Мария Елена Ольга Наталья Ирина Татьяна Светлана".split(),
-    ("m", "cyrillic"): "Иван Алексей Сергей Дмитрий Андрей Николай Владимир Михаил".split(),
+    ("f", "latin"): "Alice Amelia Ana Andrea Anna Barbara Carla Carmen Caroline Charlotte Chloe Clara Elena Elizabeth Emily Emma Eva Fatima Grace Hannah Helen Ingrid Isabel Jennifer Jessica Julia Karen Katharina Laura Linda Lucia Maria Marie Marta Martha Mary Mia Monika Nina Olivia Patricia Petra Rachel Rosa Ruth Sabine Sarah Sofia Sophie Susan Teresa Ursula".split(),
+    ("m", "latin"): "Adam Alexander Andreas Antonio Ben Carlos Charles Christian Daniel David Diego Edward Felix Fernando Francisco Frank George Hans Henry Jack Jacques James Jan Javier Jean John Jorge Joseph Juan Karl Klaus Louis Luis Manuel Marco Mark Martin Matthew Michael Miguel Noah Oliver Pablo Paul Pedro Peter Pierre Richard Robert Samuel Stefan Thomas William Wolfgang".split(),
+    ("f", "cyrillic"): "Анна Екатерина Елена Ирина Мария Наталья Ольга Светлана Татьяна Юлия".split(),
+    ("m", "cyrillic"): "Александр Алексей Андрей Владимир Дмитрий Иван Михаил Николай Павел Сергей".split(),
 }
 TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Herr": "m", "Frau": "f", "Señor": "m", "Señora": "f", "Monsieur": "m", "Madame": "f", "Dr": "", "Prof": ""}
 # Letters that stand for each other in family names, and in other words.
 ALPHABETS = ["aeiou", "bcdfghjklmnpqrstvwxyz", "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщ"]
 
-KEY = b"lodeframe-surrogates"
+# Ranges of addresses that are not public (this network, private, shared, loopback, link-local, documentation, tests, multicast, reserved).
+RANGES = [((a << 24) + (b << 16) + (c << 8), 1 << 32 - bits) for a, b, c, bits in [(0, 0, 0, 8), (10, 0, 0, 8), (100, 64, 0, 10), (127, 0, 0, 8), (169, 254, 0, 16), (172, 16, 0, 12), (192, 0, 0, 24), (192, 0, 2, 24), (192, 168, 0, 16), (198, 18, 0, 15), (198, 51, 100, 24), (203, 0, 113, 24), (224, 0, 0, 4), (240, 0, 0, 4)]]
 
 FINDERS = [
     ("email", re.compile(r"[A-Za-z0-9_.+-]*[A-Za-z0-9_+-]@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}")),
@@ -55,6 +64,7 @@ FINDERS = [
     ("ssn", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")),
 ]
 CAPITAL = re.compile(r"\b([A-ZÀ-ÖØ-ÞА-Я][a-zß-öø-ÿа-я]+)(?=\.? ([A-ZÀ-ÖØ-ÞА-Я][a-zß-öø-ÿа-я]+)\b(?: ([A-ZÀ-ÖØ-ÞА-Я][a-zß-öø-ÿа-я]+)\b)?)")
+WORD = re.compile(r"(?<![\w@.-])[^\W\d_]+(?![\w@])")
 GIVEN = {n.lower(): (g, s) for (g, s), names in NAMES.items() for n in names}
 
 
@@ -140,6 +150,11 @@ def _shaped(original: str, plain: str) -> str:
     return "".join((lambda n: n.upper() if c.isupper() else n)(next(it)) if c.isalnum() else c for c in original)
 
 
+def _range_of(x: int) -> tuple[int, int]:
+    """First address and size of the special range that an address is in; size 0 for public ones."""
+    return next(((low, size) for low, size in RANGES if low <= x < low + size), (0, 0))
+
+
 @lru_cache(maxsize=50_000)
 def surrogate(key: bytes, kind: str, text: str) -> str:
     """The surrogate of one entity; a function of the key, the kind and the entity alone."""
@@ -155,12 +170,14 @@ def surrogate(key: bytes, kind: str, text: str) -> str:
         x = 0
         for octet in text.split("."):
             x = x * 256 + int(octet)
-        usual = lambda v: 0 < v >> 24 < 224 and v >> 24 not in (10, 127)
-        own = usual(x)
-        while True:
+        low, size = _range_of(x)
+        if size:
+            x = low + cycled(key, f"ip|{low}", x - low, size)
+        else:
             x = cycled(key, "ip", x, 1 << 32)
-            if usual(x) == own:
-                return ".".join(str(x >> s & 255) for s in (24, 16, 8, 0))
+            while _range_of(x)[1]:
+                x = cycled(key, "ip", x, 1 << 32)
+        return ".".join(str(x >> s & 255) for s in (24, 16, 8, 0))
     if kind in ("card", "phone", "ssn"):
         digits = "".join(c for c in text if c.isdigit())
         fixed = 1 if kind == "card" else len(re.match(r"\+?(\d{1,3}(?=\D)|\d)?", text)[1] or "") if text.startswith("+") else 0
@@ -182,8 +199,9 @@ def entities(text: str) -> list[tuple[int, int, str]]:
     found: list[tuple[int, int, str]] = []
 
     def add(start: int, end: int, kind: str) -> None:
-        if all(end <= s or start >= e for s, e, _ in found):
-            found.append((start, end, kind))
+        at = bisect_right(found, (start, end, kind))
+        if not (at and found[at - 1][1] > start) and not (at < len(found) and found[at][0] < end):
+            insort(found, (start, end, kind))
 
     if DIGIT_OR_SIGN.search(text):
         for kind, finder in FINDERS:
@@ -207,6 +225,15 @@ def entities(text: str) -> list[tuple[int, int, str]]:
             add(*m.span(2), "given" if second.lower() in GIVEN else "family")
             # A second given name may have the family name after it.
             taken = m.start(2) if second.lower() in GIVEN else m.end(2)
+    people = {text[s:e]: kind for s, e, kind in found if kind in ("given", "family")}
+    if people:
+        # A name that is known by now is one wherever it stands as a word.
+        places = sorted((s, e) for s, e, _ in found)
+        for m in WORD.finditer(text):
+            kind = people.get(m[0])
+            at = bisect_right(places, (m.start(), len(text) + 1))
+            if kind and not (at and places[at - 1][1] > m.start()) and not (at < len(places) and places[at][0] < m.end()):
+                found.append((*m.span(), kind))
     return sorted(found)
 
 
@@ -220,26 +247,32 @@ def same(kind: str, text: str) -> str:
     return text.lower() if kind in ("email", "given", "family") else text
 
 
-def replaced(text: str, key: bytes = KEY) -> tuple[str, list[tuple[int, int, str, str]]]:
+def replaced(text: str, key: bytes) -> tuple[str, list[tuple[int, int, str, str]]]:
     """The text with surrogates, and (start, end, kind, surrogate) by places in the text as it was."""
     found = entities(text)
     if not found:
         return text, []
-    for more in range(8):
-        own = key if not more else hashlib.blake2b(key, key=bytes([more])).digest()
-        made = [(s, e, kind, surrogate(own, kind, text[s:e])) for s, e, kind in found]
-        before, after = {(k, same(k, text[s:e])) for s, e, k in found}, {(k, same(k, m)) for _, _, k, m in made}
-        # A given name has few others to become, so that its surrogate may well be another person's name in the text.
-        if len(before) == len(after) and not any(x in before for x in after if x[0] != "given"):
-            break
-    out, at = [], 0
-    for s, e, _, m in made:
-        out += [text[at:s], m]
+    steps: dict[tuple[str, str], int] = {}
+    used: set[tuple[str, str]] = set()
+    for kind, of, one in sorted({(kind, same(kind, text[s:e]), text[s:e]) for s, e, kind in found}):
+        if (kind, of) not in steps:
+            n, new = 1, surrogate(key, kind, one)
+            while (kind, same(kind, new)) in used:
+                n, new = n + 1, surrogate(key, kind, new)
+            steps[kind, of] = n
+            used.add((kind, same(kind, new)))
+    out, made, at = [], [], 0
+    for s, e, kind in found:
+        new = text[s:e]
+        for _ in range(steps[kind, same(kind, new)]):
+            new = surrogate(key, kind, new)
+        out += [text[at:s], new]
+        made.append((s, e, kind, new))
         at = e
     return "".join([*out, text[at:]]), made
 
 
-def pseudonymised(text: Column, key: bytes = KEY) -> Column:
+def pseudonymised(text: Column, key: bytes) -> Column:
     """A struct of the new text and the entities (start, end, kind, surrogate), null for null."""
 
     @F.pandas_udf("text string, entities array<struct<start:int,end:int,kind:string,surrogate:string>>")
@@ -251,14 +284,16 @@ def pseudonymised(text: Column, key: bytes = KEY) -> Column:
     return run(text.cast("string"))
 
 
-def surrogates(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def surrogates(docs: DataFrame, key: bytes) -> DataFrame:
     """doc_id, text with surrogates, n_entities, entities of every row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), pseudonymised(F.col("text"), key).alias("p"))
     return rows.select("doc_id", F.col("p.text").alias("text"), F.when(F.col("p.entities").isNull(), 0).otherwise(F.size("p.entities")).cast("long").alias("n_entities"), F.col("p.entities").alias("entities"))
 
 
-def remove_personal_data(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def remove_personal_data(docs: DataFrame, key: bytes) -> DataFrame:
     """All rows and columns of ``docs``, the texts with surrogates and n_chars to match."""
-    made = docs.withColumn("__p", pseudonymised(F.col("text"), key))
-    out = {"text": F.col("__p.text")} | ({"n_chars": F.when(F.col("__p.text").isNotNull(), F.length("__p.text").cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
-    return made.withColumns(out).select(*docs.columns)
+    p = unused("p", docs)
+    made = docs.withColumn(p, pseudonymised(F.col("text"), key))
+    text = F.col(f"{p}.text")
+    new = {"text": text, "n_chars": F.when(text.isNotNull(), F.length(text).cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
+    return made.select(*[new[c].alias(c) if c in new else own for c, own in zip(docs.columns, columns_of(docs))])

@@ -8,6 +8,11 @@ from lodeframe.llm import bpe, decontam, langid, licenses, omh, pii, sharding, t
 from lodeframe.llm.common import table
 
 
+def secret(spark: SparkSession) -> bytes:
+    """The key of surrogates, from the session's ``spark.lodeframe.key``; unset, as in tests, a key that is no secret."""
+    return (spark.conf.get("spark.lodeframe.key", None) or "no secret").encode()
+
+
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -33,7 +38,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.surrogates(table(spark, sf_dir, "documents"))
+    return pii.surrogates(table(spark, sf_dir, "documents"), secret(spark))
 
 
 def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
