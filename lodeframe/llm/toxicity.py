@@ -7,14 +7,15 @@ those are out-of-fold: each row's come from models that have not seen the row.
 
 The models are fitted on a bounded sample of labelled rows: at most about ``sample``,
 drawn by a hash of the id, whole texts. The features are hashed, and those that tell a
-category apart (chi-square of ``SIGNIFICANT`` or more) are kept, the best ``most`` at most;
-a longer tail of common words would outweigh the few that matter. All rows are scored,
+category apart (chi-square of ``SIGNIFICANT`` or more) are kept; a longer tail of common words would
+outweigh the few that matter. A model that predicts a fold has features that were chosen without it. All rows are scored,
 whole texts. A category is found from the probability on that has the best F0.5 over the
 out-of-fold predictions, as to drop a clean document costs more than to keep a toxic one.
 
 Null and empty texts have no features: their probability is the models' prior one, and they
 are never found. If no row is labelled, or all labels of a category are alike, the
-category's probability is 0 or 1 throughout, and no text is found. Repeated labels of an id count once, as the greatest. Repeated rows get equal results.
+category's probability is 0 or 1 throughout, and no text is found. Repeated labels of an id count once, as the greatest. Repeated rows get equal results,
+extra columns are kept by the filter, and an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from lodeframe.llm.common import checkpoint
 from lodeframe.llm.langid import LETTERS, slabs
 
-SAMPLE, MOST, BITS, FOLDS = 12_000, 20_000, 20, 3
+SAMPLE, BITS, FOLDS = 12_000, 20, 3
 #: Words whose features a worker remembers.
 MOST_KEPT = 300_000
 #: Rounds of the fit, weight of the penalty.
@@ -112,19 +113,27 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _chain(rows: pd.DataFrame, names: list[str], width: int) -> tuple[list[np.ndarray], list[float]]:
-    """Weights and cut of each category, from rows of id, features (places below ``width``) and 0 or 1 for each name."""
+def fold_of(row_id: int) -> int:
+    return zlib.crc32(str(row_id).encode()) % FOLDS
+
+
+def _chain(rows: pd.DataFrame, names: list[str], chosen: np.ndarray) -> tuple[list[np.ndarray], list[float]]:
+    """Weights and cut of each category, from rows of id, features (places in ``chosen``) and 0 or 1 for each name.
+
+    ``chosen[f, k]`` says whether feature f was chosen without fold k, in the last column whether it was by all rows.
+    """
+    width = len(chosen)
     rows = rows.assign(f=[np.asarray(f, np.int32) for f in rows["f"]])
     rows = rows.iloc[sorted(range(len(rows)), key=lambda i, ids=rows["id"].to_numpy(), fs=rows["f"].to_numpy(): (ids[i], fs[i].tobytes()))]
     lists = [np.asarray(f, np.int64) for f in rows["f"]]
-    fold = np.array([zlib.crc32(str(i).encode()) % FOLDS for i in rows["id"]], int)
+    fold = np.array([fold_of(i) for i in rows["id"]], int)
 
-    def packed(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        own = [lists[i] for i in which]
+    def packed(which: np.ndarray, by: int) -> tuple[np.ndarray, np.ndarray]:
+        own = [lists[i][chosen[lists[i], by]] for i in which]
         return np.concatenate([[0], np.cumsum([len(f) for f in own])]).astype(np.int64), np.concatenate(own).astype(np.int64) if own else np.zeros(0, np.int64)
 
-    def predict(w: np.ndarray, which: np.ndarray, more: np.ndarray) -> np.ndarray:
-        start, cols = packed(which)
+    def predict(w: np.ndarray, which: np.ndarray, more: np.ndarray, by: int) -> np.ndarray:
+        start, cols = packed(which, by)
         return _sigmoid(np.bincount(np.repeat(np.arange(len(which)), np.diff(start)), w[cols], minlength=len(which)) + more @ w[width:-1] + w[-1])
 
     everything, earlier = np.arange(len(rows)), np.zeros((len(rows), 0))
@@ -133,12 +142,12 @@ def _chain(rows: pd.DataFrame, names: list[str], width: int) -> tuple[list[np.nd
     prior: list[float] = []
     for name in names:
         y = rows[name].to_numpy(float) > 0
-        weights.append(_fit(*packed(everything), earlier, y, width))
+        weights.append(_fit(*packed(everything, FOLDS), earlier, y, width))
         out = np.zeros(len(rows))
         for k in range(FOLDS):
             seen, rest = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
             if len(rest):
-                out[rest] = predict(_fit(*packed(seen), earlier[seen], y[seen], width), rest, earlier[rest])
+                out[rest] = predict(_fit(*packed(seen, k), earlier[seen], y[seen], width), rest, earlier[rest], k)
         # A text of which the models know nothing stays below the cut.
         prior.append(float(_sigmoid(np.dot(weights[-1][width:-1], prior) + weights[-1][-1])))
         order = np.argsort(-out, kind="stable")
@@ -150,7 +159,7 @@ def _chain(rows: pd.DataFrame, names: list[str], width: int) -> tuple[list[np.nd
     return weights, cuts
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: list[str], sample: int = SAMPLE, most: int = MOST) -> dict:
+def train(docs: DataFrame, labels: DataFrame, categories: list[str], sample: int = SAMPLE) -> dict:
     """A chain for the ``categories``, columns of ``labels`` that hold 0 or 1; both tables have doc_id."""
     names = [f"y{i}" for i in range(len(categories))]
     marked = labels.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), *[F.col(c).cast("int").alias(y) for c, y in zip(categories, names)]).dropna()
@@ -159,23 +168,35 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], sample: int
     # The drawn labels are at most about ``sample`` rows, so they are sent to the documents.
     rows = checkpoint(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).filter("text is not null").join(F.broadcast(marked), "id"))
 
+    folds = range(FOLDS)
+    sums = [f"{x}_{k}" for k in folds for x in ("n", *names)]
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        features, table = Features(), np.zeros((1 << BITS, len(names) + 1), np.int32)
+        features, wide = Features(), len(names) + 1
+        table = np.zeros((1 << BITS, len(sums)), np.int32)
         for batch in batches:
-            for text, *y in batch[["text", *names]].itertuples(index=False):
-                table[list(features.of(text))] += np.array([1, *y], np.int32)
-        (seen,) = np.nonzero(table[:, 0])
-        yield pd.DataFrame({"h": seen, "n": table[seen, 0]} | {y: table[seen, i + 1] for i, y in enumerate(names)})
-
-    found = rows.mapInPandas(count, "h int, n int" + "".join(f", {y} int" for y in names)).groupBy("h").agg(F.sum("n").alias("n"), *[F.sum(y).alias(y) for y in names]).filter("n > 2")
-    totals = rows.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("n"), *[F.coalesce(F.sum(y), F.lit(0)).alias(y) for y in names]).first()
-    gains = []
-    for y in names:
-        share = totals[y] / totals["n"]
-        gains.append((F.col(y) - F.col("n") * share) ** 2 / F.greatest(F.col("n") * share * (1 - share), F.lit(1e-9)))
-    best = found.withColumn("gain", F.array_max(F.array(*gains))).filter(F.col("gain") >= SIGNIFICANT).orderBy(F.desc("gain"), "h").limit(most).select("h")
-    kept = np.sort(best.toArrow()["h"].to_numpy().astype(np.int64))
-    width = len(kept)
+            for row, text, *y in batch[["id", "text", *names]].itertuples(index=False):
+                at = fold_of(row) * wide
+                table[list(features.of(text)), at : at + wide] += np.array([1, *y], np.int32)
+        (seen,) = np.nonzero(table.any(axis=1))
+        yield pd.DataFrame({"h": seen} | {x: table[seen, i] for i, x in enumerate(sums)})
+
+    # Counts of each fold apart: what is chosen for a fold's predictions must not have seen it.
+    found = rows.mapInPandas(count, "h int" + "".join(f", {x} int" for x in sums)).groupBy("h").agg(*[F.sum(x).alias(x) for x in sums])
+    sizes = rows.select((F.crc32(F.col("id").cast("string").cast("binary")) % FOLDS).alias("fold"), *names).groupBy("fold").agg(F.count(F.lit(1)).alias("n"), *[F.sum(y).alias(y) for y in names]).collect()
+    size = {(x, r["fold"]): r[x] for r in sizes for x in ("n", *names)}
+    picks = []
+    for without in [*folds, None]:
+        used = [k for k in folds if k != without]
+        n, gains = sum((F.col(f"n_{k}") for k in used), F.lit(0)), []
+        for y in names:
+            share = sum(size.get((y, k), 0) for k in used) / max(1, sum(size.get(("n", k), 0) for k in used))
+            gains.append((sum((F.col(f"{y}_{k}") for k in used), F.lit(0)) - n * share) ** 2 / F.greatest(n * share * (1 - share), F.lit(1e-9)))
+        picks.append((n > 2) & (F.array_max(F.array(*gains)) >= SIGNIFICANT))
+    # Hashes are 1 << BITS at most, so what comes to the driver is bounded.
+    best = found.select("h", *[p.cast("boolean").alias(f"p{i}") for i, p in enumerate(picks)]).filter(" or ".join(f"p{i}" for i in range(FOLDS + 1))).orderBy("h").toArrow()
+    kept = best["h"].to_numpy().astype(np.int64)
+    chosen = np.column_stack([best[f"p{i}"].to_numpy().astype(bool) for i in range(FOLDS + 1)])
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         features = Features(kept)
@@ -185,11 +206,11 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], sample: int
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = list(batches)
         if any(len(x) for x in own):
-            yield pd.DataFrame({"chain": [pickle.dumps(_chain(pd.concat(own, ignore_index=True), names, width))]})
+            yield pd.DataFrame({"chain": [pickle.dumps(_chain(pd.concat(own, ignore_index=True), names, chosen))]})
 
     # One task fits the chain: what it reads is the bounded sample, and a lost executor costs a retry, not the job.
     got = rows.mapInPandas(place, "id long, f array<int>" + "".join(f", {y} int" for y in names)).repartition(1).mapInPandas(fit, "chain binary").first()
-    weights, cuts = pickle.loads(got["chain"]) if got else _chain(pd.DataFrame({x: [] for x in ("id", "f", *names)}), names, width)
+    weights, cuts = pickle.loads(got["chain"]) if got else _chain(pd.DataFrame({x: [] for x in ("id", "f", *names)}), names, chosen)
     return {"categories": categories, "kept": kept, "weights": weights, "cuts": cuts}
 
 
