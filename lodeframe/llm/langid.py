@@ -6,14 +6,12 @@ down to one, with marks for the ends of the word) that starts there scores inste
 scores of all words of a text add up, and the best language's share of the summed
 probabilities is the score.
 
-The model is fitted on a bounded sample of labelled rows: about ``sample`` for each of
-the ``most_langs`` commonest languages, drawn by a hash of the id, whole texts. Words
-and n-grams seen at least twice are kept, the ``most`` commonest (language, word) and
-(language, n-gram) counts of each kind.
+The model is fitted on a bounded sample of labelled rows: about ``sample`` for each
+language, drawn by a hash of the id, whole texts. All words and n-grams that a language has at least twice are kept.
 
 Null text and text without a letter: ``und``, score 0; the same if nothing was learned.
 Ties between languages go to the first by name. Null ids are neither learned from nor held
-out. Repeated rows get equal results, and extra columns are not looked at.
+out. Repeated rows get equal results, extra columns are not looked at, and an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,9 +26,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE, MOST_LANGS, MOST = 3000, 100, 120_000
-#: Words whose scores a worker remembers besides those learned.
-MOST_KEPT = 300_000
+SAMPLE = 3000
+#: Numbers that a worker remembers besides those learned, as scores of words.
+MOST_KEPT = 1_200_000
 #: n-grams weigh less than words, as those of one word overlap.
 GRAM, GRAM_WEIGHT = 5, 0.3
 
@@ -75,39 +73,41 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     yield pd.DataFrame({"lang": lang, "kind": kind, "unit": list(found), "n": list(found.values())})
 
 
-def train(labelled: DataFrame, sample: int = SAMPLE, most_langs: int = MOST_LANGS, most: int = MOST) -> dict:
+def train(labelled: DataFrame, sample: int = SAMPLE) -> dict:
     """A model from the columns id, text and lang."""
     rows = labelled.filter("text is not null and lang is not null and id is not null")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()
-    langs = sorted(r["lang"] for r in counts)
-    model = {"langs": langs, "words": [], "grams": [], "word_scores": np.zeros((0, len(langs))), "gram_scores": np.zeros((0, len(langs)))}
+    counts = rows.groupBy("lang").count().orderBy("lang").collect()
+    langs = [r["lang"] for r in counts]
+    model = {"langs": langs, "words": [], "grams": [], "word_scores": np.zeros((0, len(langs)), np.float32), "gram_scores": np.zeros((0, len(langs)), np.float32)}
     if not langs:
         return model
     part = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, sample / r["count"]))])[F.col("lang")]
     drawn = rows.filter(F.pmod(F.xxhash64(F.lit("langid"), "id"), F.lit(1 << 30)) < part * (1 << 30))
     units = drawn.select("lang", "text").mapInPandas(_count, "lang string, kind int, unit string, n long").groupBy("kind", "lang", "unit").agg(F.sum("n").alias("n")).filter("n > 1")
+    # One count for both kinds; it is as large as the vocabulary of the bounded sample.
+    seen = units.orderBy("kind", "unit", "lang").toArrow().to_pandas(categories=["lang"])
     place = {x: i for i, x in enumerate(langs)}
     for kind, name in ((0, "word"), (1, "gram")):
-        top = units.filter(F.col("kind") == kind).orderBy(F.desc("n"), "unit", "lang").limit(most).select("lang", "unit", "n").toPandas()
-        known = sorted(set(top["unit"]))
-        row = {u: i for i, u in enumerate(known)}
+        own = seen[seen["kind"] == kind]
+        known, row = np.unique(own["unit"].to_numpy(str), return_inverse=True) if len(own) else (np.zeros(0, str), np.zeros(0, int))
         table = np.zeros((len(known), len(langs)))
-        table[[row[u] for u in top["unit"]], [place[x] for x in top["lang"]]] = top["n"]
+        table[row, [place[x] for x in own["lang"]]] = own["n"]
         total = table.sum(axis=0) + 0.5 * max(1, len(known))
-        model[f"{name}s"], model[f"{name}_scores"] = known, np.log((table + 0.5) / total)
+        model[f"{name}s"], model[f"{name}_scores"] = known.tolist(), np.log((table + 0.5) / total).astype(np.float32)
     return model
 
 
 class Scorer:
     def __init__(self, model: dict):
         self.langs, self.model = model["langs"], model
-        self.grams = dict(zip(model["grams"], model["gram_scores"]))
+        self.grams = {g: i for i, g in enumerate(model["grams"])}
+        self.gram_scores = model["gram_scores"].astype(float)
         self.unknown = np.full(len(self.langs), math.log(1e-6))
         self.forget()
 
     def forget(self) -> None:
         self.rows = {w: i for i, w in enumerate(self.model["words"])}
-        self.scores = np.zeros((len(self.rows) + MOST_KEPT, len(self.langs)))
+        self.scores = np.zeros((len(self.rows) + max(1, MOST_KEPT // max(1, len(self.langs))), len(self.langs)))
         self.scores[: len(self.rows)] = self.model["word_scores"]
 
     def backed_off(self, word: str) -> np.ndarray:
@@ -116,7 +116,7 @@ class Scorer:
             for size in range(GRAM, 0, -1):
                 found = self.grams.get(marked[i : i + size])
                 if found is not None:
-                    total += found
+                    total += self.gram_scores[found]
                     break
             else:
                 total += self.unknown
