@@ -22,9 +22,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodeframe.llm.common import checkpoint
+
 #: Queries that are sent to the workers at once, candidates of a block of the index, values of a segment's group.
 QUERY_BLOCK, INDEX_BLOCK, LEVELS = 20_000, 16_384, 12
 
@@ -84,8 +87,8 @@ class ImpactIndex:
         return heapq.nsmallest(k, zip((-score).tolist(), ids[possible].tolist()))
 
 
-def _search(rows: DataFrame, queries: list[tuple[int, list[int]]], k: int) -> DataFrame:
-    sent = rows.sparkSession.sparkContext.broadcast([(i, np.array(v, np.int64)) for i, v in queries])
+def _search(rows: DataFrame, sent: Broadcast, k: int) -> DataFrame:
+    """The k best in each task for each of the queries that ``sent`` has: (vec_id, components)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best: dict[int, list[tuple[int, int]]] = {}
@@ -128,9 +131,15 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
     blocks = max(1, -(-asked.count() // query_block))
     out = None
     for b in range(blocks):
-        own = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b) if blocks > 1 else asked
-        queries = sorted((r.vec_id, list(r.v)) for r in own.collect())
-        part = _search(rows, queries, k).withColumn("query_row", F.struct(F.lit(b).alias("b"), F.col("query_row").alias("j")))
+        own = asked.filter(F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)) == b) if blocks > 1 else asked
+        got = own.toArrow().sort_by("vec_id")
+        sent = rows.sparkSession.sparkContext.broadcast([(i, np.array(v.as_py(), np.int64)) for i, v in zip(got["vec_id"].to_pylist(), got["v"])])
+        del got
+        part = _search(rows, sent, k).withColumn("query_row", F.struct(F.lit(b).alias("b"), F.col("query_row").alias("j")))
+        if blocks > 1:
+            # A block is done, with k rows for each query and task, before the next one's queries are fetched.
+            part = checkpoint(part)
+            sent.destroy()
         out = part if out is None else out.unionByName(part)
     # Each task has its k best; the rank over these is found in two steps, for no query's rows of all tasks to meet unthinned.
     best = Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id")
