@@ -4,12 +4,13 @@ The patterns are the windows of 10 consecutive words of the benchmark items; an
 fewer words is one window. Patterns of one length form a set. A block is two words (one
 word in sets of length 1). The shift table says how far the search may move on when a
 block ends at the current word; blocks that end a pattern have shift 0 and lead to a
-bucket of patterns by suffix, which are compared with the text word by word. Words
+bucket of patterns by suffix and prefix, which are compared with the text word by word. Words
 inside any occurrence are hit.
 
 A null text, and one without words, has no words and no hits. An empty benchmark, and
 items without words, give no patterns. Repeated items count by their item_id; null ids
-are left out. Extra columns are not looked at.
+are left out. Extra columns, whatever their names, are kept as they are by the filter. Long texts are
+searched whole, repeated rows each by itself, and an empty table of documents gives no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeframe.llm.common import byte_words, checkpoint
+from lodeframe.llm.common import byte_words, checkpoint, columns_of, unused
 
 #: Words in a window.
 WINDOW = 10
@@ -46,7 +47,8 @@ class Searcher:
                 for end in range(block, n + 1):
                     key = p[end - block : end] if block == 2 else p[0]
                     shift[key] = min(shift.get(key, n), n - end)
-                bucket.setdefault(p[n - block :] if block == 2 else p[0], []).append((list(p), of))
+                # Many patterns may have one suffix, so those of a bucket are told apart by their first words as well.
+                bucket.setdefault(p[n - block :] if block == 2 else p[0], {}).setdefault(p[:block], []).append((list(p), of))
             self.sets.append((n, block, shift, bucket))
 
     def search(self, words: list[bytes]) -> Iterator[tuple[int, int, tuple[str, ...]]]:
@@ -55,7 +57,7 @@ class Searcher:
             get, i, end = shift.get, n - 1, len(words)
             if block == 1:
                 for i in range(end):
-                    for _, of in bucket.get(words[i], ()):
+                    for _, of in bucket.get(words[i], {}).get((words[i],), ()):
                         yield i, 1, of
                 continue
             far = n - 1
@@ -65,9 +67,10 @@ class Searcher:
                 if step:
                     i += step
                     continue
-                for pattern, of in bucket[key]:
-                    if words[i - n + 1 : i + 1] == pattern:
-                        yield i - n + 1, n, of
+                start = i - n + 1
+                for pattern, of in bucket[key].get((words[start], words[start + 1]), ()):
+                    if words[start : i + 1] == pattern:
+                        yield start, n, of
                 i += 1
 
 
@@ -80,26 +83,29 @@ def _chunks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[str, list[by
         yield [(r.item, byte_words(r.text)) for r in (items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == k) if parts > 1 else items).collect()]
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, most: int = MOST_BYTES) -> DataFrame:
-    """The rows of ``docs`` with __n_words, __hits (runs of hit words as start, end, start, end ...) and __items.
+def scan(docs: DataFrame, benchmark: DataFrame, found: str, text: str = "text", window: int = WINDOW, most: int = MOST_BYTES, only_clean: bool = False) -> DataFrame:
+    """The rows of ``docs`` and a struct ``found`` of n_words, hits (runs of hit words as start, end, start, end ...) and items.
 
-    One narrow pass over the documents for each part of the benchmark, as a rule one.
+    One narrow pass over the documents for each part of the benchmark, as a rule one. With
+    ``only_clean`` rows with hits are dropped as soon as they are known.
     """
-    out = docs.selectExpr("*", "0L as __n_words", "cast(array() as array<int>) as __hits", "cast(array() as array<string>) as __items")
+    out = docs.withColumn(found, F.expr("named_struct('n_words', 0L, 'hits', cast(array() as array<int>), 'items', cast(array() as array<string>))"))
     searched = False
     for items in _chunks(benchmark, most):
         if searched:
             out = checkpoint(out)
         searched = True
-        out = _pass(out, items, text, window)
-    return out if searched else _pass(out, [], text, window)
+        out = _pass(out, items, found, text, window)
+        if only_clean:
+            out = out.filter(F.size(f"{found}.hits") == 0)
+    return out if searched else _pass(out, [], found, text, window)
 
 
-def _pass(docs: DataFrame, items: list[tuple[str, list[bytes]]], text: str, window: int) -> DataFrame:
+def _pass(docs: DataFrame, items: list[tuple[str, list[bytes]]], found: str, text: str, window: int) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(items)
 
     @F.pandas_udf("n_words long, hits array<int>, items array<string>")
-    def found(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    def search(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         searcher = Searcher(sent.value, window)
         for texts, hits, ids in batches:
             n, runs, names = [], [], []
@@ -121,27 +127,28 @@ def _pass(docs: DataFrame, items: list[tuple[str, list[bytes]]], text: str, wind
                 names.append(sorted(set(before).union(*(of for _, _, of in spans))))
             yield pd.DataFrame({"n_words": n, "hits": runs, "items": names})
 
-    kept = [c for c in docs.columns if c not in ("__n_words", "__hits", "__items")]
-    return docs.select(*kept, found(F.col(text).cast("string"), "__hits", "__items").alias("__f")).select(*kept, F.col("__f.n_words").alias("__n_words"), F.col("__f.hits").alias("__hits"), F.col("__f.items").alias("__items"))
+    return docs.withColumn(found, search(F.col(text).cast("string"), f"{found}.hits", f"{found}.items"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: int = MOST_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every row."""
-    rows = scan(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), benchmark, "text", window, most)
-    n_hit = F.expr("aggregate(sequence(0, size(__hits) div 2 - 1), 0L, (n, i) -> n + __hits[2 * i + 1] - __hits[2 * i])")
+    rows = scan(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), benchmark, "found", "text", window, most)
+    rows = rows.select("doc_id", "found.n_words", "found.hits", "found.items")
+    n_hit = F.expr("aggregate(sequence(0, size(hits) div 2 - 1), 0L, (n, i) -> n + hits[2 * i + 1] - hits[2 * i])")
     return rows.select(
         "doc_id",
-        F.col("__n_words").alias("n_words"),
-        F.when(F.size("__hits") > 0, n_hit).otherwise(F.lit(0).cast("long")).alias("n_hit"),
-        F.size("__items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("__items", ","), 256).alias("items_sha256"),
-        (F.size("__hits") > 0).alias("contaminated"),
+        "n_words",
+        F.when(F.size("hits") > 0, n_hit).otherwise(F.lit(0).cast("long")).alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.size("hits") > 0).alias("contaminated"),
     )
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: int = MOST_BYTES) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose text holds no window of the benchmark."""
-    return scan(docs, benchmark, "text", window, most).filter(F.size("__hits") == 0).select(*docs.columns)
+    found = unused("found", docs)
+    return scan(docs, benchmark, found, "text", window, most, only_clean=True).filter(F.size(f"{found}.hits") == 0).select(*columns_of(docs))
 
 
 ORACLE = r"""
