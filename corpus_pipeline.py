@@ -1,4 +1,10 @@
-"""A training corpus from ``documents``, in stages that each work on what the one before kept."""
+"""A training corpus from ``documents``, in stages that each work on what the one before kept.
+
+The last stage gives doc_id, n_tokens, digests and token_ids of each document that is left. Null
+texts count as clean and are encoded as empty; long texts are used whole; repeated rows are near
+duplicates of which one stays; an empty table gives no rows; further columns of documents, whatever their names, come through all
+stages but the last.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodeframe.llm import bpe, decontam, omh, pii, toxicity
 from lodeframe.llm.common import checkpoint, table
+from lodeframe.llm.queries import secret
 from lodeframe.session import ship
 
 
@@ -24,12 +31,12 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return pii.remove_personal_data(docs)
+    return pii.remove_personal_data(docs, secret(spark))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return bpe.encode_documents(docs)
+    return bpe.encode_documents(docs, with_ids=True)
 
 
 STAGES = [
