@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 HOT_SHARE = 1000
 #: Rows that a broadcast has answered, or that have a null key, go through the shuffle in so many parts.
 SPREAD = 4096
+#: Fewer narrow rows than FEW, or rows with texts than FEW_TEXTS, of one key burden no task, so that they are not hot.
+FEW, FEW_TEXTS = 50_000, 10_000
 
 
 def lookup_join(rows: DataFrame, found: DataFrame, keys: list[str], weight: str, total: int, how: str = "left") -> DataFrame:
@@ -22,10 +24,12 @@ def lookup_join(rows: DataFrame, found: DataFrame, keys: list[str], weight: str,
     broadcast: as their weights sum to ``total`` at most, there are at most HOT_SHARE of
     them. All other keys go through a shuffle in which no key is hot; the rows that are
     answered by then are spread over it by a hash of the row. Both sides are read once.
-    Null keys find nothing.
+    Null keys find nothing. Where no key can be hot this is a plain join with the same result.
     """
-    bound = max(2, -(-total // HOT_SHARE))
+    bound = max(FEW, -(-total // HOT_SHARE))
     extra = [c for c in found.columns if c not in (*keys, weight)]
+    if total < bound:
+        return rows.join(found.select(*keys, *extra), keys, how).select(*rows.columns, *extra)
     both = found.withColumns({"__ok": F.lit(True), "__spread": F.lit(0)}).select(*keys, *extra, "__ok", "__spread", weight)
     hot = both.filter(F.col(weight) >= bound).select(*keys, *[F.col(c).alias(f"__hot_{c}") for c in (*extra, "__ok")])
     cold = both.filter(F.col(weight) < bound).drop(weight)
@@ -41,7 +45,9 @@ def lookup_join(rows: DataFrame, found: DataFrame, keys: list[str], weight: str,
 
 def weighed_join(rows: DataFrame, found: DataFrame, keys: list[str], total: int, how: str = "left") -> DataFrame:
     """As ``lookup_join``, for a ``found`` that does not know how many of the ``total`` rows have its keys: hot ones are counted first."""
-    bound = max(2, -(-total // HOT_SHARE))
+    bound = max(FEW, -(-total // HOT_SHARE))
+    if total < bound:
+        return rows.join(found, keys, how).select(*rows.columns, *[c for c in found.columns if c not in keys])
     hot = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__weight")).filter(F.col("__weight") >= bound)
     known = found.join(F.broadcast(hot), keys, "left").withColumn("__weight", F.coalesce("__weight", F.lit(1)))
     return lookup_join(rows, known, keys, "__weight", total, how)
@@ -53,7 +59,9 @@ def salted_join(rows: DataFrame, found: DataFrame, key: str, total: int) -> Data
     The rows of a hot key are dealt to parts of about one in HOT_SHARE of all rows, and
     its row of ``found`` is sent to each: over all keys there are 2 * HOT_SHARE such copies at most.
     """
-    bound = max(2, -(-total // HOT_SHARE))
+    bound = max(FEW_TEXTS, -(-total // HOT_SHARE))
+    if total < bound:
+        return rows.join(found.hint("shuffle_merge"), key)
     hot = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__rows")).filter(F.col("__rows") >= bound)
     hot = F.broadcast(hot.select(key, F.ceil(F.col("__rows") / bound).cast("int").alias("__parts")))
     parts = F.coalesce("__parts", F.lit(1))
