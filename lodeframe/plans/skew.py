@@ -13,7 +13,7 @@ HOT_SHARE = 1000
 #: Rows that a broadcast has answered, or that have a null key, go through the shuffle in so many parts.
 SPREAD = 4096
 #: Fewer narrow rows than FEW, or rows with texts than FEW_TEXTS, of one key burden no task, so that they are not hot.
-FEW, FEW_TEXTS = 50_000, 10_000
+FEW, FEW_TEXTS = 1_000_000, 100_000
 
 
 def lookup_join(rows: DataFrame, found: DataFrame, keys: list[str], weight: str, total: int, how: str = "left") -> DataFrame:
