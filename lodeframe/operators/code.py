@@ -53,12 +53,12 @@ QUERIES = {
     "e06_nesting_depth": "select construct_id, cast(max(floor(length(regexp_extract(line, '^ *', 0)) / 4)) as int) as depth from code_lines_ c where trim(line) <> '' group by construct_id",
     "e07_line_numbers": "select doc_id, count(*) as n_lines, max(line_no) as last_line from lines_ l group by doc_id",
     "e17_import_section": "select construct_id, max(case when matches_(line, '^def ') then line_no end) as at from code_lines_ c group by construct_id",
-    "f07_issue_sort": "select construct_id, sev from (select construct_id, file, case when matches_(text, 'eval') then 'error' else 'info' end as sev from code_ c) t order by case sev when 'error' then 0 else 2 end, file, construct_id limit 100",
+    "f07_issue_sort": "select construct_id, sev from (select construct_id, file, case when matches_(text, 'eval') then 'error' else 'info' end as sev from code_ c) t order by case sev when 'error' then 0 else 2 end, file, construct_id",
     "f08_search_relevance": "select construct_id, rel from (select construct_id, case when position('3' in name) > 0 then 2 else 0 end + case when position('fixme' in lower(text)) > 0 then 1 else 0 end as rel from code_ c) t where rel > 0 order by rel desc, construct_id limit 100",
     "g05_keyword_jaccard": "select a.construct_id, round(array_length_(array_both_(a.k, b.k)) * 1.0 / (array_length_(a.k) + array_length_(b.k) - array_length_(array_both_(a.k, b.k))), 6) as j from (select construct_id, array_unique_(regexp_extract_all(text, '(if|for|while|return|eval|print|var)', 0)) as k from code_ x) a join (select construct_id - 1 as construct_id, array_unique_(regexp_extract_all(text, '(if|for|while|return|eval|print|var)', 0)) as k from code_ y) b on a.construct_id = b.construct_id",
     "h01_tokens": "select construct_id, array_length_(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*|[0-9]+|[^A-Za-z0-9_ \\n]', 0)) as n from code_ c",
-    "h02_token_shingles": "select construct_id, array_text_(array_map_(numbers_(1, 5), i -> array_text_(slice_(t, i, 3), ' ')), '|') as s from (select construct_id, regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*', 0) as t from code_ c) q",
-    "h03_char_shingles": "select doc_id, array_text_(array_map_(numbers_(1, 10), i -> substring(text, i, 3)), '|') as s from documents where length(text) >= 12",
+    "h02_token_shingles": "select construct_id, array_text_(array_map_(numbers_(1, greatest(array_length_(t) - 2, 1)), i -> array_text_(slice_(t, i, 3), ' ')), '|') as s from (select construct_id, regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*', 0) as t from code_ c) q",
+    "h03_char_shingles": "select doc_id, array_text_(array_map_(numbers_(1, greatest(length(text) - 2, 1)), i -> substring(text, cast(i as int), 3)), '|') as s from documents where text is not null",
     "h09_cyclomatic": "select construct_id, 1 + array_length_(regexp_extract_all(text, '" + _KEY + "', 0)) + array_length_(regexp_extract_all(text, ' and | or ', 0)) as cyclomatic from code_ c",
     "h10_cognitive": "select construct_id, cast(sum(case when matches_(line, '^ *(if|for|while|elif) ') then 1 + greatest(0, floor(length(regexp_extract(line, '^ *', 0)) / 4) - 1) else 0 end + case when matches_(line, ' and | or ') then 1 else 0 end) as bigint) as cognitive from code_lines_ c group by construct_id",
     "h11_line_keyword": "select construct_id, line_no, regexp_extract(line, '^ *(if|for|while|elif|return)([ (:]|$)', 1) as kw from code_lines_ c where matches_(line, '^ *(if|for|while|elif|return)([ (:]|$)')",

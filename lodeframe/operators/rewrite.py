@@ -2,7 +2,7 @@
 
 # What a metavariable may look like, and what is wrong with it.
 _PATTERN = "(select p_partkey as id, case p_partkey % 8 when 0 then '$NAME' when 1 then '$$ARG' when 2 then '$$$ARGS' when 3 then '$_X' when 4 then '$name' when 5 then '$1X' when 6 then '$A-B' else 'plain' end || case when p_size % 2 = 0 then '($$$)' else '' end as pattern from part)"
-_NULL_EQUALITY = r"r'[=!]=\s*(null|undefined)|(null|undefined)\s*[=!]='"
+_NULL_EQUALITY = r"r'(^|[^=!])(==|!=)\s*(null|undefined)\b|\b(null|undefined)\s*(==|!=)([^=]|$)'"
 _LOOSE = "(select construct_id, line_no, case when line_no % 4 = 0 then 'if (x == ' || cast(line_no as string_) || ' && y == 2)' when line_no % 4 = 1 then 'if (x == null)' when line_no % 4 = 2 then 'while (a != b)' else line end as line from code_lines_ c)"
 _INDENT = "length(regexp_extract(line, '^ *', 0))"
 _CALLS = "array_sorted_(array_unique_(array_filter_(regexp_extract_all(text, r'\\b([A-Za-z_][A-Za-z0-9_]*)\\s*\\(', 1), x -> not array_has_(array('if', 'for', 'while', 'print', 'range', 'len', 'eval', 'def'), x) and x <> name)))"
@@ -13,7 +13,8 @@ _REFERENCES = "(select construct_id, file, line_no, line, case when matches_(lin
 _VIOLATIONS = "(select construct_id, file, line_no, case when matches_(line, r'eval\\(') then 'error' when matches_(line, 'FIXME') then 'warning' else 'info' end as severity, case when matches_(line, r'eval\\(') then 'no-eval-exec' when matches_(line, 'FIXME') then 'no-fixme' else 'no-print-production' end as rule from code_lines_ c where matches_(line, r'eval\\(|FIXME|print\\('))"
 _SEVERITY = "case severity when 'error' then 0 when 'warning' then 1 else 2 end"
 _PARAMS = "(select p_partkey as id, array('a', 'b', case when p_size % 3 = 0 then 'c' else 'd' end) as actual, array('a', case when p_size % 2 = 0 then 'b' else 'x' end, case when p_size % 5 = 0 then 'c' else 'd' end) as doc from part)"
-_TERMS = [("async", "async_function"), ("await", "async_function"), ("function", "function"), ("method", "function"), ("def", "function"), ("class", "class"), ("try", "try_catch"), ("catch", "try_catch"), ("import", "import"), ("if", "if_statement"), ("for", "for_loop"), ("lambda", "arrow_function")]
+# The terms of a query and the construct that the first of them in it stands for.
+_TERMS = [("async", "async_function"), ("await", "async_function"), ("asynchronous", "async_function"), ("function", "function"), ("method", "function"), ("def", "function"), ("class", "class"), ("struct", "class"), ("try", "try_catch"), ("catch", "try_catch"), ("except", "try_catch"), ("error", "try_catch"), ("exception", "try_catch"), ("import", "import"), ("require", "import"), ("use", "import"), ("if", "if_statement"), ("conditional", "if_statement"), ("for", "for_loop"), ("loop", "for_loop"), ("foreach", "foreach"), ("iterate", "foreach"), ("lambda", "arrow_function"), ("arrow", "arrow_function"), ("closure", "arrow_function")]
 
 QUERIES = {
     "b22_metavariables": f"select id, case when matches_(pattern, r'\\$\\$\\$([A-Z][A-Z0-9_]*)?') then 'multi' when matches_(pattern, r'\\$\\$([A-Z][A-Z0-9_]*)') then 'unnamed' when matches_(pattern, r'\\$_([A-Z][A-Z0-9_]*)?') then 'non_capturing' when matches_(pattern, r'\\$([A-Z][A-Z0-9_]*)') then 'single' else 'none' end as kind from {_PATTERN} p",
