@@ -47,7 +47,8 @@ def weighed_join(rows: DataFrame, found: DataFrame, keys: list[str], total: int,
     """As ``lookup_join``, for a ``found`` that does not know how many of the ``total`` rows have its keys: hot ones are counted first."""
     bound = max(FEW, -(-total // HOT_SHARE))
     if total < bound:
-        return rows.join(found, keys, how).select(*rows.columns, *[c for c in found.columns if c not in keys])
+        # ``found`` grows with the data: it is not for the driver to gather, even while it is small.
+        return rows.join(found.hint("shuffle_merge"), keys, how).select(*rows.columns, *[c for c in found.columns if c not in keys])
     hot = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__weight")).filter(F.col("__weight") >= bound)
     known = found.join(F.broadcast(hot), keys, "left").withColumn("__weight", F.coalesce("__weight", F.lit(1)))
     return lookup_join(rows, known, keys, "__weight", total, how)
