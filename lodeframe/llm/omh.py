@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeframe.llm.common import byte_words, checkpoint, columns_of, lookup_join, unused
+from lodeframe.llm.common import byte_words, checkpoint, columns_of, lookup_join, unused, weighed_join
 from lodeframe.operators import graph
 from lodeframe.plans.skew import salted_join
 
@@ -333,9 +333,16 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     nodes = checkpoint(rows.select(F.col("rid").alias("own"), "h", "n", "sk").join(groups.select("own", "h", F.col("node").alias("rid")), ["own", "h"]).groupBy("rid").agg(F.min("own").alias("own"), F.min("h").alias("h"), F.min("n").alias("n"), F.min("sk").alias("sk")))
     found = checkpoint(buckets(nodes, total))
     near = checkpoint(verified(checkpoint(candidate_pairs(found, similarity)), nodes, docs, similarity))
-    rest = checkpoint(rest_of_large(found, components(near), nodes, docs, total, similarity))
-    links = components(near.unionByName(rest))
-    classes = groups.join(links, "node", "left").select("k1", "k2", "weight", F.coalesce("class", "node").alias("class"), F.when(F.coalesce("class", "node") == F.col("node"), F.struct("own", "h")).alias("first"))
+    label = components(near)
+    rest = checkpoint(rest_of_large(found, label, nodes, docs, total, similarity))
+    # What the rest links are classes by now: only their ends need connecting again.
+    ends = rest
+    for end in ("a", "b"):
+        ends = weighed_join(ends, label.select(F.col("node").alias(end), F.col("class").alias(f"{end}_")), [end], total).withColumn(end, F.coalesce(f"{end}_", end)).drop(f"{end}_")
+    joined = components(ends).select(F.col("node").alias("class"), F.col("class").alias("last"))
+    known = groups.join(label.hint("shuffle_merge"), "node", "left").withColumn("class", F.coalesce("class", "node"))
+    known = weighed_join(known, joined, ["class"], total).withColumn("class", F.coalesce("last", "class"))
+    classes = known.select("k1", "k2", "weight", "class", F.when(F.col("class") == F.col("node"), F.struct("own", "h")).alias("first"))
     out = lookup_join(rows.select("rid", "h", "k1", "k2"), classes, ["k1", "k2"], "weight", total)
     kept = F.coalesce((F.col("rid") == F.col("first.own")) & F.col("h").eqNullSafe(F.col("first.h")), F.lit(False))
     return out.select("rid", "h", "class", kept.alias("kept"))
