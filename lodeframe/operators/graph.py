@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeframe.plans.skew import weighed_join
-from lodeframe.session import checkpoint
+from lodeframe.session import checkpoint, settle
 
 _FOLDER = "regexp_replace(source, '/[^/]*$', '')"
 _PARENT = "regexp_replace(source, '/[^/]*/[^/]*$', '')"
@@ -77,7 +77,7 @@ def components(edges: DataFrame) -> DataFrame:
     rounds together do little more than the first. A node that many point to is joined by
     broadcast. Nothing is collected. Null ends are dropped; loops and repeats do not matter.
     """
-    ends = checkpoint(edges.select(F.least("source", "target").alias("u"), F.greatest("source", "target").alias("v")).filter("source is not null and target is not null").distinct())
+    ends = settle(edges.select(F.least("source", "target").alias("u"), F.greatest("source", "target").alias("v")).filter("source is not null and target is not null").distinct())
     label, size = ends.select(F.explode(F.array("u", "v")).alias("node")).distinct().withColumn("class", F.col("node")), ends.count()
     ends = ends.filter("u <> v")
     left = ends.count()
@@ -86,14 +86,14 @@ def components(edges: DataFrame) -> DataFrame:
         to = checkpoint(both.groupBy(F.col("u").alias("from")).agg(F.least(F.min("v"), F.col("u")).alias("to")))
         while True:
             beyond = to.select(F.col("from").alias("to"), F.col("to").alias("beyond"))
-            step = checkpoint(weighed_join(to, beyond, ["to"], 2 * left).select("from", F.col("beyond").alias("to"), (F.col("beyond") != F.col("to")).alias("moved")))
+            step = settle(weighed_join(to, beyond, ["to"], 2 * left).select("from", F.col("beyond").alias("to"), (F.col("beyond") != F.col("to")).alias("moved")))
             to = step.select("from", "to")
             if step.filter("moved").isEmpty():
                 break
-        label = checkpoint(weighed_join(label, to.withColumnRenamed("from", "class"), ["class"], 2 * size).select("node", F.coalesce("to", "class").alias("class")))
+        label = settle(weighed_join(label, to.withColumnRenamed("from", "class"), ["class"], 2 * size).select("node", F.coalesce("to", "class").alias("class")))
         moved = weighed_join(ends, to.select(F.col("from").alias("u"), F.col("to").alias("p")), ["u"], left)
         moved = weighed_join(moved, to.select(F.col("from").alias("v"), F.col("to").alias("q")), ["v"], left)
-        ends = checkpoint(moved.filter("p <> q").select(F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v")).distinct())
+        ends = settle(moved.filter("p <> q").select(F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v")).distinct())
         left = ends.count()
     return label
 

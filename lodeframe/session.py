@@ -39,3 +39,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
             folder = os.path.join(tempfile.gettempdir(), "lodeframe-checkpoints")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """A checkpoint that does not remember the size its plan was estimated at.
+
+    For loops whose rounds join what the last one wrote: a join is estimated at the product of its
+    sides, so the digits of the estimate double with each round until they fill the driver's memory.
+    """
+    kept = checkpoint(df)
+    session = kept.sparkSession
+    return DataFrame(session._jsparkSession.internalCreateDataFrame(kept._jdf.queryExecution().toRdd(), kept._jdf.schema(), False), session)

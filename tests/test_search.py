@@ -84,3 +84,11 @@ def test_rewrites_and_hybrid(spark):
     long = "\n".join(f"w{i} = {i}" for i in range(60))
     pairs = spark.createDataFrame([(1, long, long), (2, long, "a b c d"), (3, None, "a")], "id int, a string, b string")
     assert [(r.id, r.method) for r in search.hybrid_similarity(pairs).orderBy("id").collect()] == [(1, "hybrid"), (2, "minhash"), (3, "minhash")]
+
+
+def test_estimates_do_not_grow_over_the_rounds_of_components(spark):
+    """A join is estimated at the product of its sides: kept from round to round, its digits double each time."""
+    chain = spark.range(60).select(F.xxhash64("id").alias("source"), F.xxhash64(F.col("id") + 1).alias("target"))
+    found = graph.components(chain)
+    assert found.count() == 61 and found.select("class").distinct().count() == 1
+    assert found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 10**40
