@@ -212,25 +212,27 @@ def _cell(pdf: pd.DataFrame, similarity: float) -> list[tuple[int, int]]:
     # Equal words are numbered, so that texts have as many of these in common as words.
     labelled = [labelled_kmers(w.astype(np.uint64), 1) for w in words]
     codes = np.unique(np.concatenate(labelled), return_inverse=True)[1]
-    starts = np.concatenate([[0], np.cumsum(size)[:-1]])
-    marks = np.zeros(int(codes.max()) + 1, np.int32)
+    codes = np.split(codes, np.cumsum(size)[:-1])
+    marks = np.zeros(max(int(c.max()) for c in codes) + 1, np.int32)
     top = np.unique(pdf["class"].to_numpy(), return_inverse=True)[1]
     out = []
     for i in range(len(rids) - 1):
-        later = np.arange(len(rids)) > i
-        later &= top != top[i]
+        # What costs least goes first: words are counted for those that are left.
+        later = np.arange(i + 1, len(rids))
+        later = later[top[later] != top[i]]
         if across:
-            later &= own != own[i]
-        if not later.any():
-            continue
-        mine = codes[starts[i] : starts[i] + size[i]]
-        marks[mine] = 1
-        shared = np.add.reduceat(marks[codes], starts)
-        marks[mine] = 0
-        later &= shared >= similarity * np.maximum(size, size[i]) - 1e-9
+            later = later[own[later] != own[i]]
+        later = later[np.minimum(size[later], size[i]) >= similarity * np.maximum(size[later], size[i]) - 1e-9]
         if at:
-            later &= ~(sk[:, :at] == sk[i, :at]).any(axis=1)
-        for j in np.flatnonzero(later).tolist():
+            later = later[~(sk[later, :at] == sk[i, :at]).any(axis=1)]
+        if not len(later):
+            continue
+        marks[codes[i]] = 1
+        starts = np.concatenate([[0], np.cumsum(size[later])[:-1]])
+        shared = np.add.reduceat(marks[np.concatenate([codes[j] for j in later.tolist()])], starts)
+        marks[codes[i]] = 0
+        later = later[shared >= similarity * np.maximum(size[later], size[i]) - 1e-9]
+        for j in later.tolist():
             if top[i] != top[j] and similar(words[i], words[j], similarity):
                 out.append((rids[i], rids[j]))
                 top[top == top[j]] = top[i]
