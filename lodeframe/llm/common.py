@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeframe.plans.skew import HOT_SHARE, lookup_join, weighed_join
-from lodeframe.session import checkpoint, ship
+from lodeframe.session import checkpoint, ship, written
 
-__all__ = ["HOT_SHARE", "WORD_BYTES", "ascii_lower", "byte_words", "checkpoint", "columns_of", "lookup_join", "ship", "table", "unused", "weighed_join"]
+__all__ = ["HOT_SHARE", "WORD_BYTES", "ascii_lower", "byte_words", "checkpoint", "columns_of", "lookup_join", "ship", "table", "unused", "weighed_join", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeframe.llm import bpe, decontam, langid, licenses, omh, pii, sharding, topk, toxicity, urlfilter
+from lodeframe.llm import alignment, bpe, decontam, langid, licenses, omh, packing, pii, sharding, spelling, topk, toxicity, urlfilter
 from lodeframe.llm.common import table
 
 
@@ -53,11 +53,24 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_language_id, op3_url_filter, op4_byte_bpe, op5_sharding, op6_toxicity, op7_pii_surrogates, op8_order_minhash, op9_decontamination, op10_exact_topk)}
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_language_id, op3_url_filter, op4_byte_bpe, op5_sharding, op6_toxicity, op7_pii_surrogates, op8_order_minhash, op9_decontamination, op10_exact_topk, op11_token_alignment, op12_best_fit_packing, op13_spelling_variants)}
 
 ORACLES = {
     "op1_license_scan": licenses.ORACLE,
     "op5_sharding": sharding.ORACLE,
     "op9_decontamination": decontam.ORACLE,
     "op10_exact_topk": topk.ORACLE,
+    "op13_spelling_variants": spelling.ORACLE,
 }
