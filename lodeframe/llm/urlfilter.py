@@ -13,7 +13,8 @@ the next level. A template's purity is the share of blocked pages among its labe
 smoothed by ``PSEUDO`` pages and by ``UNSEEN`` of its unlabelled ones, half of them blocked:
 a template whose labelled pages are all blocked is rejected from about one for four others on.
 
-The rounds go as deep as paths of one host branch. Shares and mixtures decide, not numbers
+The rounds go as deep as the longest path that two keys of a host share: a key that is alone leaves
+them. Their cost does not grow from one to the next. Shares and mixtures decide, not numbers
 of rows, so that more rows of the same kind give the same tree.
 
 Null urls and such without ``://`` have empty host and path and are allowed, as is
@@ -29,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeframe.llm.common import ascii_lower, checkpoint, lookup_join
+from lodeframe.session import settle
 
 # The rules of the contract.
 RULES = [
@@ -118,7 +120,7 @@ def _names(rows: DataFrame, total: int) -> DataFrame:
     sums = lambda name, size: F.array(*[F.sum(F.col(name)[i]) for i in range(size)]).alias(name)
     few = child.withColumn("seg", seg).groupBy("host", "up", "seg").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows"), sums("shapes", len(CLASSES)), sums("labels", 2))
     found = few.groupBy("host", "up").agg(F.sum("rows").alias("weight"), F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("less"), "seg", "shapes", "labels"))).alias("c"))
-    return checkpoint(found.select("host", "up", F.expr(_named("c")).alias("names"), (F.col("weight") == 1).alias("alone"), "weight"))
+    return settle(found.select("host", "up", F.expr(_named("c")).alias("names"), (F.col("weight") == 1).alias("alone"), "weight"))
 
 
 def templates(pages: DataFrame) -> tuple[DataFrame, int]:
@@ -139,7 +141,8 @@ def templates(pages: DataFrame) -> tuple[DataFrame, int]:
         name = F.coalesce(F.element_at("names", F.col("seg")), F.element_at("names", F.lit("*")))
         rest = F.array_join(F.slice("t", level, 1 << 30), "/")
         ended = F.col("alone") | (F.size("t") <= level)
-        now = checkpoint(now.withColumn("up", F.concat("up", F.lit("/"), F.when(F.col("alone"), rest).otherwise(name))).withColumn("ended", ended).drop("seg", "below", "names", "alone"))
+        # Each level joins what the last one wrote, so sizes must not be estimated from sizes.
+        now = settle(now.withColumn("up", F.concat("up", F.lit("/"), F.when(F.col("alone"), rest).otherwise(name))).withColumn("ended", ended).drop("seg", "below", "names", "alone"))
         parts.append(now.filter("ended"))
         rows = now.filter("not ended").drop("ended")
     rows = rows.withColumn("ended", F.lit(True))

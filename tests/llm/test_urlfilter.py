@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 from collections import defaultdict
 
 from lodeframe.llm import urlfilter
@@ -152,3 +153,13 @@ def test_odd_urls(spark):
     out = {r.page_id: r for r in rows}
     assert out[9][1:] == out[11][1:] and out[13].rule is None and out[13].path == "//es//7/" and (out[0].host, out[0].path) == ("", "")
     assert urlfilter.judge(pages.limit(0)).count() == 0
+
+
+def test_deep_paths(spark):
+    """Sixty shared segments, as in a crawler's trap, take sixty rounds of like cost."""
+    deep = "/".join(f"part{chr(97 + i % 26)}" for i in range(60))
+    rows = [(k, f"http://h.com/{deep}/{last}") for k, last in enumerate(("one", "two", "one"))]
+    began = time.time()
+    got = urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()
+    assert len(got) == 3 and {r.verdict for r in got} == {"allow"} and {r.rule for r in got} == {"com/"}
+    assert time.time() - began < 120
