@@ -21,9 +21,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodeframe.llm.bpe import groups
 from lodeframe.llm.common import written
 from lodeframe.llm.tokens import byte_encoder, piece_encoder, public_pattern, public_vocabulary
 
+#: Characters of the texts whose arrays are held at once.
+TOGETHER = 1_000_000
 #: A pair of ids as one number: the first times this, and the second.
 PAIR = 1 << 20
 def tokens(docs: DataFrame, a_path: str | None = None, b_path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -35,21 +38,25 @@ def tokens(docs: DataFrame, a_path: str | None = None, b_path: str | None = None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = byte_encoder(a_path, pattern), piece_encoder(b_path)
         for batch in batches:
-            made = []
-            for text in batch["text"].to_pylist():
-                row = [nothing] * 4
-                if text:
-                    data = b" " + text.encode()
-                    a_ids, b_ids = a.encode(" " + text), b.encode(text)
-                    a_ends, b_ends = a.ends(a_ids, data), b.ends(b_ids, data)
-                    if a_ends is not None and b_ends is not None:
-                        row = [a_ids, a_ends, b_ids, b_ends]
-                made.append(row)
-            lists = {}
-            for k, name in enumerate(names):
-                sizes = np.cumsum([0, *(len(row[k]) for row in made)]).astype(np.int32)
-                lists[name] = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate([row[k] for row in made] or [nothing]).astype(np.int32)))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], **lists})
+            at = 0
+            # A text's four arrays are many times its size, so few texts are held at once.
+            for texts in groups([t or "" for t in batch["text"].to_pylist()], TOGETHER):
+                made = []
+                for text in texts:
+                    row = [nothing] * 4
+                    if text:
+                        data = b" " + text.encode()
+                        a_ids, b_ids = a.encode(" " + text), b.encode(text)
+                        a_ends, b_ends = a.ends(a_ids, data), b.ends(b_ids, data)
+                        if a_ends is not None and b_ends is not None:
+                            row = [a_ids, a_ends, b_ids, b_ends]
+                    made.append(row)
+                lists = {}
+                for k, name in enumerate(names):
+                    sizes = np.cumsum([0, *(len(row[k]) for row in made)]).astype(np.int32)
+                    lists[name] = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate([row[k] for row in made]).astype(np.int32)))
+                yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"].slice(at, len(texts)), **lists})
+                at += len(texts)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, a_ids array<int>, a_ends array<int>, b_ids array<int>, b_ends array<int>")
