@@ -1,11 +1,7 @@
-"""Classes of similar code: signatures, band index, exact verification, merged groups.
+"""Classes of similar code: an exact join of shingle sets, merged to classes.
 
-Equal texts are one node from the start. Nodes that agree on a band of their signatures are
-candidates; a band's bucket of up to ``SMALL`` nodes gives all its pairs. In a larger one
-every node is paired with the bucket's leader, and the bucket is split by the node's next
-band, where the same is done. Over all bands a link has many ways to be found; the tests
-measure what is found against all pairs. Candidates are verified by the exact Jaccard
-similarity of their shingles of three tokens, and links are merged to classes.
+Equal texts are one node from the start. Nodes are linked by the exact Jaccard similarity of their
+shingles of three tokens, which ``setjoin`` finds for all pairs. Links are merged to classes.
 
 Null texts and those without tokens are alike only to equal ones that are not null.
 Repeated ids count once, as the row with the least text. Empty input gives no rows.
@@ -13,63 +9,22 @@ Repeated ids count once, as the row with the least text. Empty input gives no ro
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from lodeframe.operators import setjoin
 from lodeframe.operators.graph import components
-from lodeframe.operators.search import BANDS, _code, bands, shingles, signature
+from lodeframe.operators.search import _code
+from lodeframe.plans import dialect
 from lodeframe.plans.skew import lookup_join
 from lodeframe.session import checkpoint
 
-SMALL, SIMILARITY = 12, 0.8
-
-
-@F.pandas_udf(T.DoubleType())
-def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Exact similarity of the shingles of two texts."""
-
-    def of(x: str, y: str) -> float:
-        s, t = shingles(x), shingles(y)
-        return len(s & t) / max(1, len(s | t))
-
-    return pd.Series([of(x, y) for x, y in zip(a, b)], dtype="float64")
-
-
-def _pair(a: str, b: str) -> list:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
-
-
-def _bucketed(rows: DataFrame, total: int) -> DataFrame:
-    """The rows (node, key, ...) whose key others have as well, with members and leader."""
-    found = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("leader")).filter("members > 1")
-    return lookup_join(rows, found.withColumn("weight", F.col("members")), ["key"], "weight", total, "inner")
-
-
-def _pairs(rows: DataFrame) -> DataFrame:
-    """All pairs of small buckets, pairs with the leader of larger ones."""
-    lists = rows.filter(F.col("members") <= SMALL).groupBy("key").agg(F.array_sort(F.collect_list("node")).alias("m"))
-    inner = lists.select(F.posexplode("m").alias("i", "x"), "m").select("x", F.explode(F.expr("slice(m, i + 2, size(m))")).alias("y")).select(*_pair("x", "y"))
-    return inner.unionByName(rows.filter((F.col("members") > SMALL) & (F.col("node") != F.col("leader"))).select(*_pair("node", "leader")))
-
-
-def candidates(signed: DataFrame) -> DataFrame:
-    """Distinct pairs a < b of nodes (node, sig) that may be similar."""
-    sized = signed.filter(F.size("sig") > 0).select("node", bands(F.col("sig")).alias("x"))
-    rows = sized.select("node", F.posexplode("x").alias("i", "y"), "x").select("node", F.col("y.hash").alias("key"), F.xxhash64("y.hash", F.get("x", (F.col("i") + 1) % BANDS)["hash"]).alias("deeper"))
-    total = signed.count() * BANDS
-    first = checkpoint(_bucketed(rows, total))
-    large = first.filter(F.col("members") > SMALL).select("node", F.col("deeper").alias("key"))
-    return _pairs(first).unionByName(_pairs(_bucketed(large, total))).distinct()
+SIMILARITY = 0.8
 
 
 def links(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """a, b, similarity of the linked pairs of nodes (node, text) with different texts."""
-    pairs = checkpoint(candidates(checkpoint(nodes.select("node", signature("text").alias("sig")))))
-    one = pairs.join(nodes.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-    both = one.join(nodes.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-    return both.select("a", "b", jaccard("ta", "tb").alias("similarity")).filter(F.col("similarity") >= similarity)
+    return setjoin.similar_sets(checkpoint(nodes.select("node", setjoin.token_shingles(F.col("text")).alias("items"))), similarity)
 
 
 def clone_classes(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -97,4 +52,43 @@ def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links(code.groupBy("text").agg(F.min("id").alias("node")).select("node", "text"))
 
 
-FRAMES = {"j06_similar_pairs": _links, "j19_clone_classes": _classes}
+def _anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of the functions of each file in order of their ids."""
+    return setjoin.anchor_clusters(_code(spark, sf_dir).select(F.col("file").alias("bucket"), "id", "text"), SIMILARITY)
+
+
+def _gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each file, whether its functions, of which no two are candidates, are all compared."""
+    code = checkpoint(_code(spark, sf_dir).select("id", F.col("file").alias("bucket"), "text"))
+    tokens = F.size(F.regexp_extract_all("text", F.lit(setjoin.TOKEN), F.lit(0)))
+    own = code.select(F.struct("bucket", "id").alias("node"), F.transform(setjoin.token_shingles(F.col("text")), lambda x: F.xxhash64("bucket", x)).alias("items"))
+    pairs = setjoin.similar_sets(checkpoint(own), SIMILARITY).select(F.col("a.bucket").alias("bucket"))
+    return setjoin.compare_all(code.select("bucket", tokens.alias("tokens")), pairs)
+
+
+FRAMES = {"j06_similar_pairs": _links, "j19_clone_classes": _classes, "e02_anchor_clusters": _anchors, "c15_fallback_gate": _gate}
+
+#: All pairs, by the strings of their shingles: nothing is hashed, ordered or left out.
+_SETS = f"""
+tokens as (select {{key}} as node, {{bucket}} as bucket, min(construct_id) as id, count(*) as n_copies, regexp_extract_all(text, '{setjoin.TOKEN}') as t from code_ c group by {{group}}),
+sets as (select *, list_distinct(list_transform(range(1, greatest(len(t) - {setjoin.SHINGLE} + 1, 1) + 1), lambda i: array_to_string(t[i:i + {setjoin.SHINGLE} - 1], ' '))) as s from tokens where len(t) > 0),
+shingles as (select node, bucket, len(s) as size, unnest(s) as shingle from sets),
+met as (select x.node as a, y.node as b, any_value(x.size) as m, any_value(y.size) as n, count(*) as shared from shingles x join shingles y on x.shingle = y.shingle and x.bucket = y.bucket and x.node < y.node group by 1, 2),
+linked as (select a, b, shared / (m + n - shared) as similarity from met where shared / (m + n - shared) >= {SIMILARITY})
+"""
+_BY_TEXT = _SETS.format(key="min(construct_id)", bucket="0", group="text")
+_BY_ITEM = _SETS.format(key="construct_id", bucket="file", group="construct_id, file, text")
+FRAME_ORACLES = {
+    "j06_similar_pairs": dialect.duck_sql(f"with {_BY_TEXT} select a, b, similarity from linked"),
+    "j19_clone_classes": dialect.duck_sql(f"""with recursive {_BY_TEXT},
+both_ways as (select a, b from linked union all select b, a from linked),
+reached as (select node, node as other from tokens union select r.node, b.b from reached r join both_ways b on b.a = r.other),
+classes as (select node, min(other) as class_id from reached group by node),
+degree as (select a as node, count(*) as n_links from both_ways group by a),
+first as (select text, min(construct_id) as node from code_ c group by text)
+select c.construct_id as id, class_id, n_copies, coalesce(n_links, 0) as n_links from code_ c join first using (text) join classes using (node) join tokens using (node) left join degree using (node)"""),
+    "c15_fallback_gate": dialect.duck_sql(f"""with {_BY_ITEM},
+sizes as (select bucket, count(*) as n_items, count(*) filter (where len(t) < {setjoin.FEW_TOKENS}) as n_small from tokens group by bucket),
+pairs as (select bucket, count(*) as n_candidates from linked join tokens on a = node group by bucket)
+select bucket, n_items, n_small, coalesce(n_candidates, 0) as n_candidates, coalesce(n_candidates, 0) = 0 and n_items <= {setjoin.MOST_ITEMS} and (n_small > 0 or n_items <= {setjoin.FEW_ITEMS}) as compare_all from sizes left join pairs using (bucket)"""),
+}
