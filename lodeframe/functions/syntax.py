@@ -25,6 +25,7 @@ def _rows(**fields: T.DataType) -> T.ArrayType:
 _INT, _STRING = T.IntegerType(), T.StringType()
 SIGNATURE = _rows(name=_STRING, start=_INT, end=_INT, params=T.ArrayType(_STRING), decorators=T.ArrayType(_STRING))
 NODE = _rows(node=_INT, parent=_INT, kind=_STRING, line=_INT, last=_INT, depth=_INT)
+PLACED = _rows(node=_INT, parent=_INT, place=_INT, path=T.ArrayType(_INT), kind=_STRING, line=_INT, text=_STRING)
 EDIT = _rows(kind=_STRING, old_start=_INT, old_end=_INT, new_start=_INT, new_end=_INT)
 
 
@@ -110,6 +111,36 @@ def tree(text: pd.Series) -> pd.Series:
     return pd.Series([of(_parsed(t)) for t in text], dtype=object)
 
 
+@F.pandas_udf(PLACED)
+def nodes(text: pd.Series) -> pd.Series:
+    """The nodes of a Python text's tree in pre-order, with their place among siblings, the nodes around them and their source."""
+
+    def of(t: str | None) -> list[dict]:
+        root, rows = _parsed(t), []
+        if root is None:
+            return rows
+        lines = t.encode().splitlines(keepends=True)
+
+        def source(node: ast.AST) -> str:
+            if not hasattr(node, "end_lineno"):
+                return ast.unparse(node) if isinstance(node, ast.arguments) else ""
+            first, last = node.lineno - 1, node.end_lineno - 1
+            if first == last:
+                return lines[first][node.col_offset : node.end_col_offset].decode()
+            return b"".join([lines[first][node.col_offset :], *lines[first + 1 : last], lines[last][: node.end_col_offset]]).decode()
+
+        todo = [(root, [], 0)]
+        while todo:
+            node, path, place = todo.pop()
+            at = len(rows)
+            rows.append({"node": at, "parent": path[-1] if path else -1, "place": place, "path": path, "kind": type(node).__name__, "line": getattr(node, "lineno", 0), "text": source(node)})
+            children = list(enumerate(ast.iter_child_nodes(node)))
+            todo.extend((c, [*path, at], i) for i, c in reversed(children))
+        return rows
+
+    return pd.Series([of(t) for t in text], dtype=object)
+
+
 def inside(nodes: Column, kind: str, outer: str) -> Column:
     """The nodes of a kind that have an ancestor of another; an ancestor is an interval of pre-order that holds the node.
 
