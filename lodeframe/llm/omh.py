@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeframe.llm.common import byte_words, checkpoint, columns_of, lookup_join, unused, weighed_join
+from lodeframe.llm.common import byte_words, checkpoint, columns_of, lookup_join, unused, weighed_join, written
 from lodeframe.operators import graph
 from lodeframe.plans.skew import salted_join
 
@@ -181,16 +181,16 @@ def _within_small(rows: DataFrame, similarity: float) -> DataFrame:
 def rest_of_large(found: DataFrame, label: DataFrame, nodes: DataFrame, docs: DataFrame, total: int, similarity: float = SIMILARITY) -> DataFrame:
     """Links (a, b) between nodes of one large bucket that ``label`` (node, class) has in different classes."""
     large = found.filter(F.col("members") > SMALL).select("rid", "key").join(label.withColumnRenamed("node", "rid"), "rid", "left").select("rid", "key", F.coalesce("class", "rid").alias("class"))
-    large = checkpoint(large)
+    large = written(large)
     state = large.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("class").alias("low"), F.max("class").alias("high"))
     state = state.withColumn("weight", F.col("members")).withColumn("open", F.col("low") != F.col("high")).drop("low", "high")
     left = lookup_join(large, state, ["key"], "weight", total).filter("open")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     cells = left.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64(F.lit(2), "rid"), F.col("blocks")).cast("int"))
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = checkpoint(cells.select("rid", "class", "key", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")))
+    cells = written(cells.select("rid", "class", "key", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")))
     needed = nodes.join(cells.select("rid").distinct(), "rid", "left_semi")
-    words = checkpoint(_words(docs, needed).join(nodes.select("rid", "sk"), "rid"))
+    words = written(_words(docs, needed).join(nodes.select("rid", "sk"), "rid"))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(_cell(pdf, similarity), columns=["a", "b"], dtype="int64")
@@ -310,7 +310,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: fl
             yield batch.loc[ok, ["a", "b"]]
 
     needed = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), "rid", "left_semi")
-    words, size = checkpoint(_words(docs, needed)), pairs.count()
+    words, size = written(_words(docs, needed)), pairs.count()
     one = salted_join(pairs, words.withColumnRenamed("rid", "b").withColumnRenamed("w", "wb"), "b", size)
     # The hash that deals the rows of a hot leader must not read the texts.
     both = salted_join(one.select("a", F.struct("b", "wb").alias("y")), words.withColumnRenamed("rid", "a").withColumnRenamed("w", "wa"), "a", size)
@@ -324,7 +324,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """rid, h, class, kept (whether the row or a repeat of it stands for its class) of every row; rows of one class are near duplicates of each other, by links."""
-    rows = checkpoint(digests(docs))
+    rows = written(digests(docs))
     total = rows.count()
     groups = rows.groupBy("k1", "k2").agg(F.min(F.struct("rid", "h")).alias("x"), F.count(F.lit(1)).alias("weight")).select("k1", "k2", F.col("x.rid").alias("own"), F.col("x.h").alias("h"), "weight")
     # A group is known by its least id, or, if another group has that too, by a hash.
@@ -332,8 +332,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     twice = groups.groupBy("own").agg(F.count(F.lit(1)).alias("groups")).filter("groups > 1")
     named = F.when(F.col("groups").isNull(), F.col("own")).otherwise(-1 - F.shiftrightunsigned(F.xxhash64("own", "k1", "k2"), 2))
     groups = checkpoint(lookup_join(groups, twice.withColumn("rows", F.col("groups")), ["own"], "rows", total).withColumn("node", named).drop("groups"))
-    nodes = checkpoint(rows.select(F.col("rid").alias("own"), "h", "n", "sk").join(groups.select("own", "h", F.col("node").alias("rid")), ["own", "h"]).groupBy("rid").agg(F.min("own").alias("own"), F.min("h").alias("h"), F.min("n").alias("n"), F.min("sk").alias("sk")))
-    found = checkpoint(buckets(nodes, total))
+    nodes = written(rows.select(F.col("rid").alias("own"), "h", "n", "sk").join(groups.select("own", "h", F.col("node").alias("rid")), ["own", "h"]).groupBy("rid").agg(F.min("own").alias("own"), F.min("h").alias("h"), F.min("n").alias("n"), F.min("sk").alias("sk")))
+    found = written(buckets(nodes, total))
     near = checkpoint(verified(checkpoint(candidate_pairs(found, similarity)), nodes, docs, similarity))
     label = components(near)
     rest = checkpoint(rest_of_large(found, label, nodes, docs, total, similarity))
