@@ -1,5 +1,7 @@
 """Metrics, rules and rewrites of code and text, on the generated code corpus and the documents."""
 
+#: A row for each call of a function's text; what a definition has before its brackets is none.
+_CALLS = "(select construct_id, file, unnested_(regexp_extract_all(regexp_replace(text, r'\\b(def|function)\\s+\\w+', ''), r'([A-Za-z_]\\w*)[(]', 1)) as callee from code_ t)"
 _KEY = "(if |elif |for |while |except |with |case )"
 
 QUERIES = {
@@ -29,9 +31,9 @@ QUERIES = {
     "b37_semantic_group": "select construct_id, case when position('async' in lower(text)) > 0 then 'async_operations' when position('try' in lower(text)) > 0 then 'error_handling' when position('class' in lower(text)) > 0 then 'class_definitions' when position('def ' in lower(text)) > 0 then 'function_definitions' else 'other' end as kind from code_ c",
     "b40_route_strategy": "select construct_id, case when matches_(file, 'test') then 'archival' when matches_(file, '[.]ts$') then 'ai_chat' else 'ai_analysis' end as strategy from code_ c",
     "b41_suffix_language": "select construct_id, case regexp_extract(file, '[.]([a-z]+)$', 1) when 'py' then 'python' when 'ts' then 'typescript' end as language from code_ c",
-    "c06_orphan_files": "select f.file from (select distinct file from code_ a) f left join (select distinct 'src/app/m' || regexp_extract(text, 'helper_([0-9]+)', 1) || '.py' as target from code_ b) e on f.file = e.target where e.target is null",
-    "c07_orphan_functions": "select d.name from (select distinct name from code_ a) d left join (select distinct regexp_extract(text, '(helper_[0-9]+)[(]', 1) as callee from code_ b) u on u.callee = d.name where u.callee is null",
-    "c08_external_references": "select e.callee, case when d.name is null then 'external' else 'internal' end as kind, count(*) as n from (select regexp_extract(text, '(helper_[0-9]+)[(]', 1) as callee from code_ a) e left join (select distinct name from code_ b) d on d.name = e.callee group by 1, 2",
+    "c06_orphan_files": f"select f.file from (select distinct file from code_ a) f left join (select distinct 'src/app/m' || substr(callee, 8) || '.py' as target from {_CALLS} b where callee like 'helper~_%' escape '~') e on f.file = e.target where e.target is null",
+    "c07_orphan_functions": f"select d.name from (select distinct name from code_ a) d left join (select distinct callee from {_CALLS} b) u on u.callee = d.name where u.callee is null",
+    "c08_external_references": f"select e.callee, case when d.name is null then 'external' else 'internal' end as kind, count(*) as n from {_CALLS} e left join (select distinct name from code_ b) d on d.name = e.callee group by 1, 2",
     "c10_test_coverage": "select distinct a.file from code_ a where exists (select 1 from code_ b where b.file = 'src/tests/test_m' || cast(cast(regexp_extract(a.file, 'm([0-9]+)[.]', 1) as int) % 10 as string_) || '.ts')",
     "c21_innermost_scope": "select p.construct_id, max(s.start_line) as scope_start from (select construct_id, file, start_line + 5 as at from code_ x) p join (select file, start_line, start_line + 30 as end_line from code_ y) s on p.file = s.file and p.at between s.start_line and s.end_line group by p.construct_id",
     "c27_inherited_properties": "select prop, min(src) as src from (select name as prop, 'own' as src from code_ a where lang = 'python' union all select name, 'parent' from code_ b where lang = 'typescript') t group by prop",
@@ -82,7 +84,7 @@ QUERIES = {
     "i14_cosine": "select a.vec_id as a, b.vec_id as b, round((dot_(a.embedding, b.embedding) / (sqrt(dot_(a.embedding, a.embedding)) * sqrt(dot_(b.embedding, b.embedding))) + 1) / 2, 4) as sim from embeddings a join embeddings b on b.vec_id = a.vec_id + 1",
     "i24_content_hash": "select doc_id, hash_(text) as h from documents",
     "j03_shingle_jaccard": "select a.construct_id, round(array_length_(array_both_(a.s, b.s)) * 1.0 / greatest(1, array_length_(a.s) + array_length_(b.s) - array_length_(array_both_(a.s, b.s))), 6) as j from (select construct_id, array_unique_(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*', 0)) as s from code_ x) a join (select construct_id - 1 as construct_id, array_unique_(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*', 0)) as s from code_ y) b on a.construct_id = b.construct_id",
-    "k02_reverse_adjacency": "select callee, count(distinct file) as importers, min(file) as first_file from (select file, regexp_extract(text, 'helper_[0-9]+', 0) as callee from code_ c) t group by callee",
-    "k01_import_edges": "select distinct file as source, 'src/app/m' || regexp_extract(text, 'helper_([0-9]+)', 1) || '.py' as target from code_ c",
+    "k02_reverse_adjacency": f"select callee, count(distinct file) as importers, min(file) as first_file from {_CALLS} c where callee like 'helper~_%' escape '~' group by callee",
+    "k01_import_edges": f"select distinct file as source, 'src/app/m' || substr(callee, 8) || '.py' as target from {_CALLS} c where callee like 'helper~_%' escape '~'",
     "b30_links": "select page_id, array_length_(regexp_extract_all(html, 'href=[\"][^\"]*[\"]', 0)) as n_links from pages",
 }

@@ -29,7 +29,7 @@ QUERIES = {
     "c19_external_call_sites": f"select r.file, count(*) as n from {_REFERENCES} r where r.kind = 'call' and r.file <> 'src/app/m3.py' group by r.file",
     "c22_name_conflicts": "select r.file, r.line_no, r.construct_id from (select construct_id, file, line_no from code_lines_ c where matches_(line, r'^\\s*y = ')) r join (select construct_id, min(line_no) as line_no from code_lines_ d where matches_(line, r'\\by\\b') group by construct_id) s on r.construct_id = s.construct_id and r.line_no = s.line_no",
     "c23_parameter_sync": f"select id, array_text_(array_filter_(doc, x -> not array_has_(actual, x)), ',') as only_documented, array_text_(array_filter_(actual, x -> not array_has_(doc, x)), ',') as undocumented from {_PARAMS} p",
-    "c24_broken_links": "select p.page_id, p.link from (select page_id, regexp_extract(html, 'href=[\"]([^\"]*)[\"]', 1) as link from pages) p left join (select distinct url from pages) u on p.link = u.url where p.link <> '' and u.url is null",
+    "c24_broken_links": "select p.page_id, p.link from (select distinct page_id, unnested_(regexp_extract_all(html, 'href=[\"]([^\"]*)[\"]', 1)) as link from pages) p left join (select distinct url from pages) u on p.link = u.url where p.link <> '' and u.url is null",
     "c32_variable_use": "select construct_id, max(case when line_no < 5 and matches_(line, r'\\ba\\b') then 1 else 0 end) = 1 as used_before, max(case when line_no between 5 and 8 and matches_(line, r'\\by\\s*=') then 1 else 0 end) = 1 as changed_in, max(case when line_no > 8 and matches_(line, r'\\by\\b') then 1 else 0 end) = 1 as used_after from code_lines_ c group by construct_id",
     "c30_type_mapping": "select c.construct_id, coalesce(m.target, 'any') as target from (select construct_id, case construct_id % 4 when 0 then 'str' when 1 then 'int' when 2 then 'list' else 'Decimal' end as source from code_ x) c left join (select 'str' as source, 'string' as target union all select 'int', 'number' union all select 'list', 'Array') m on c.source = m.source",
     "d10_violations_by_file": f"select file, count(*) as n, count(distinct rule) as rules, min({_SEVERITY}) as worst from {_VIOLATIONS} v group by file",
@@ -59,7 +59,7 @@ QUERIES = {
     "i04_effort_score": "select name, round(greatest(0, 100 - (count(*) * 5 + count(distinct file) * 10)) * cast(0.15 as double), 6) as score from code_ c group by name",
     "i25_cache_key": "select construct_id, substring(sha2(lang || '|' || file || '|' || name, 256), 1, 16) as cache_key from code_ c",
     "i26_rule_id": "select construct_id, 'rule-' || substring(sha2(text, 256), 1, 8) as rule_id from code_ c",
-    "j15_varying_literals": f"select a, b, array_text_(array_filter_(array_map_(numbers_(1, 6), i -> case when slice_(x, i, 1) <> slice_(y, i, 1) then array_text_(slice_(x, i, 1), '') || '>' || array_text_(slice_(y, i, 1), '') end), v -> v is not null), ',') as varying from (select a, b, regexp_extract_all(old_text, {_NUMBERS}, 0) as x, regexp_extract_all(new_text, {_NUMBERS}, 0) as y from {_PAIRS} p) t",
+    "j15_varying_literals": f"select a, b, array_text_(array_filter_(array_map_(numbers_(1, greatest(1, array_length_(x), array_length_(y))), i -> case when slice_(x, i, 1) <> slice_(y, i, 1) then array_text_(slice_(x, i, 1), '') || '>' || array_text_(slice_(y, i, 1), '') end), v -> v is not null), ',') as varying from (select a, b, regexp_extract_all(old_text, {_NUMBERS}, 0) as x, regexp_extract_all(new_text, {_NUMBERS}, 0) as y from {_PAIRS} p) t",
     "j16_varying_names": f"select a, b, array_text_(array_sorted_(array_unique_(array_filter_(x, v -> not array_has_(y, v)))), ',') as only_old, array_text_(array_sorted_(array_unique_(array_filter_(y, v -> not array_has_(x, v)))), ',') as only_new from (select a, b, regexp_extract_all(old_text, {_NAMES}, 0) as x, regexp_extract_all(new_text, {_NAMES}, 0) as y from {_PAIRS} p) t",
     "j17_varying_conditions": f"select a, b, regexp_extract(old_text, 'if ([^:]*):', 1) as old_condition, regexp_extract(new_text, 'if ([^:]*):', 1) as new_condition from {_PAIRS} p where regexp_extract(old_text, 'if ([^:]*):', 1) <> regexp_extract(new_text, 'if ([^:]*):', 1)",
     # Removing lines and the blank lines that follow one another: a fix that deletes what matches.

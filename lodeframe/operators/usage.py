@@ -32,7 +32,6 @@ QUERIES = {
     "f11_cap_per_file": "select event_id, user_id from (select event_id, user_id, row_number() over (partition by user_id order by event_id) as r from events) t where r <= 50",
     "e14_previous_tag": "select event_id, user_id, lead(event_id) over (partition by user_id order by ts desc, event_id) as previous_id from events",
     "e15_first_wins": "select user_id, event_id from (select user_id, event_id, row_number() over (partition by user_id order by ts, event_id) as r from events) t where r = 1",
-    "e01_rank_by_score": "select event_id, cast(rank_ as int) as rank_ from (select event_id, row_number() over (order by value desc, event_id) as rank_ from events) t where rank_ <= 100",
     "i20_nested_path": "select event_id, get_json_object(props, '$.k') as k from events",
     "d07_complexity_summary": "select l_returnflag, round(avg(l_quantity), 2) as mean, max(l_quantity) as most, count(*) as n from lineitem group by l_returnflag",
     "c01_run_trends": "select o.o_orderkey, c.c_name, o.o_totalprice, o.o_orderdate from orders o join customer c on o.o_custkey = c.c_custkey where c.c_mktsegment = 'BUILDING' and o.o_orderdate >= timestamp '1995-01-01 00:00:00' and o.o_orderdate < timestamp '1996-01-01 00:00:00'",

@@ -83,6 +83,7 @@ _SPARK = {
     "numbers_": "sequence",
     "hash_": "md5",
     "slice_": "slice",
+    "unnested_": "explode",
 }
 _DUCK = {
     "commits_": f"({COMMITS})",
@@ -105,6 +106,7 @@ _DUCK = {
     "numbers_": "generate_series",
     "hash_": "md5",
     "slice_": "slice_from",
+    "unnested_": "unnest",
 }
 
 
