@@ -9,8 +9,10 @@ surrogates, without any table of what has been given out. The permutation is a F
 network turned into a single cycle, so that nothing is its own surrogate, and it is walked on
 until the result keeps what the kind demands: check digit of a card, the range of an address (private,
 loopback, multicast and so on), and for names no string that is on the lists. Given names move along a keyed
-cycle of the names of the same gender and script; family names keep script, letter case
-and the places of vowels. A name that is found once is replaced wherever the text has it as a word.
+cycle of the names of the same gender and script; family names keep script, letter case,
+the places of vowels, accents, hyphens and apostrophes. Letters of no alphabet below change with those beside them in Unicode of the same case.
+An initial between the names may stand and stays. A name that is found once is replaced wherever the text has it as a word,
+also as a part of one with a hyphen, but not a family name that the text also has in lower case.
 
 The surrogates of a text are checked: should two formats of one kind ever meet in one surrogate,
 the later entity by order walks on until it is alone, and keeps that throughout the text. As all is one permutation, a
@@ -40,14 +42,14 @@ from lodeframe.llm.common import columns_of, unused
 
 # Given names by gender and script, and titles by gender.
 NAMES = {
-    ("f", "latin"): "Alice Amelia Ana Andrea Anna Barbara Carla Carmen Caroline Charlotte Chloe Clara Elena Elizabeth Emily Emma Eva Fatima Grace Hannah Helen Ingrid Isabel Jennifer Jessica Julia Karen Katharina Laura Linda Lucia Maria Marie Marta Martha Mary Mia Monika Nina Olivia Patricia Petra Rachel Rosa Ruth Sabine Sarah Sofia Sophie Susan Teresa Ursula".split(),
-    ("m", "latin"): "Adam Alexander Andreas Antonio Ben Carlos Charles Christian Daniel David Diego Edward Felix Fernando Francisco Frank George Hans Henry Jack Jacques James Jan Javier Jean John Jorge Joseph Juan Karl Klaus Louis Luis Manuel Marco Mark Martin Matthew Michael Miguel Noah Oliver Pablo Paul Pedro Peter Pierre Richard Robert Samuel Stefan Thomas William Wolfgang".split(),
+    ("f", "latin"): "Alice Amelia Ana Andrea Anna Barbara Carla Carmen Caroline Charlotte Chloe Clara Elena Elizabeth Emily Emma Eva Fatima Grace Hannah Helen Ingrid Isabel Jennifer Jessica Julia Karen Katharina Laura Linda Lucia Maria Marie Marta Martha Mary Mia Monika Nina Olivia Patricia Petra Rachel Rosa Ruth Sabine Sarah Sofia Sophie Susan Teresa Ursula Chloé Inés Lucía María Sofía Zoë".split(),
+    ("m", "latin"): "Adam Alexander Andreas Antonio Ben Carlos Charles Christian Daniel David Diego Edward Felix Fernando Francisco Frank George Hans Henry Jack Jacques James Jan Javier Jean John Jorge Joseph Juan Karl Klaus Louis Luis Manuel Marco Mark Martin Matthew Michael Miguel Noah Oliver Pablo Paul Pedro Peter Pierre Richard Robert Samuel Stefan Thomas William Wolfgang André François Jesús José Łukasz Sébastien Özgür".split(),
     ("f", "cyrillic"): "Анна Екатерина Елена Ирина Мария Наталья Ольга Светлана Татьяна Юлия".split(),
     ("m", "cyrillic"): "Александр Алексей Андрей Владимир Дмитрий Иван Михаил Николай Павел Сергей".split(),
 }
 TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Herr": "m", "Frau": "f", "Señor": "m", "Señora": "f", "Monsieur": "m", "Madame": "f", "Dr": "", "Prof": ""}
 # Letters that stand for each other in family names, and in other words.
-ALPHABETS = ["aeiou", "bcdfghjklmnpqrstvwxyz", "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщ"]
+ALPHABETS = ["aeiou", "bcdfghjklmnpqrstvwxyz", "äëïöü", "áéíóúý", "àèìòù", "âêîôû", "ãõ", "åæø", "çñ", "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщ"]
 
 # Ranges of addresses that are not public (this network, private, shared, loopback, link-local, documentation, tests, multicast, reserved).
 RANGES = [((a << 24) + (b << 16) + (c << 8), 1 << 32 - bits) for a, b, c, bits in [(0, 0, 0, 8), (10, 0, 0, 8), (100, 64, 0, 10), (127, 0, 0, 8), (169, 254, 0, 16), (172, 16, 0, 12), (192, 0, 0, 24), (192, 0, 2, 24), (192, 168, 0, 16), (198, 18, 0, 15), (198, 51, 100, 24), (203, 0, 113, 24), (224, 0, 0, 4), (240, 0, 0, 4)]]
@@ -63,8 +65,13 @@ FINDERS = [
     ("card", re.compile(r"(?<![\w.-])(?:\d{4}[ -]?){3}\d{4}(?![\w-]|\.\d)")),
     ("ssn", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")),
 ]
-CAPITAL = re.compile(r"\b([A-ZÀ-ÖØ-ÞА-Я][a-zß-öø-ÿа-я]+)(?=\.? ([A-ZÀ-ÖØ-ÞА-Я][a-zß-öø-ÿа-я]+)\b(?: ([A-ZÀ-ÖØ-ÞА-Я][a-zß-öø-ÿа-я]+)\b)?)")
-WORD = re.compile(r"(?<![\w@.-])[^\W\d_]+(?![\w@])")
+#: Capital letters, from the alphabets that have them.
+UPPER = "[" + "".join(c for c in map(chr, range(0x590)) if c.isupper()) + "]"
+LETTER = r"[^\W\d_]"
+NAME = f"{UPPER}(?:{LETTER}+(?:['’-]{UPPER}{LETTER}+)*|['’]{UPPER}{LETTER}+)"
+CAPITAL = re.compile(rf"\b({NAME})(?=\.? (?:{UPPER}\.? )?({NAME})\b(?: ({NAME})\b)?)")
+WORD = re.compile(rf"(?<![\w@.-]){LETTER}+(?:['’-]{LETTER}+)*(?![\w@])")
+PART = re.compile(f"{LETTER}+")
 GIVEN = {n.lower(): (g, s) for (g, s), names in NAMES.items() for n in names}
 
 
@@ -100,6 +107,14 @@ def cycled(key: bytes, tag: str, x: int, n: int) -> int:
     return _within(key, tag, (_within(key, tag, x, n, True) + 1) % n, n, False)
 
 
+@lru_cache(maxsize=None)
+def _beside(c: str) -> str:
+    """The lower-case letters of a block of 64 that are in none of ALPHABETS and have one capital, if ``c`` is one of them."""
+    block = ord(c) // 64 * 64
+    found = "".join(x for x in map(chr, range(block, block + 64)) if x.isalpha() and len(x.upper()) == 1 and x.upper() != x and x.upper().lower() == x and not any(x in a for a in ALPHABETS))
+    return found if c in found else c
+
+
 def _alphabets(text: str, hexadecimal: bool) -> list[str]:
     """For every character what may take its place; one that is only itself stays."""
     out = []
@@ -111,8 +126,9 @@ def _alphabets(text: str, hexadecimal: bool) -> list[str]:
         elif hexadecimal and c in "ABCDEF":
             out.append("ABCDEF")
         else:
-            own = next((a for a in ALPHABETS if c.lower() in a), None)
-            out.append(c if own is None else own.upper() if c.isupper() else own)
+            low = c.lower()
+            own = next((a for a in ALPHABETS if low in a), None) or (_beside(low) if len(low) == 1 and low.isalpha() and not low.isascii() else c)
+            out.append(c if len(own) < 2 else own.upper() if c.isupper() else own)
     return out
 
 
@@ -185,7 +201,8 @@ def surrogate(key: bytes, kind: str, text: str) -> str:
         good = luhn(digits) if kind == "card" else None
         return _shaped(text, head + permuted(key, f"{kind}|{head}", rest, (lambda s: luhn(head + s) == good) if kind == "card" else any_))
     if kind == "family":
-        return _shaped(text, permuted(key, "family", text.lower(), lambda s: s not in GIVEN))
+        plain = "".join(c.lower() if len(c.lower()) == 1 else c for c in text if c.isalnum())
+        return _shaped(text, permuted(key, "family", plain, lambda s: s not in GIVEN))
     if kind == "given":
         names = sorted(NAMES[GIVEN[text.lower()]], key=lambda n: hashlib.blake2b(n.encode(), key=key).digest())
         made = names[(names.index(text.lower().capitalize()) + 1) % len(names)]
@@ -207,33 +224,49 @@ def entities(text: str) -> list[tuple[int, int, str]]:
         for kind, finder in FINDERS:
             for m in finder.finditer(text):
                 add(*m.span(1 if finder.groups else 0), kind)
+    def name(m: re.Match, group: int, kind: str) -> None:
+        """A given name's parts are names each; a family name is one with its hyphens."""
+        if kind == "family":
+            add(*m.span(group), kind)
+        else:
+            for part in PART.finditer(text, *m.span(group)):
+                add(*part.span(), "given" if part[0].lower() in GIVEN else "family")
+
+    is_given = lambda word: word.partition("-")[0].lower() in GIVEN
     taken = 0
     for m in CAPITAL.finditer(text):
         first, second = m[1], m[2]
         if m.start() < taken:
             continue
         if first in TITLES:
-            if second.lower() in GIVEN and m[3]:
-                add(*m.span(2), "given")
-                add(*m.span(3), "family")
+            if is_given(second) and m[3]:
+                name(m, 2, "given")
+                name(m, 3, "family")
                 taken = m.end(3)
             else:
-                add(*m.span(2), "given" if second.lower() in GIVEN else "family")
+                name(m, 2, "given" if is_given(second) else "family")
                 taken = m.end(2)
-        elif first.lower() in GIVEN:
-            add(*m.span(1), "given")
-            add(*m.span(2), "given" if second.lower() in GIVEN else "family")
+        elif is_given(first):
+            name(m, 1, "given")
+            name(m, 2, "given" if is_given(second) else "family")
             # A second given name may have the family name after it.
-            taken = m.start(2) if second.lower() in GIVEN else m.end(2)
+            taken = m.start(2) if is_given(second) else m.end(2)
     people = {text[s:e]: kind for s, e, kind in found if kind in ("given", "family")}
     if people:
-        # A name that is known by now is one wherever it stands as a word.
-        places = sorted((s, e) for s, e, _ in found)
+        # A name that is known by now is one wherever it stands as a word, but a family name that is a common word too.
+        again, common, lowered = [], set(), {p.lower() for p, kind in people.items() if kind == "family"}
         for m in WORD.finditer(text):
-            kind = people.get(m[0])
-            at = bisect_right(places, (m.start(), len(text) + 1))
-            if kind and not (at and places[at - 1][1] > m.start()) and not (at < len(places) and places[at][0] < m.end()):
-                found.append((*m.span(), kind))
+            for part in [m] if m[0] in people else PART.finditer(text, *m.span()):
+                if part[0] in people:
+                    again.append(part.span())
+                elif part[0] in lowered:
+                    common.add(part[0])
+        places = sorted((s, e) for s, e, _ in found)
+        for start, end in again:
+            kind = people[text[start:end]]
+            at = bisect_right(places, (start, len(text) + 1))
+            if not (kind == "family" and text[start:end].lower() in common) and not (at and places[at - 1][1] > start) and not (at < len(places) and places[at][0] < end):
+                found.append((start, end, kind))
     return sorted(found)
 
 
