@@ -4,7 +4,8 @@ Marks of comments at the start of lines are taken off, and a text is cut into se
 full stops and the like before white space, and at empty lines. Lines of a sentence belong together, so it
 does not matter how it is wrapped. What starts at the start of a line is normalised (A-Z
 lower-cased, each run of other characters than a-z and 0-9 a space) and has the identifier of the longest
-catalogued sentence that it begins with, at a word's end. Tags of the form
+catalogued sentence that it begins with, at a word's end. ``This file is released under the`` and the like stand for
+``licensed under the``; where a holder is named within a sentence, any words will do. Tags of the form
 ``SPDX-License-Identifier: ...`` have one identifier for each licence of their expression; what
 follows ``WITH`` is an exception and none. The identifiers of a text, in text order,
 are matched against ordered licence rules: a rule is a sequence of identifiers that must
@@ -51,8 +52,15 @@ SENTENCES = {
     "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "BSDGrant",
     "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "BSDSource",
     "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "BSDBinary",
-    "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "BSDEndorse",
+    "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "BSDEndorse",
+    "the name of the author may not be used to endorse or promote products derived from this software without specific prior written permission": "BSDEndorse",
     "this software is provided by the copyright holders and contributors as is": "BSDWarranty",
+    "this software is provided as is without any express or implied warranty": "ZlibWarranty",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely": "ZlibGrant",
+    "licensed under the creative commons attribution 4 0 international license": "CCBY4Line",
+    "licensed under the creative commons attribution sharealike 4 0 international license": "CCBYSA4Line",
+    "licensed under the creative commons attribution noncommercial 4 0 international license": "CCBYNC4Line",
+    "licensed under the apache license 2 0": "Apache2Line",
     "licensed under the bsd 3 clause license": "BSD3Line",
     "licensed under the bsd 2 clause license": "BSD2Line",
     "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "ISCGrant",
@@ -77,6 +85,13 @@ for _name, _short, _versions in (("general public license", "GPL", ("2", "3")),
             _number, _id = _version.replace(".", " "), f"{_short}{_version}"
             SENTENCES[f"{_grant} version {_number}"] = f"{_id}Only"
             SENTENCES[f"{_grant} either version {_number} of the license or at your option any later version"] = f"{_id}OrLater"
+# Short names of versions, by a rule.
+SENTENCES |= {f"licensed under the {gnu}gpl{sep}{n}": f"GPL{n}Line" for gnu in ("", "gnu ") for sep in (" v", "v", " version ") for n in "23"}
+#: Sentences that name a holder, normalised, as a pattern: what stands between is any words. Where the name ends in a full stop, the catalogue has the rest.
+NAMED = "^neither the names? of (?:[a-z0-9]+ )+?nor the names? of (?:(?:its|their|any|the) )?contributors may be used to endorse or promote products derived from this software without specific prior written permission "
+NAMED_ID = "BSDEndorse"
+#: What is said before the licence's name, and what the catalogue says for it.
+SUBJECT, SAID = "^this [a-z]+ is (?:licensed|released|distributed|made available) under (?:the terms of )?(?:the|a) ", "licensed under the "
 # Identifiers of licences in tags, as the public list of such has them; old ones with what they mean.
 TAGS = {t.lower(): t for t in "0BSD AGPL-3.0-only AGPL-3.0-or-later Apache-2.0 BSD-2-Clause BSD-3-Clause BSL-1.0 CC-BY-4.0 CC-BY-NC-4.0 CC-BY-SA-4.0 CC0-1.0 EPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later MIT MPL-2.0 Unlicense Zlib".split()}
 TAGS |= {f"{old}{end}": f"{old.upper()}{new}" for old in ("agpl-3.0", "gpl-2.0", "gpl-3.0", "lgpl-2.1", "lgpl-3.0") for end, new in (("", "-only"), ("+", "-or-later"))}
@@ -93,6 +108,8 @@ RULES = [
     ("BSD-3-Clause", ["BSDGrant", "BSDEndorse", "BSDWarranty"]),
     ("BSD-2-Clause", ["BSDGrant", "BSDSource", "BSDBinary"]),
     ("BSD-2-Clause", ["BSDGrant", "BSDWarranty"]),
+    ("Zlib", ["ZlibWarranty", "ZlibGrant"]),
+    ("Zlib", ["ZlibGrant"]),
     ("ISC", ["ISCNotice", "ISCWarranty"]),
     ("ISC", ["ISCNotice"]),
     ("0BSD", ["ISCGrant"]),
@@ -119,7 +136,7 @@ RULES = [
     ("LicenseRef-all-rights-reserved", ["Copyright", "AllRights"]),
 ]
 # Words of which every catalogued sentence has one; texts without any need no cutting.
-ANCHORS = ("licen", "copyright", "permission", "permitted", "warranty", "software", "reserved", "redistributions")
+ANCHORS = ("licen", "copyright", "permission", "permitted", "warranty", "software", "reserved", "redistributions", "gpl")
 
 GATE = "(?i)" + "|".join(ANCHORS)
 #: Comment marks before a line, and after it.
@@ -129,7 +146,7 @@ TAG = "spdx-license-identifier:[ \\t]*([a-z0-9.+() \\t-]*)"
 #: Words of the longest catalogued sentence; it spans no more lines than that, as empty ones end it.
 MOST_LINES = max(s.count(" ") + 1 for s in SENTENCES)
 NOTICE = "^copyright (?:c |[0-9]{4})"
-FIRST_WORD = "^(?:" + "|".join(sorted({s.split(" ")[0] for s in SENTENCES})) + ")(?: |$)"
+FIRST_WORD = "^(?:" + "|".join(sorted({s.split(" ")[0] for s in SENTENCES} | {"neither"})) + ")(?: |$)"
 
 
 def normalised(line: Column) -> Column:
@@ -146,7 +163,8 @@ def tagged(line: Column) -> Column:
 
 def identifier(words: Column) -> Column:
     """The identifier of the longest catalogued sentence that normalised words begin with, null if none."""
-    out, ended = F.when(F.lit(False), F.lit("")), F.concat(words, F.lit(" "))
+    ended = F.concat(F.regexp_replace(words, SUBJECT, SAID), F.lit(" "))
+    out = F.when(ended.startswith("neither "), F.when(ended.rlike(NAMED), NAMED_ID))
     for start in sorted(SENTENCES, key=lambda s: (-len(s), s)):
         out = out.when(ended.startswith(f"{start} "), F.lit(SENTENCES[start]))
     return out
@@ -163,8 +181,8 @@ def identifiers(text: Column) -> Column:
         def one(line: Column, i: Column) -> Column:
             rest = F.array_join(F.transform(F.slice(lines, i + 1, MOST_LINES), lambda s: s["words"]), " ")
             found = F.when(line["words"].rlike(FIRST_WORD), identifier(rest))
-            # Within a sentence, as where a line of a wrapped notice happens to start so, the word alone is no notice.
-            found = F.when((found != "Copyright") | (i == 0) | line["words"].rlike(NOTICE), found)
+            # Within a sentence, as where a line of a wrapped notice happens to start so, the word alone is no notice, and what follows a name was seen with it.
+            found = F.when((i == 0) | ((found != "Copyright") | line["words"].rlike(NOTICE)) & ~rest.startswith("nor "), found)
             return F.when(line["raw"].contains("spdx-license-identifier:"), tagged(line["raw"])).when(found.isNotNull(), F.array(found)).otherwise(F.array().cast("array<string>"))
 
         return F.flatten(F.transform(lines, one))
@@ -220,7 +238,7 @@ cut as (select rid, unnest(string_split(regexp_replace(t, '{STOP}', chr(1), 'g')
 line0 as (select rid, k, unnest(string_split(s, chr(10))) as raw_, generate_subscripts(string_split(s, chr(10)), 1) as i from cut),
 line1 as (select rid, k, raw_, trim(regexp_replace(raw_, '{JUNK}', ' ', 'g')) as w, i from line0),
 line as (
-  select *, string_agg(w, ' ') over (partition by rid, k order by i rows between current row and {MOST_LINES - 1} following) || ' ' as rest,
+  select *, regexp_replace(string_agg(w, ' ') over (partition by rid, k order by i rows between current row and {MOST_LINES - 1} following) || ' ', '{SUBJECT}', '{SAID}') as rest,
     row_number() over (partition by rid, k order by i) as at_
   from line1 where w <> ''),
 spdx as (
@@ -229,7 +247,9 @@ spdx as (
 ids as (
   select rid, k, i, 0 as j, arg_max(id, length(start_)) as id from line join known on starts_with(rest, start_ || ' ')
   where not contains(raw_, 'spdx-license-identifier:') group by rid, k, i, at_, w
-  having arg_max(id, length(start_)) <> 'Copyright' or at_ = 1 or regexp_matches(w, '{NOTICE}')
+  having at_ = 1 or (arg_max(id, length(start_)) <> 'Copyright' or regexp_matches(w, '{NOTICE}')) and arg_max(start_, length(start_)) not like 'nor %'
+  union all
+  select rid, k, i, 0, '{NAMED_ID}' from line where regexp_matches(rest, '{NAMED}') and not contains(raw_, 'spdx-license-identifier:')
   union all
   select rid, k, i, j, coalesce(id, 'SPDXOther') from spdx left join tags on w = tag
   where w not in ('and', 'or', 'with') and (j = 1 or words[j - 1] <> 'with')),

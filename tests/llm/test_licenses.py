@@ -50,6 +50,24 @@ def test_notices(spark, width, mark):
     assert [v for v, _ in verdicts(spark, texts)] == list(NOTICES)
 
 
+ENDORSE = "3. {} may be used to endorse or promote products derived from this software without specific prior written permission."
+ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"""
+
+
+@pytest.mark.parametrize("width", [10_000, 72, 40])
+def test_named_holders(spark, width):
+    names = ["Neither the name of Google Inc. nor the names of its contributors", "Neither the name of the University of Somewhere nor the names of its contributors", "Neither the names of the authors nor the names of their contributors", "Neither the name of X nor the names of contributors"]
+    texts = [wrapped(f"{BSD2}\n\n{ENDORSE.format(n)}", width, " *") for n in names] + [wrapped(f"{BSD2}\n\nThe name of the author may not be used to endorse or promote products derived from this software without specific prior written permission.", width, "#")]
+    assert [found for _, found in verdicts(spark, [*texts, BSD2 + "\n\nNeither the name nor the thing."])] == ["BSD-3-Clause"] * 5 + ["BSD-2-Clause"]
+
+
+def test_said_otherwise(spark):
+    texts = {"This work is licensed under a Creative Commons Attribution 4.0 International License.": "CC-BY-4.0", "this file is licensed under the Apache License, Version 2.0": "Apache-2.0", "This program is released under the GNU GPL v3.": "GPL-3.0-only", "Licensed under the GPLv2": "GPL-2.0-only", "This library is made available under the terms of the MIT License": "MIT", ZLIB: "Zlib", "This file is licensed under the Thing": "none"}
+    assert [v for v, _ in verdicts(spark, list(texts))] == list(texts.values())
+
+
 def test_tags(spark):
     tags = {"MIT": "MIT", "MITRE": "", "GPL-3.0-or-later": "GPL-3.0-or-later", "GPL-3.0": "GPL-3.0-only", "gpl-2.0+": "GPL-2.0-or-later", "Apache-2.0 OR MIT": "Apache-2.0,MIT", "(MIT AND BSD-3-Clause)": "BSD-3-Clause,MIT", "GPL-2.0-only WITH Classpath-exception-2.0": "GPL-2.0-only"}
     out = verdicts(spark, [f"x\n// SPDX-License-Identifier: {t}\nint a;" for t in tags] + ["/* SPDX-License-Identifier: ISC */"])
