@@ -17,7 +17,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodeframe.operators.search import _code
 from lodeframe.plans import dialect
 from lodeframe.session import _shared_folder, checkpoint
 
