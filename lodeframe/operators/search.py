@@ -114,10 +114,11 @@ def rewrite_code(lines: DataFrame, pattern: str, fix: str) -> DataFrame:
 
 def hybrid_similarity(pairs: DataFrame, least: float = 0.5) -> DataFrame:
     """id, similarity, method of pairs (id, a, b): those that are unlike by tokens stop there, others are compared by lines as well."""
-    first = pairs.select("*", token_similarity("a", "b").alias("tokens"))
-    early = first.filter(F.col("tokens") < least).select("id", F.col("tokens").alias("similarity"), F.lit("minhash").alias("method"))
-    both = first.filter(F.col("tokens") >= least).select("id", (0.4 * F.col("tokens") + 0.6 * syntax.line_similarity("a", "b")).alias("similarity"), F.lit("hybrid").alias("method"))
-    return early.unionByName(both)
+    like = F.col("tokens") >= least
+    first = pairs.select("id", "a", "b", token_similarity("a", "b").alias("tokens"))
+    # One pass over the pairs: of those that are unlike the function gets a null, for which it does nothing.
+    both = first.select("id", "tokens", syntax.line_similarity(F.when(like, F.col("a")), "b").alias("lines"))
+    return both.select("id", F.when(like, 0.4 * F.col("tokens") + 0.6 * F.col("lines")).otherwise(F.col("tokens")).alias("similarity"), F.when(like, "hybrid").otherwise("minhash").alias("method"))
 
 
 def apply_fixes(lines: DataFrame, fixes: DataFrame) -> DataFrame:
@@ -141,7 +142,8 @@ def _code(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each text beside the one forty on."""
     code = _code(spark, sf_dir)
-    return code.join(code.select((F.col("id") - 40).alias("id"), F.col("text").alias("other")), "id")
+    # Texts are not for the driver to gather, however small the table that they are made from.
+    return code.join(code.select((F.col("id") - 40).alias("id"), F.col("text").alias("other")).hint("shuffle_merge"), "id")
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
