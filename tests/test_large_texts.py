@@ -6,7 +6,7 @@ import __spark_entry__ as entry
 from lodeframe.operators import search
 
 SF_DIR = "/root/testdata/sf0.001"
-JOINS = ["d33_edit_counts", "i28_edit_statistics", "j02_token_similarity", "j07_hybrid_similarity", "j08_line_similarity", "j09_precise_similarity", "j12_line_edits", "j14_unified_diff"]
+JOINS = ["a35_integrity", "c22_name_conflicts", "d33_edit_counts", "i28_edit_statistics", "j02_token_similarity", "j07_hybrid_similarity", "j08_line_similarity", "j09_precise_similarity", "j12_line_edits", "j14_unified_diff", "j15_varying_literals", "j16_varying_names", "j17_varying_conditions"]
 
 
 @pytest.mark.parametrize("name", JOINS)
