@@ -1,5 +1,12 @@
 """Metrics, rules and rewrites of code and text, on the generated code corpus and the documents."""
 
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodeframe.plans import dialect
+
 #: A row for each call of a function's text; what a definition has before its brackets is none.
 _CALLS = "(select construct_id, file, unnested_(regexp_extract_all(regexp_replace(text, r'\\b(def|function)\\s+\\w+', ''), r'([A-Za-z_]\\w*)[(]', 1)) as callee from code_ t)"
 _KEY = "(if |elif |for |while |except |with |case )"
@@ -35,7 +42,6 @@ QUERIES = {
     "c07_orphan_functions": f"select d.name from (select distinct name from code_ a) d left join (select distinct callee from {_CALLS} b) u on u.callee = d.name where u.callee is null",
     "c08_external_references": f"select e.callee, case when d.name is null then 'external' else 'internal' end as kind, count(*) as n from {_CALLS} e left join (select distinct name from code_ b) d on d.name = e.callee group by 1, 2",
     "c10_test_coverage": "select distinct a.file from code_ a where exists (select 1 from code_ b where b.file = 'src/tests/test_m' || cast(cast(regexp_extract(a.file, 'm([0-9]+)[.]', 1) as int) % 10 as string_) || '.ts')",
-    "c21_innermost_scope": "select p.construct_id, max(s.start_line) as scope_start from (select construct_id, file, start_line + 5 as at from code_ x) p join (select file, start_line, start_line + 30 as end_line from code_ y) s on p.file = s.file and p.at between s.start_line and s.end_line group by p.construct_id",
     "c27_inherited_properties": "select prop, min(src) as src from (select name as prop, 'own' as src from code_ a where lang = 'python' union all select name, 'parent' from code_ b where lang = 'typescript') t group by prop",
     "c29_pattern_equivalents": "select c.construct_id, e.target from code_ c join (select 'python' as lang, 'print($X)' as pattern, 'console.log($X)' as target union all select 'typescript', 'console.log($X)', 'print($X)') e on c.lang = e.lang",
     "d09_issues_by_severity": "select severity, count(*) as n, count(distinct file) as files from (select file, 'critical' as severity from code_ a where matches_(text, 'eval[(]') union all select file, 'high' from code_ b where matches_(text, 'password *= *[\"]')) t group by severity",
@@ -60,7 +66,6 @@ QUERIES = {
     "g05_keyword_jaccard": "select a.construct_id, round(array_length_(array_both_(a.k, b.k)) * 1.0 / (array_length_(a.k) + array_length_(b.k) - array_length_(array_both_(a.k, b.k))), 6) as j from (select construct_id, array_unique_(regexp_extract_all(text, '(if|for|while|return|eval|print|var)', 0)) as k from code_ x) a join (select construct_id - 1 as construct_id, array_unique_(regexp_extract_all(text, '(if|for|while|return|eval|print|var)', 0)) as k from code_ y) b on a.construct_id = b.construct_id",
     "h01_tokens": "select construct_id, array_length_(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*|[0-9]+|[^A-Za-z0-9_ \\n]', 0)) as n from code_ c",
     "h02_token_shingles": "select construct_id, array_text_(array_map_(numbers_(1, greatest(array_length_(t) - 2, 1)), i -> array_text_(slice_(t, i, 3), ' ')), '|') as s from (select construct_id, regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*', 0) as t from code_ c) q",
-    "h03_char_shingles": "select doc_id, array_text_(array_map_(numbers_(1, greatest(length(text) - 2, 1)), i -> substring(text, cast(i as int), 3)), '|') as s from documents where text is not null",
     "h09_cyclomatic": "select construct_id, 1 + array_length_(regexp_extract_all(text, '" + _KEY + "', 0)) + array_length_(regexp_extract_all(text, ' and | or ', 0)) as cyclomatic from code_ c",
     "h10_cognitive": "select construct_id, cast(sum(case when matches_(line, '^ *(if|for|while|elif) ') then 1 + greatest(0, floor(length(regexp_extract(line, '^ *', 0)) / 4) - 1) else 0 end + case when matches_(line, ' and | or ') then 1 else 0 end) as bigint) as cognitive from code_lines_ c group by construct_id",
     "h11_line_keyword": "select construct_id, line_no, regexp_extract(line, '^ *(if|for|while|elif|return)([ (:]|$)', 1) as kw from code_lines_ c where matches_(line, '^ *(if|for|while|elif|return)([ (:]|$)')",
@@ -88,3 +93,45 @@ QUERIES = {
     "k01_import_edges": f"select distinct file as source, 'src/app/m' || substr(callee, 8) || '.py' as target from {_CALLS} c where callee like 'helper~_%' escape '~'",
     "b30_links": "select page_id, array_length_(regexp_extract_all(html, 'href=[\"][^\"]*[\"]', 0)) as n_links from pages",
 }
+
+
+#: Lines that a scope takes after its first.
+SCOPE = 30
+
+
+def char_shingles(text: Column) -> Column:
+    """The runs of three characters of a text with `|` between them; a shorter text as it is.
+
+    Each character but the last two is followed by the two after it, in one pass: to cut run after run out of a text, as ``substring`` does, takes
+    the square of its length, since it counts its characters from the start each time.
+    """
+    runs = F.regexp_replace(text, "(?s)(.)(?=(..))", "$1$2|")
+    return F.when(F.length(text) < 3, text).otherwise(F.substring(runs, F.lit(1), F.length(runs) - 3))
+
+
+def innermost(points: DataFrame, scopes: DataFrame) -> DataFrame:
+    """The columns of ``points`` (file, at, others), scope_start: the last start of a scope (file, start_line) of the file whose lines hold the point.
+
+    Points without a scope and null files are left out. Each place and each start counts once, and a place asks for the lines a scope could have
+    started at: the join is on equal numbers, and what it makes is bounded by the places.
+    """
+    starts = scopes.select("file", F.col("start_line").alias("start")).dropna().distinct()
+    asked = points.select("file", "at").dropna().distinct().withColumn("start", F.explode(F.sequence(F.col("at") - SCOPE, F.col("at"))))
+    found = asked.join(starts, ["file", "start"]).groupBy("file", "at").agg(F.max("start").alias("scope_start"))
+    return points.join(found.hint("shuffle_merge"), ["file", "at"])
+
+
+def _shingled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialect.run(spark, sf_dir, "select doc_id, text from documents where text is not null").select("doc_id", char_shingles(F.col("text")).alias("s"))
+
+
+def _innermost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = dialect.run(spark, sf_dir, "select construct_id, file, start_line, start_line + 5 as at from code_ c")
+    return innermost(rows.select("construct_id", "file", "at"), rows).select("construct_id", "scope_start")
+
+
+FRAMES = {"c21_innermost_scope": _innermost, "h03_char_shingles": _shingled}
+FRAME_ORACLES = {
+    "c21_innermost_scope": dialect.duck_sql("select p.construct_id, max(s.start_line) as scope_start from (select construct_id, file, start_line + 5 as at from code_ x) p join (select file, start_line, start_line + 30 as end_line from code_ y) s on p.file = s.file and p.at between s.start_line and s.end_line group by p.construct_id"),
+    "h03_char_shingles": dialect.duck_sql("select doc_id, array_text_(array_map_(numbers_(1, greatest(length(text) - 2, 1)), i -> substring(text, cast(i as int), 3)), '|') as s from documents where text is not null"),
+}

@@ -1,9 +1,12 @@
 """What is small as a table and large as texts: no broadcasts, no squares of lengths, no pairs of a file's functions."""
 
+import time
+
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from lodeframe.operators import search
+from lodeframe.operators import code, search
 
 SF_DIR = "/root/testdata/sf0.001"
 JOINS = ["a35_integrity", "c22_name_conflicts", "d33_edit_counts", "i28_edit_statistics", "j02_token_similarity", "j07_hybrid_similarity", "j08_line_similarity", "j09_precise_similarity", "j12_line_edits", "j14_unified_diff", "j15_varying_literals", "j16_varying_names", "j17_varying_conditions"]
@@ -21,6 +24,35 @@ def test_hybrid_compares_once(spark):
     assert plan.count("SortMergeJoin") == 1
 
 
+def test_char_shingles(spark):
+    texts = ["", "a", "ab", "abc", "abcd", "a|b\n$1\\c", "añ😀x\r\nz", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = [r.s for r in rows.select("id", code.char_shingles(F.col("text")).alias("s")).orderBy("id").collect()]
+    assert got == [t if t is None else "|".join(t[i : i + 3] for i in range(max(len(t) - 2, 1))) for t in texts]
+
+
+def test_char_shingles_of_a_long_text(spark):
+    """Run after run cut out of this text took the square of its length."""
+    rows = spark.range(1).select(F.repeat(F.lit("abcdefghij"), 100_000).alias("text"))
+    began = time.time()
+    assert rows.select(F.length(code.char_shingles(F.col("text")))).first()[0] == 4 * (1_000_000 - 2) - 1
+    assert time.time() - began < 30
+
+
+def test_innermost_scopes(spark):
+    starts = [("f", 1), ("f", 1), ("f", 10), ("f", 40), ("g", 5), (None, 3)]
+    points = [(0, "f", 1), (1, "f", 9), (2, "f", 40), (3, "f", 39), (4, "f", 71), (5, "g", 4), (6, "h", 5), (7, None, 3), (8, "f", 70), (9, "f", 9)]
+    got = code.innermost(spark.createDataFrame(points, "id int, file string, at int"), spark.createDataFrame(starts, "file string, start_line int"))
+    want = {(i, max(s)) for i, f, at in points if (s := [b for g, b in starts if f and g == f and b <= at <= b + 30])}
+    assert {(r.id, r.scope_start) for r in got.collect()} == want and got.count() == len(want)
+
+
+def test_scopes_of_many_functions_on_one_line(spark):
+    """Each with each these would be 4 * 10**10 pairs."""
+    rows = spark.range(200_000).select("id", F.lit("f").alias("file"), F.lit(3).alias("start_line"), F.lit(8).alias("at"))
+    assert code.innermost(rows.select("id", "file", "at"), rows).agg(F.count("id"), F.max("scope_start")).first() == (200_000, 3)
+
+
 def test_hybrid_as_by_parts(spark):
     long = "\n".join(f"w{i} = {i}" for i in range(60))
     rows = spark.createDataFrame([(1, long, long.replace("w7 ", "v ")), (2, long, "a b c d"), (3, None, "a"), (4, "", "")], "id int, a string, b string")
