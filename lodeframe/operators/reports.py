@@ -1,5 +1,12 @@
 """Structured data, documentation, coverage, scopes and reports, on derived tables (see ``dialect``)."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodeframe.plans import dialect
+
 _HTML = """(select entity, case when entity % 3 = 0 then '<script type="application/ld+json">{"@type": "' || type_a || '", "name": "n"}</script>' when entity % 10 = 1 then '<script type="application/ld+json">{broken</script>' else '' end
   || case when entity % 2 = 0 then '<div itemscope itemtype="https://schema.org/' || type_a || '"><b itemprop="name">x</b></div>' when entity % 5 = 0 then '<div itemscope><i itemprop="url">u</i></div>' else '' end
   || case when entity % 4 = 1 then '<span property="name">x</span><span typeof="' || type_a || '" property="url">y</span>' else '' end as html from entities_ e)"""
@@ -18,7 +25,6 @@ QUERIES = {
     "b18_magic_number_noise": "select construct_id, line_no, regexp_extract(line, '([0-9]+)', 1) as number from code_lines_ c where matches_(line, '[0-9]') and not matches_(line, r'\\[[0-9]+\\]|range\\([0-9]+\\)|[A-Za-z_][0-9]+|\"[^\"]*[0-9]+[^\"]*\"')",
     "b31_docstring_skip": f"select id from {_DOC} d where not matches_(name, '^_') and doc = 'No parameters.'",
     "b36_entity_shape": "select id, label is not null and position('#' in id) > 0 as valid, type_a in ('Organization', 'Product', 'WebSite', 'Service') as known from entities_ e",
-    "c09_textual_references": "select f.stem, count(r.construct_id) as n, count(distinct r.file) as files from (select distinct 'helper_' || cast(construct_id % 25 as string_) as stem from code_ f0) f left join (select construct_id, file, regexp_extract(line, r'\\b(helper_[0-9]+)\\b', 1) as stem from code_lines_ c) r on r.stem = f.stem group by f.stem",
     "c12_batch_coverage": "select a.file, count(distinct t.construct_id) as tests from (select distinct file, regexp_extract(file, 'm([0-9]+)[.]', 1) as stem from code_ x where not matches_(file, 'test')) a left join (select construct_id, regexp_extract(file, 'test_m([0-9]+)[.]', 1) as stem from code_ y where matches_(file, 'test')) t on t.stem = a.stem group by a.file",
     "c20_import_references": "select target, count(*) as n, count(distinct source) as files from (select source, level, module as target from imports_ i where level >= 0) t group by target",
     "d34_variation_summary": f"select category, count(*) as n, cast(sum({_SCORE}) as bigint) as total, max({_SCORE}) as most from {_CASES} c group by category",
@@ -68,3 +74,23 @@ QUERIES = {
     "l42_orphan_report": "select 'file' as kind, f.file as name from (select distinct file from code_ a) f left join (select distinct 'src/app/m' || regexp_extract(text, 'helper_([0-9]+)', 1) || '.py' as target from code_ b) e on f.file = e.target where e.target is null union all select 'function', d.name from (select distinct name from code_ c) d left join (select distinct regexp_extract(text, '(helper_[0-9]+)[(]', 1) as callee from code_ g) u on u.callee = d.name where u.callee is null",
     "l45_equivalents": "select q.word, min(p.target) as target, max(case when p.concept = q.word then 'direct' else 'fuzzy' end) as how from (select distinct lower(p_brand) || case when p_size % 2 = 0 then ' list comprehension' else '' end as word from part) q join (select 'list comprehension' as concept, 'map' as target union all select 'dictionary', 'object' union all select 'comprehension', 'flatMap') p on position(p.concept in q.word) > 0 group by q.word",
 }
+
+
+def references(lines: DataFrame, stems: DataFrame) -> DataFrame:
+    """stem, n, files of ``stems`` (stem): how many ``lines`` (construct_id, file, stem) name one, in how many files; 0 where none does.
+
+    Lines are counted before they meet the stems, so that a stem that many lines name, or the empty one of lines that name none, burdens no task.
+    """
+    counted = lines.groupBy("stem").agg(F.count("construct_id").alias("n"), F.countDistinct("file").alias("files"))
+    return stems.distinct().join(counted, "stem", "left").select("stem", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("files", F.lit(0)).alias("files"))
+
+
+def _references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = dialect.run(spark, sf_dir, r"select construct_id, file, regexp_extract(line, r'\b(helper_[0-9]+)\b', 1) as stem from code_lines_ c")
+    return references(lines, dialect.run(spark, sf_dir, "select 'helper_' || cast(construct_id % 25 as string_) as stem from code_ c"))
+
+
+FRAMES = {"c09_textual_references": _references}
+FRAME_ORACLES = {
+    "c09_textual_references": dialect.duck_sql("select f.stem, count(r.construct_id) as n, count(distinct r.file) as files from (select distinct 'helper_' || cast(construct_id % 25 as string_) as stem from code_ f0) f left join (select construct_id, file, regexp_extract(line, r'\\b(helper_[0-9]+)\\b', 1) as stem from code_lines_ c) r on r.stem = f.stem group by f.stem"),
+}

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from lodeframe.operators import code, search
+from lodeframe.operators import code, reports, search
 
 SF_DIR = "/root/testdata/sf0.001"
 JOINS = ["a35_integrity", "c22_name_conflicts", "d33_edit_counts", "i28_edit_statistics", "j02_token_similarity", "j07_hybrid_similarity", "j08_line_similarity", "j09_precise_similarity", "j12_line_edits", "j14_unified_diff", "j15_varying_literals", "j16_varying_names", "j17_varying_conditions"]
@@ -53,6 +53,15 @@ def test_scopes_of_many_functions_on_one_line(spark):
     assert code.innermost(rows.select("id", "file", "at"), rows).agg(F.count("id"), F.max("scope_start")).first() == (200_000, 3)
 
 
+def test_references_are_counted_first(spark):
+    lines = [(1, "f", "x"), (2, "f", "x"), (3, "g", "x"), (4, "g", ""), (5, "g", "other"), (None, "h", "x"), (6, None, "y")]
+    got = reports.references(spark.createDataFrame(lines, "construct_id int, file string, stem string"), spark.createDataFrame([("x",), ("x",), ("y",), ("z",)], "stem string"))
+    assert sorted(map(tuple, got.collect())) == [("x", 3, 3), ("y", 1, 0), ("z", 0, 0)]
+    plan = entry.queries()["c09_textual_references"](spark, SF_DIR)._jdf.queryExecution().optimizedPlan().toString()
+    # Below the join there is nothing but aggregates.
+    assert plan.index("Join") < plan.index("Aggregate") < plan.index("Generate")
+
+
 def test_hybrid_as_by_parts(spark):
     long = "\n".join(f"w{i} = {i}" for i in range(60))
     rows = spark.createDataFrame([(1, long, long.replace("w7 ", "v ")), (2, long, "a b c d"), (3, None, "a"), (4, "", "")], "id int, a string, b string")
