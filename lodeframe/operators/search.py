@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import math
 import re
 
 import numpy as np
@@ -14,12 +15,14 @@ from pyspark.sql import types as T
 
 from lodeframe.functions import syntax
 from lodeframe.plans import dialect
-from lodeframe.session import ship
+from lodeframe.session import ship, spread, written
 
 #: Permutations, tokens of a shingle of code, tokens below which texts are compared directly.
 PERMUTATIONS, SHINGLE, FEW_TOKENS = 128, 3, 15
 #: Bands of the index. Rows of a band: 4, so that pairs of 0.6 or more are nearly all found.
 BANDS = 32
+#: Numbers of a sketch.
+SKETCH = PERMUTATIONS // 32
 TOKEN = re.compile(r"[A-Za-z_][A-Za-z0-9_]*|[0-9]+|[^\sA-Za-z0-9_]")
 
 _RANDOM = np.random.default_rng(1)
@@ -72,23 +75,39 @@ def bands(sig: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.struct(i.alias("band"), F.xxhash64(i, F.slice(sig, i * rows + 1, rows)).alias("hash")))
 
 
-def index(rows: DataFrame) -> DataFrame:
-    """id, band, hash for each band of each row (id, sig) that has tokens."""
-    return rows.filter(F.size("sig") > 0).select("id", F.explode(bands(F.col("sig"))).alias("x")).select("id", "x.band", "x.hash")
+def sketch(sig: Column) -> list[Column]:
+    """Two bits of each of a signature's hashes, 32 to a number."""
+    return [F.aggregate(F.slice(sig, 32 * i + 1, 32), F.lit(0).cast("long"), lambda s, x: F.shiftleft(s, 2).bitwiseOR(x.bitwiseAND(F.lit(3)))).alias(f"s{i}") for i in range(SKETCH)]
+
+
+def _differing() -> Column:
+    """How many of the two bits differ between the sketches s and q: in so many places at least the signatures do."""
+    apart = [F.col(f"s{i}").bitwiseXOR(F.col(f"q{i}")) for i in range(SKETCH)]
+    return sum((F.bit_count(x.bitwiseOR(F.shiftright(x, 1)).bitwiseAND(F.lit(0x5555555555555555))) for x in apart), F.lit(0))
+
+
+def index(rows: DataFrame, sketched: bool = False) -> DataFrame:
+    """id, band, hash for each band of each row (id, sig) that has tokens; with its sketch if asked for."""
+    own = [f"s{i}" for i in range(SKETCH)] if sketched else []
+    found = rows.filter(F.size("sig") > 0).select("id", "sig", *sketch(F.col("sig"))) if sketched else rows.filter(F.size("sig") > 0)
+    return found.select("id", *own, F.explode(bands(F.col("sig"))).alias("x")).select("id", "x.band", "x.hash", *own)
 
 
 def similar_to(queries: DataFrame, rows: DataFrame, similarity: float = 0.8) -> DataFrame:
     """query_id, id, similarity of the ``rows`` (id, text) that are like a query (id, text), by the index.
 
-    Candidates share a band and are confirmed by their signatures; a row is never its
-    own find. Rows without tokens find nothing and are not found.
+    Candidates share a band and are confirmed by their signatures; those whose sketches differ in more places than the
+    similarity allows are none. A row is never its own find. Rows without tokens find nothing and are not found.
     """
-    signed = rows.select("id", signature("text").alias("sig"))
-    asked = queries.select(F.col("id").alias("query_id"), signature("text").alias("query_sig"))
-    probes = index(asked.select(F.col("query_id").alias("id"), F.col("query_sig").alias("sig"))).withColumnRenamed("id", "query_id")
-    pairs = index(signed).join(probes, ["band", "hash"]).filter("id <> query_id").select("query_id", "id").distinct()
+    # Signatures are made once; what the probes meet are two bits of each place of them.
+    signed = written(spread(rows.select("id", "text")).select("id", signature("text").alias("sig")))
+    asked = written(queries.select(F.col("id").alias("query_id"), signature("text").alias("query_sig")))
+    probes = index(asked.select(F.col("query_id").alias("id"), F.col("query_sig").alias("sig")), True).withColumnsRenamed({"id": "query_id", **{f"s{i}": f"q{i}" for i in range(SKETCH)}})
+    met = index(signed, True).join(probes.hint("shuffle_merge"), ["band", "hash"])
+    most = PERMUTATIONS - math.ceil(similarity * PERMUTATIONS - 1e-9)
+    pairs = met.filter((F.col("id") != F.col("query_id")) & (_differing() <= most)).select("query_id", "id").distinct()
     agree = F.aggregate(F.zip_with("sig", "query_sig", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x) / PERMUTATIONS
-    found = pairs.join(signed.dropDuplicates(["id"]), "id").join(asked.dropDuplicates(["query_id"]), "query_id")
+    found = pairs.join(signed.dropDuplicates(["id"]).hint("shuffle_merge"), "id").join(asked.dropDuplicates(["query_id"]).hint("shuffle_merge"), "query_id")
     return found.select("query_id", "id", agree.alias("similarity")).filter(F.col("similarity") >= similarity)
 
 
