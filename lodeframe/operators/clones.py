@@ -17,14 +17,14 @@ from lodeframe.operators.graph import components
 from lodeframe.operators.search import _code
 from lodeframe.plans import dialect
 from lodeframe.plans.skew import lookup_join
-from lodeframe.session import checkpoint
+from lodeframe.session import checkpoint, spread
 
 SIMILARITY = 0.8
 
 
 def links(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """a, b, similarity of the linked pairs of nodes (node, text) with different texts."""
-    return setjoin.similar_sets(checkpoint(nodes.select("node", setjoin.token_shingles(F.col("text")).alias("items"))), similarity)
+    return setjoin.similar_sets(checkpoint(spread(nodes).select("node", setjoin.token_shingles(F.col("text")).alias("items"))), similarity)
 
 
 def clone_classes(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -61,7 +61,7 @@ def _gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each file, whether its functions, of which no two are candidates, are all compared."""
     code = checkpoint(_code(spark, sf_dir).select("id", F.col("file").alias("bucket"), "text"))
     tokens = F.size(F.regexp_extract_all("text", F.lit(setjoin.TOKEN), F.lit(0)))
-    own = code.select(F.struct("bucket", "id").alias("node"), F.transform(setjoin.token_shingles(F.col("text")), lambda x: F.xxhash64("bucket", x)).alias("items"))
+    own = spread(code.select("id", "bucket", "text")).select(F.struct("bucket", "id").alias("node"), F.transform(setjoin.token_shingles(F.col("text")), lambda x: F.xxhash64("bucket", x)).alias("items"))
     pairs = setjoin.similar_sets(checkpoint(own), SIMILARITY).select(F.col("a.bucket").alias("bucket"))
     return setjoin.compare_all(code.select("bucket", tokens.alias("tokens")), pairs)
 

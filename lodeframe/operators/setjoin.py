@@ -4,7 +4,9 @@ Every pair of sets whose Jaccard similarity reaches the threshold is found, at a
 Elements are put in order of how many sets hold them, the rarest first. Two sets that are so alike
 share one of the first few elements of each (its prefix), so sets meet on those alone, if their sizes allow the
 similarity, and if what follows the element in both can still make up the overlap that it asks for.
-Pairs are verified by their whole sets. Elements that many prefixes hold are dealt to parts on one side and sent to all
+Elements that the same sets hold stand side by side, and sets meet on the first of them alone. Each set carries the parities of its elements,
+dealt to 256 bits: as many bits as differ between two sets, so many elements at least are in one of them only, and where those are too many
+the two are no candidates. Pairs are verified by their whole sets. Elements that many prefixes hold are dealt to parts on one side and sent to all
 of its parts on the other, so that no task has all the pairs of an element.
 """
 
@@ -14,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeframe.plans.skew import weighed_join
-from lodeframe.session import checkpoint, settle
+from lodeframe.session import checkpoint, settle, spread
 
 #: Tokens of code, and how many make a shingle. The last kind are single marks.
 TOKEN, SHINGLE = r"[A-Za-z_][A-Za-z0-9_]*|[0-9]+|[^\sA-Za-z0-9_]", 3
@@ -22,6 +24,8 @@ TOKEN, SHINGLE = r"[A-Za-z_][A-Za-z0-9_]*|[0-9]+|[^\sA-Za-z0-9_]", 3
 MOST_ITEMS, FEW_ITEMS, FEW_TOKENS = 100, 10, 15
 #: Rows of one element that meet in one task on the dealt side.
 TOGETHER = 2000
+#: Words of 64 bits that the parities take.
+WORDS = 4
 #: Keeps sizes that are whole numbers whole where a share of them is no exact number.
 SLACK = 1e-9
 
@@ -35,30 +39,45 @@ def token_shingles(text: Column) -> Column:
 
 
 def rarest_first(sets: DataFrame) -> DataFrame:
-    """node, items of sets (node, items: different numbers), each in one order for all: by how many sets hold them."""
+    """node, items, fresh, parity of sets (node, items: different numbers), each in one order for all: by how many sets hold them.
+
+    Items that the same sets hold, by the fingerprints of those, are next to each other; ``fresh`` is false for all but the first of them.
+    """
     rows = sets.select("node", F.explode("items").alias("item"))
-    held = checkpoint(rows.groupBy("item").agg(F.count(F.lit(1)).alias("n")))
+    held = checkpoint(rows.groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("f"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("g")))
     total = held.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     ranked = weighed_join(rows, held, ["item"], total)
-    return ranked.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "item"))), lambda x: x["item"]).alias("items"))
+    bit = F.expr("shiftleft(1L, int(item & 63))")
+    parity = [F.bit_xor(F.when(F.pmod(F.shiftright("item", 6), F.lit(WORDS)) == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"p{i}") for i in range(WORDS)]
+    found = ranked.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "f", "g", "item"))).alias("x"), *parity)
+    holders = F.transform("x", lambda x: F.struct(x["n"], x["f"], x["g"]))
+    fresh = F.zip_with(holders, F.concat(F.array(F.lit(None).cast("struct<n:bigint,f:bigint,g:bigint>")), F.slice(holders, F.lit(1), F.size("x") - 1)), lambda x, y: ~x.eqNullSafe(y))
+    return found.select("node", F.transform("x", lambda x: x["item"]).alias("items"), fresh.alias("fresh"), F.struct(*[f"p{i}" for i in range(WORDS)]).alias("parity"))
 
 
 def candidates(ordered: DataFrame, similarity: float) -> DataFrame:
     """Different pairs a < b of the sets of ``rarest_first`` that may reach the similarity; none that does is missing."""
     size = F.size("items")
     prefix = (size - F.ceil(size * similarity - SLACK) + 1).cast("int")
-    rows = ordered.filter(size > 0).select("node", size.alias("size"), F.posexplode(F.slice("items", F.lit(1), prefix)).alias("place", "item"))
+    placed = F.slice(F.arrays_zip("items", "fresh"), F.lit(1), prefix)
+    rows = ordered.filter(size > 0).select("node", "parity", size.alias("size"), F.posexplode(placed).alias("place", "x")).filter("x.fresh").select("node", "parity", "size", "place", F.col("x.items").alias("item"))
     many = rows.groupBy("item").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     total = many.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     shared = checkpoint(weighed_join(rows, many, ["item"], total, "inner").withColumn("parts", F.ceil(F.col("n") / TOGETHER).cast("int")))
-    left = shared.select("item", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.col("node").alias("a"), F.col("size").alias("a_size"), F.col("place").alias("a_place"))
-    right = shared.select("item", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("node").alias("b"), F.col("size").alias("b_size"), F.col("place").alias("b_place"))
+
+    def side(part: Column, name: str) -> DataFrame:
+        return shared.select("item", part.alias("part"), F.col("node").alias(name), F.col("size").alias(f"{name}_size"), F.col("place").alias(f"{name}_place"), *[F.col(f"parity.p{i}").alias(f"{name}{i}") for i in range(WORDS)])
+
+    left = side(F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"), "a")
+    right = side(F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), "b")
     met = left.join(right.hint("shuffle_merge"), ["item", "part"])
     fits = (F.least("a_size", "b_size") >= F.greatest("a_size", "b_size") * similarity - SLACK) & (F.col("a") < F.col("b"))
     # At their first common element two sets that are alike enough have what is left of the overlap in what follows it.
     overlap = F.ceil((F.col("a_size") + F.col("b_size")) * (similarity / (1 + similarity)) - SLACK)
     after = F.least(F.col("a_size") - F.col("a_place"), F.col("b_size") - F.col("b_place"))
-    return met.filter(fits & (after >= overlap)).select("a", "b").distinct()
+    # Elements of one set only, of which each pair in a bit hides itself.
+    apart = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(WORDS)), F.lit(0))
+    return met.filter(fits & (after >= overlap) & (apart <= F.col("a_size") + F.col("b_size") - 2 * overlap)).select("a", "b").distinct()
 
 
 def similar_sets(sets: DataFrame, similarity: float) -> DataFrame:
@@ -148,7 +167,7 @@ def anchor_clusters(items: DataFrame, similarity: float) -> DataFrame:
     nodes = groups.select(F.struct("bucket", F.col("first").alias("id")).alias("node"))
     texts = rows.join(groups.select("bucket", F.col("first").alias("id")), ["bucket", "id"], "left_semi")
     # A bucket's sets get the bucket as an element of its own kind, hashed in with each: sets of two buckets share nothing.
-    own = texts.select(F.struct("bucket", "id").alias("node"), F.transform(token_shingles(F.col("text")), lambda x: F.xxhash64("bucket", x)).alias("items"))
+    own = spread(texts.select("id", "bucket", "text")).select(F.struct("bucket", "id").alias("node"), F.transform(token_shingles(F.col("text")), lambda x: F.xxhash64("bucket", x)).alias("items"))
     linked = similar_sets(checkpoint(own), similarity)
     clusters = anchors(nodes, linked).select(F.col("node.bucket").alias("bucket"), F.col("node.id").alias("first"), F.col("anchor.id").alias("anchor"))
     known = checkpoint(groups.join(clusters, ["bucket", "first"]).select("bucket", "digest", "anchor"))
