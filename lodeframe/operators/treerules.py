@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from lodeframe.functions import syntax
 from lodeframe.operators.search import _code
 from lodeframe.plans import dialect
-from lodeframe.session import checkpoint
+from lodeframe.session import spread, written
 
 NODE = ["doc", "node", "parent", "place", "path"]
 ATOMIC, RELATIONS = {"kind", "regex", "pattern"}, ("inside", "has", "follows", "precedes")
@@ -64,7 +64,7 @@ def _met(found: DataFrame, other: DataFrame, on: list[str], how: str = "inner")
     """``found`` where ``other`` has a row with equal ``on`` and equal variables, with the variables that are new."""
     other = other.drop(*[c for c in NODE if c not in on])
     shared = [v for v in _variables(found) if v in other.columns]
-    return found.join(other, [*on, *shared], how).select(*found.columns, *[c for c in other.columns if how == "inner" and c not in (*found.columns, *on)])
+    return found.join(other.hint("shuffle_merge"), [*on, *shared], how).select(*found.columns, *[c for c in other.columns if how == "inner" and c not in (*found.columns, *on)])
 
 
 def _atoms(nodes: DataFrame, rule: dict) -> DataFrame:
@@ -138,7 +138,7 @@ def find_by_rule(nodes: DataFrame, rule: dict, constraints: dict[str, str] | Non
         found = found.filter(F.col(name).rlike(expression))
     variables = F.map_from_arrays(F.array(*[F.lit(n) for n in names]).cast("array<string>"), F.array(*[F.col(n) for n in names]).cast("array<string>"))
     said = nodes.select("doc", "node", "line", "text")
-    return found.select("doc", "node", variables.alias("variables")).join(said, ["doc", "node"]).select("doc", "node", "line", "text", "variables")
+    return found.select("doc", "node", variables.alias("variables")).join(said.hint("shuffle_merge"), ["doc", "node"]).select("doc", "node", "line", "text", "variables")
 
 
 #: Rules of the query, of each kind.
@@ -156,7 +156,8 @@ RULES = {
 
 def code_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """rule, id, line, bound of what the rules find in the Python functions of the code corpus."""
-    nodes = checkpoint(tree_nodes(_code(spark, sf_dir).filter("lang = 'python'").select(F.col("id").alias("doc"), "text")))
+    # Parsing takes far longer than ``part`` is large. Neither a checkpoint nor a table, which packs well, says how large nodes are: joins are told not to broadcast them.
+    nodes = written(tree_nodes(spread(_code(spark, sf_dir).filter("lang = 'python'").select(F.col("id").alias("doc"), "text"))))
     parts = []
     for name, rule in RULES.items():
         bound = F.array_join(F.transform(F.array_sort(F.map_entries("variables")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")

@@ -71,3 +71,11 @@ def test_hybrid_as_by_parts(spark):
     parts = {r.id: r for r in rows.select("id", search.token_similarity("a", "b").alias("t"), syntax.line_similarity("a", "b").alias("l")).collect()}
     for i, p in parts.items():
         assert (got[i].method, got[i].similarity) == (("hybrid", pytest.approx(0.4 * p.t + 0.6 * p.l)) if p.t >= 0.5 else ("minhash", p.t))
+
+
+def test_nodes_of_trees_are_not_broadcast(spark):
+    """Nodes are many times what the table that their texts are made from takes, and pack well besides."""
+    from lodeframe.operators import treerules
+
+    plan = treerules.code_by_rule(spark, "/root/testdata/sf0.01")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
