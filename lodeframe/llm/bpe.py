@@ -17,11 +17,11 @@ import base64
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 MAX_PIECES = 400_000
 MAX_PAIRS = 400_000
 MAX_KEPT = 64
+#: Characters of the texts whose pre-tokens and ids are held at once.
+RUN = 1_000_000
 
 # The White_Space characters of Unicode.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -197,7 +199,7 @@ class Codec:
         return self.blob[np.repeat(self.start[of] - ends + size, size) + np.arange(ends[-1])].tobytes()
 
 
-def groups(texts: list[str], most: int = 2_000_000) -> Iterator[list[str]]:
+def groups(texts: Iterable[str], most: int = RUN) -> Iterator[list[str]]:
     """Runs of texts of about so many characters; one longer text is a run of its own."""
     run, n = [], 0
     for text in texts:
@@ -227,6 +229,29 @@ def public_vocabulary(name: str = "byte_bpe_50k.tiktoken") -> tuple[str, str]:
     return public_tokenizers.path(name), public_tokenizers.PATTERN
 
 
+def encoded(batches: Iterable[pa.RecordBatch], own: Codec, with_ids: bool) -> Iterator[pa.RecordBatch]:
+    """The rows of ``encode_documents`` for batches of doc_id and text.
+
+    Texts become strings, and ids leave, a run at a time: a batch may be all that a task has.
+    """
+    for batch in batches:
+        at = 0
+        for texts in groups(t.as_py() or "" for t in batch["text"]):
+            counts, first, second, lists = [], [], [], []
+            for ids in own.encode_all(texts):
+                counts.append(ids.count(" ") + 1 if ids else 0)
+                first.append(hashlib.sha256(ids.encode()).hexdigest())
+                second.append(hashlib.sha256(own.decode(ids)).hexdigest())
+                if with_ids:
+                    lists.append(np.fromstring(ids, np.int32, sep=" "))
+            out = {"doc_id": batch["doc_id"].slice(at, len(texts)), "n_tokens": counts, "ids_sha256": first, "decoded_sha256": second}
+            if with_ids:
+                ends = np.cumsum([0, *counts]).astype(np.int32)
+                out["token_ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists)))
+            yield pa.RecordBatch.from_pydict(out)
+            at += len(texts)
+
+
 def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | None = None, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row, and token_ids if asked for.
 
@@ -236,21 +261,9 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | No
     default = public_vocabulary() if path is None or pattern is None else (path, pattern)
     path, pattern = path or default[0], pattern or default[1]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = codec(path, pattern)
-        for batch in batches:
-            counts, first, second, lists = [], [], [], []
-            for run in groups([t or "" for t in batch["text"]]):
-                for ids in own.encode_all(run):
-                    counts.append(ids.count(" ") + 1 if ids else 0)
-                    first.append(hashlib.sha256(ids.encode()).hexdigest())
-                    second.append(hashlib.sha256(own.decode(ids)).hexdigest())
-                    if with_ids:
-                        lists.append(np.fromstring(ids, np.int32, sep=" "))
-            out = {"doc_id": batch["doc_id"], "n_tokens": counts, "ids_sha256": first, "decoded_sha256": second}
-            yield pd.DataFrame(out | ({"token_ids": lists} if with_ids else {}))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return encoded(batches, codec(path, pattern), with_ids)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * with_ids
-    # A column of integers with nulls would turn to floats in pandas, so ids travel as text.
-    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInPandas(run, schema.replace("doc_id long", "doc_id string", 1)).withColumn("doc_id", F.col("doc_id").cast("long"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, schema)

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,6 +132,22 @@ def test_bpe_appends_and_edits():
         assert fresh.ids() == table.ids()
 
 
+def test_ids_leave_a_run_at_a_time():
+    """All rows of a task may be one batch, of which no more than a run is held as strings and ids."""
+    import tiktoken
+
+    path, pattern = bpe.public_vocabulary()
+    made = random.Random(21)
+    texts = [" ".join(made.choices(("alpha", "beta", "gamma", "\u00e9t\u00e9"), k=60_000)) for _ in range(12)] + [None, ""]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([*range(12), None, 13], pa.int64()), "text": pa.array(texts)})
+    parts = list(bpe.encoded([batch], bpe.codec(path, pattern), True))
+    assert len(parts) >= 4 and max(sum(len(texts[i] or "") for i in p["doc_id"].to_pylist() if i is not None) for p in parts) <= bpe.RUN
+    rows = [r for p in parts for r in p.to_pylist()]
+    plain = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
+    assert [r["doc_id"] for r in rows] == [*range(12), None, 13]
+    assert [r["token_ids"] for r in rows] == [plain.encode_ordinary(t or "") for t in texts]
+
+
 def test_shards_follow_the_mixture(spark):
     docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 50)).alias("source"))
     out = sharding.shard(docs).collect()
