@@ -3,10 +3,10 @@
 Vectors of whole numbers, inner product. In a block of candidates every dimension has
 its postings in segments of nearly equal value, so that a segment has one quantised
 impact for a query: what its values add at least over the least that the dimension can
-add. The segments of all dimensions are processed by descending impact. At any time a
-candidate's score lies between what it has gathered and that plus the greatest impacts
-still open in each dimension. The block is stopped only when this proves that few
-candidates can still be among the k best; these are rescored exactly. The k-th score
+add. The segments of all dimensions are processed by descending impact, in a few steps and for some
+queries together. At any time a candidate's score lies between what it has gathered and that plus the greatest
+impacts still open in each dimension. A query is settled only when this proves that few
+candidates can still be among the k best, or all segments are processed; these are rescored exactly. The k-th score
 of earlier blocks is carried along as a bound.
 
 Null vectors and such with null, NaN or infinite components take no part, nor do rows
@@ -28,8 +28,12 @@ from pyspark.sql import functions as F
 
 from lodeframe.llm.common import checkpoint
 
-#: Queries that are sent to the workers at once, candidates of a block of the index, values of a segment's group.
-QUERY_BLOCK, INDEX_BLOCK, LEVELS = 20_000, 16_384, 12
+#: Queries that are sent to the workers at once, candidates of a block of the index, segments of a dimension.
+QUERY_BLOCK, INDEX_BLOCK, LEVELS = 20_000, 16_384, 96
+#: Queries that a block meets at once, and steps in which it processes its segments.
+TOGETHER, STEPS = 128, 4
+#: Stands for a bound that is not known yet.
+NONE = -(2**62)
 
 
 def whole(vectors: Column, scale: int = 1024) -> Column:
@@ -40,51 +44,69 @@ def whole(vectors: Column, scale: int = 1024) -> Column:
 
 
 class ImpactIndex:
-    """Postings of one block: ids ascending, X of shape (candidates, dimensions), both int64."""
+    """Postings of one block: ids, and X of shape (candidates, dimensions), both int64.
+
+    A positive component of a query adds the more the higher a value is, a negative one the more the lower it is. So
+    each dimension has two halves, in which segments add at least ``sure`` and at most ``can``, per unit of the query, over
+    the least that the dimension can add.
+    """
 
     def __init__(self, ids: np.ndarray, X: np.ndarray, levels: int = LEVELS):
         self.ids, self.X = ids, X
-        self.order = np.argsort(X, axis=0, kind="stable")  # per dimension, ascending
         n = len(ids)
-        self.cuts = np.unique(np.linspace(0, n, min(levels, n) + 1).astype(np.int64))
-        at = self.cuts
-        ranked = np.take_along_axis(X, self.order, axis=0)
-        self.low, self.high = ranked[at[:-1]], ranked[at[1:] - 1]  # least and greatest value of each segment
-
-    def search(self, q: np.ndarray, k: int, least: int | None, own: int) -> list[tuple[int, int]]:
-        """(score, id) of the k best; candidates below ``least`` may be missing."""
+        order = np.argsort(X, axis=0, kind="stable")  # per dimension, ascending
+        cuts = np.unique(np.linspace(0, n, min(levels, n) + 1).astype(np.int64))
+        ranked = np.take_along_axis(X, order, axis=0)
+        low, high = ranked[cuts[:-1]], ranked[cuts[1:] - 1]  # least and greatest value of each segment
+        segment = np.empty(X.shape, np.int64)
+        np.put_along_axis(segment, order, np.repeat(np.arange(len(low)), np.diff(cuts))[:, None], axis=0)
+        self.segment = np.hstack([segment, segment])
+        self.least = np.hstack([low[0], -high[-1]])
+        self.sure, self.can = np.hstack([low - low[0], high[-1] - high]), np.hstack([high - low[0], high[-1] - low])
+
+    def search(self, queries: np.ndarray, k: int, least: list[int | None], own: np.ndarray) -> list[list[tuple[int, int]]]:
+        """For each row of ``queries`` (score negated, id) of the k best; candidates below its ``least`` may be missing.
+
+        The queries share the order of segments, that of the greatest impact for any of them; one product
+        of matrices adds what a step's segments have for all queries that are not settled.
+        """
         ids, n = self.ids, len(self.ids)
-        at_least, at_most = np.where(q >= 0, q * self.low, q * self.high), np.where(q >= 0, q * self.high, q * self.low)
-        base = at_least.min(axis=0)
-        sure, can = at_least - base, at_most - base  # impact of each segment: surely, at most
-        segments, dims = sure.shape
-        plan = np.argsort(-can, axis=None, kind="stable")
-        gathered = np.zeros(n, np.int64)
-        slack = np.zeros(n, np.int64)  # what quantising may have taken from the gathered score
-        left = can.max(axis=0)  # greatest impact still open, by dimension
-        pending = [list(np.sort(can[:, d])) for d in range(dims)]
-        floor = None if least is None else least - int(base.sum())
-        step = max(1, len(plan) // 8)
-        others = np.flatnonzero(ids != own)  # rows of the query's own id are no candidates, however many there are
-        possible = others
-        for start in range(0, len(plan), step):
-            for x in plan[start : start + step]:
-                s, d = divmod(int(x), dims)
-                rows = self.order[self.cuts[s] : self.cuts[s + 1], d]
-                gathered[rows] += sure[s, d]
-                if can[s, d] != sure[s, d]:
-                    slack[rows] += can[s, d] - sure[s, d]
-                pending[d].pop()
-            left = np.array([p[-1] if p else 0 for p in pending])
+        weight = np.hstack([np.maximum(queries, 0), np.maximum(-queries, 0)])
+        # Whole numbers below 2 ** 53 are exact as doubles, which multiply faster.
+        top = float(np.abs(queries).sum(axis=1).max(initial=0)) * float(self.can.max(initial=0))
+        kind = np.float64 if top < 2**52 else np.int64
+        base = (weight * self.least).sum(axis=1)
+        floor = np.array([NONE if x is None else x - int(b) for x, b in zip(least, base)], kind)
+        impact = self.can * weight.max(axis=0)
+        step_of = np.empty(impact.size, np.int64)
+        step_of[np.argsort(-impact, axis=None, kind="stable")] = np.arange(impact.size) * STEPS // max(1, impact.size)
+        step_of, halves = step_of.reshape(impact.shape), np.arange(impact.shape[1])
+        live, weight = np.arange(len(queries)), weight.astype(kind)
+        self_rows = ids[None, :] == own[:, None]  # rows of the query's own id are no candidates, however many there are
+        enough = n - self_rows.sum(axis=1) >= k
+        sure, most = np.zeros((len(queries), n), kind), np.zeros((len(queries), n), kind)
+        found: list[list[tuple[int, int]]] = [[]] * len(queries)
+        for step in range(STEPS):
+            now = step_of == step
+            sure += weight @ np.where(now, self.sure, 0)[self.segment, halves].astype(kind).T
+            most += weight @ np.where(now, self.can, 0)[self.segment, halves].astype(kind).T
+            sure[self_rows] = -1
+            left = weight @ np.where(step_of > step, self.can, 0).max(axis=0).astype(kind)  # greatest impacts still open
             bound = floor
-            if len(others) >= k:
-                kth = int(np.partition(gathered[others], len(others) - k)[len(others) - k])
-                bound = kth if bound is None else max(bound, kth)
-            possible = others[(gathered + slack + int(left.sum()))[others] >= bound] if bound is not None else possible
-            if len(possible) <= max(4 * k, n // 50):
-                break
-        score = self.X[possible] @ q
-        return heapq.nsmallest(k, zip((-score).tolist(), ids[possible].tolist()))
+            if k <= n:
+                bound = np.where(enough, np.maximum(floor, np.partition(sure, n - k, axis=1)[:, n - k]), floor)
+            possible = (most >= (bound - left)[:, None]) & ~self_rows
+            done = possible.sum(axis=1) <= max(4 * k, n // 50) if step < STEPS - 1 else np.ones(len(live), bool)
+            for j in np.flatnonzero(done).tolist():
+                rows = np.flatnonzero(possible[j])
+                score = self.X[rows] @ queries[live[j]]
+                found[live[j]] = heapq.nsmallest(k, zip((-score).tolist(), ids[rows].tolist()))
+            if done.any():
+                keep = ~done
+                live, weight, floor, enough, self_rows, sure, most = (x[keep] for x in (live, weight, floor, enough, self_rows, sure, most))
+                if not len(live):
+                    break
+        return found
 
 
 def _search(rows: DataFrame, sent: Broadcast, k: int) -> DataFrame:
@@ -93,6 +115,9 @@ def _search(rows: DataFrame, sent: Broadcast, k: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best: dict[int, list[tuple[int, int]]] = {}
         held, size = [], 0
+        asked: dict[int, list[int]] = {}
+        for j, (_, q) in enumerate(sent.value):
+            asked.setdefault(len(q), []).append(j)
 
         def block() -> None:
             pdf = pd.concat(held)
@@ -100,11 +125,13 @@ def _search(rows: DataFrame, sent: Broadcast, k: int) -> DataFrame:
                 ids = part["vec_id"].to_numpy(np.int64)
                 # The block is a whole: the order of rows in it is free.
                 index = ImpactIndex(ids, np.array(part["v"].tolist(), np.int64).reshape(len(ids), dims))
-                for j, (own, q) in enumerate(sent.value):
-                    if len(q) == dims:
-                        old = best.get(j, [])
-                        new = index.search(q, k, -old[-1][0] if len(old) == k else None, own)
-                        best[j] = heapq.nsmallest(k, old + new)
+                queries = asked.get(dims, [])
+                for at in range(0, len(queries), TOGETHER):
+                    some = queries[at : at + TOGETHER]
+                    old = [best.get(j, []) for j in some]
+                    least = [-x[-1][0] if len(x) == k else None for x in old]
+                    new = index.search(np.array([sent.value[j][1] for j in some]), k, least, np.array([sent.value[j][0] for j in some]))
+                    best.update({j: heapq.nsmallest(k, x + y) for j, x, y in zip(some, old, new)})
 
         for batch in batches:
             held.append(batch)
