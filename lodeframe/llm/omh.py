@@ -178,9 +178,16 @@ def _within_small(rows: DataFrame, similarity: float) -> DataFrame:
     return _pair("xr", "xn", "yr", "yn", similarity, pairs.select(F.col("x.rid").alias("xr"), F.col("x.n").alias("xn"), F.col("y.rid").alias("yr"), F.col("y.n").alias("yn")))
 
 
+def in_large(found: DataFrame, label: DataFrame) -> DataFrame:
+    """rid, class, key: the large buckets of each node. A node's class is looked up once, not for each of its buckets."""
+    nodes = found.filter(F.col("members") > SMALL).groupBy("rid").agg(F.collect_list("key").alias("keys"))
+    known = nodes.join(label.withColumnRenamed("node", "rid").hint("shuffle_merge"), "rid", "left")
+    return known.select("rid", F.coalesce("class", "rid").alias("class"), F.explode("keys").alias("key"))
+
+
 def rest_of_large(found: DataFrame, label: DataFrame, nodes: DataFrame, docs: DataFrame, total: int, similarity: float = SIMILARITY) -> DataFrame:
     """Links (a, b) between nodes of one large bucket that ``label`` (node, class) has in different classes."""
-    large = found.filter(F.col("members") > SMALL).select("rid", "key").join(label.withColumnRenamed("node", "rid"), "rid", "left").select("rid", "key", F.coalesce("class", "rid").alias("class"))
+    large = in_large(found, label)
     large = written(large)
     state = large.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("class").alias("low"), F.max("class").alias("high"))
     state = state.withColumn("weight", F.col("members")).withColumn("open", F.col("low") != F.col("high")).drop("low", "high")

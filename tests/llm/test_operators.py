@@ -379,6 +379,21 @@ def test_components_of_a_long_chain(spark):
     assert {r.node: r["class"] for r in omh.components(links).collect()} == {i: 0 for i in range(61)} | {99: 99, 100: 99}
 
 
+def test_a_class_is_looked_up_once_for_a_node(spark):
+    """However many large buckets a node is in: a group of near copies shares most of its sketches."""
+    found = spark.createDataFrame([(i, k, 50) for i in range(50) for k in range(40)] + [(i, 99, 2) for i in range(2)], "rid long, key long, members long")
+    label = spark.createDataFrame([(i, i % 3) for i in range(30)], "node long, class long")
+    out = omh.in_large(found, label)
+    assert sorted(map(tuple, out.collect())) == sorted((i, i % 3 if i < 30 else i, k) for i in range(50) for k in range(40))
+
+    def joined(plan):
+        inner = plan.executedPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan.plan() if "QueryStage" in plan.nodeName() else None
+        below = [inner] if inner else [plan.children().apply(i) for i in range(plan.children().size())]
+        return [*([plan.metrics().apply("numOutputRows").value()] if "Join" in plan.nodeName() else []), *[x for p in below for x in joined(p)]]
+
+    assert joined(out._jdf.queryExecution().executedPlan()) == [50]
+
+
 def plain_contamination(texts, items, window=10):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     out = []
