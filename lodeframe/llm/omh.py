@@ -13,11 +13,14 @@ of three beyond, since one edit spoils up to five runs of five.
 
 How work stays bounded. Texts with equal words are one node from the start. A bucket of
 up to ``SMALL`` nodes has all its pairs verified. In a larger one every node is first paired with
-a leader. What the links found so far leave in different classes is then compared in full,
-in cells of two blocks of up to ``BLOCK`` nodes of the bucket: a pair is aligned unless its texts are
-connected already, met under an earlier sketch or have too few words in common. So every
+a leader. What the links found so far leave in different classes is then compared in full. A bucket
+of up to ``BLOCK`` nodes is one cell: a pair is aligned unless its texts are
+connected already, met under an earlier sketch or have too few words in common. Nodes of larger buckets
+are not dealt to cells by twos of blocks, of which there are as many as the square of the bucket: they meet, all such buckets together,
+where they share one of their rarest words (``crowd_pairs``), as texts that are near must, whichever the words
+in between. A node has as many rows there as a fifth of its words. So every
 pair that shares a bucket is either tried or in one class. Candidates of which the longer
-one is too long are dropped, as no alignment could link them. Nothing is collected on the driver.
+one is too long are dropped, as no alignment could link them. The driver gets tables of fixed size only.
 
 Null text, and one without words, is near to nothing but an equal non-null text. Rows
 whose doc_id is null get an id by their text and may be in groups. The class of
@@ -39,11 +42,14 @@ from pyspark.sql import functions as F
 
 from lodeframe.llm.common import byte_words, checkpoint, columns_of, lookup_join, unused, weighed_join, written
 from lodeframe.operators import graph
-from lodeframe.plans.skew import salted_join
+from lodeframe.plans.skew import HOT_SHARE, salted_join
+from lodeframe.session import spread
 
 WORDS, SIMILARITY = 5, 0.8
 SKETCHES, PER_SKETCH, SHORT, SHORT_WORDS, LONG_WORDS = 28, 2, 64, 2, 3
 SMALL, BLOCK = 12, 512
+#: Counters by which words are put in order, and those of a text that tell texts apart; words before a place that are kept to see whether two texts met there; holders of one word in a task.
+SLOTS, COUNTERS, BEFORE, HOLDERS = 4096, 1024, 16, 4096
 #: k-mers times sketches whose hashes are held at once.
 CELLS = 2_000_000
 
@@ -191,30 +197,152 @@ def rest_of_large(found: DataFrame, label: DataFrame, nodes: DataFrame, docs: Da
     large = written(large)
     state = large.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("class").alias("low"), F.max("class").alias("high"))
     state = state.withColumn("weight", F.col("members")).withColumn("open", F.col("low") != F.col("high")).drop("low", "high")
-    left = lookup_join(large, state, ["key"], "weight", total).filter("open")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    cells = left.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64(F.lit(2), "rid"), F.col("blocks")).cast("int"))
-    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = written(cells.select("rid", "class", "key", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")))
-    needed = nodes.join(cells.select("rid").distinct(), "rid", "left_semi")
+    left = written(lookup_join(large, state, ["key"], "weight", total).filter("open").select("rid", "class", "key", "members"))
+    needed = nodes.join(left.select("rid").distinct(), "rid", "left_semi")
     words = written(_words(docs, needed).join(nodes.select("rid", "sk"), "rid"))
+    cells = left.filter(F.col("members") <= BLOCK).drop("members")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(_cell(pdf, similarity), columns=["a", "b"], dtype="int64")
 
-    return salted_join(cells, words, "rid", cells.count()).groupBy("key", "lo", "hi").applyInPandas(compare, "a long, b long")
+    within = salted_join(cells, words, "rid", cells.count()).groupBy("key").applyInPandas(compare, "a long, b long")
+    crowd = left.filter(F.col("members") > BLOCK).select("rid", "class").distinct()
+    crowd = words.select("rid", "w").join(crowd.hint("shuffle_merge"), "rid")
+    return within.unionByName(verified(checkpoint(crowd_pairs(crowd, similarity)), nodes, docs, similarity))
+
+
+def crowd_pairs(crowd: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Different pairs a < b of the nodes (rid, w, class) of different classes that may be near; none that is near is missing.
+
+    Equal words of a text are numbered, so that a text is a set of words. All sets are put in one order, words that
+    are rare in ``crowd`` first. Two texts of which the longer one has 0.8 of its words in common with the other share one of
+    the first fifth of the words of each, and meet there. A word that more than ``HOLDERS`` texts have there is
+    dealt to tasks; those of its commonest class are not compared with one another, so that blocks of that class are not paired.
+    """
+    crowd = checkpoint(spread(crowd))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for w in batch["w"]:
+                n += np.bincount((_set_of(w) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+        yield pd.DataFrame({"slot": np.flatnonzero(n), "n": n[n > 0]})
+
+    common = np.zeros(SLOTS, np.int64)
+    for row in crowd.select("w").mapInPandas(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
+        common[row.slot] = row.n
+
+    def rare(w: bytes) -> tuple[np.ndarray, np.ndarray]:
+        words = _set_of(w)
+        first = words[np.lexsort((words, common[(words % np.uint64(SLOTS)).astype(np.int64)]))]
+        return words, first[: len(words) - int(np.ceil(similarity * len(words) - 1e-9)) + 1]
+
+    def holders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [rare(w)[1].view(np.int64) for w in batch["w"]]
+            yield pd.DataFrame({"word": np.concatenate([*found, np.zeros(0, np.int64)]), "class": np.repeat(batch["class"].to_numpy(), [len(f) for f in found])})
+
+    held = crowd.select("class", "w").mapInPandas(holders, "word long, class long").groupBy("word", "class").agg(F.count(F.lit(1)).alias("n"))
+    held = checkpoint(held.groupBy("word").agg(F.sum("n").alias("n"), F.max(F.struct("n", "class")).alias("most")))
+    bound = max(HOLDERS, -(-(held.agg(F.sum("n").alias("n")).first()["n"] or 0) // HOT_SHARE))
+    # As many words as HOT_SHARE at most. Where all are of one class there is nothing to compare.
+    hot = {r.word: (r.most["class"], -(-r.most["n"] // bound), -(-(r.n - r.most["n"]) // bound)) for r in held.filter(F.col("n") > bound).collect()}
+
+    def cells(word: int, rid: int, own: int) -> Iterator[tuple[int, int, int]]:
+        """The block of a node among the holders of a word, and the cells (two blocks) that it goes to."""
+        most, blocks, others = hot.get(word, (None, 0, 1))
+        at = xxhash.xxh3_64_intdigest(str(rid))
+        if own == most:
+            for o in range(blocks, blocks + others):
+                yield at % blocks, at % blocks, o
+        else:
+            mine = blocks + at % others
+            for o in range(blocks + others):
+                yield mine, min(mine, o), max(mine, o)
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns, out = ["word", "lo", "hi", "own", "rid", "class", "n", "before", "counts"], []
+        for batch in batches:
+            for rid, c, w in zip(batch["rid"], batch["class"], batch["w"]):
+                words, first = rare(w)
+                counts = np.minimum(np.bincount((words % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS), 15).astype(np.uint8)
+                counts = (counts[::2] << 4 | counts[1::2]).tobytes()
+                for i, word in enumerate(first.view(np.int64).tolist()):
+                    before = np.zeros(BEFORE, np.uint64)
+                    before[: min(i, BEFORE)] = first[max(0, i - BEFORE) : i]
+                    before = before.tobytes()
+                    out += [(word, lo, hi, own, rid, c, len(words), before, counts) for own, lo, hi in cells(word, rid, c)]
+                if len(out) > 20_000:
+                    yield pd.DataFrame(out, columns=columns)
+                    out = []
+        yield pd.DataFrame(out, columns=columns)
+
+    dealt = crowd.mapInPandas(deal, "word long, lo int, hi int, own int, rid long, class long, n int, before binary, counts binary")
+    parts = int(crowd.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = dealt.repartition(parts, "word", "lo", "hi").sortWithinPartitions("word", "lo", "hi")
+    return met.mapInPandas(lambda batches: _meet(batches, similarity), "a long, b long").distinct()
+
+
+def _set_of(w: bytes) -> np.ndarray:
+    """The words of a text, equal ones told apart by number."""
+    return labelled_kmers(np.frombuffer(w, np.uint32).astype(np.uint64), 1)
+
+
+def _meet(batches: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd.DataFrame]:
+    """Pairs of each cell of rows that come in order of their cells."""
+    held = None
+    for batch in batches:
+        rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        if not len(rows):
+            continue
+        cell, top = rows[["word", "lo", "hi"]].to_numpy(), rows["class"].to_numpy()
+        starts = np.concatenate([[0], 1 + np.flatnonzero((cell[1:] != cell[:-1]).any(axis=1))])
+        # The last cell may go on in the next batch.
+        held = rows.iloc[starts[-1] :]
+        mixed = np.minimum.reduceat(top, starts) != np.maximum.reduceat(top, starts)
+        for at in np.flatnonzero(mixed[:-1]).tolist():
+            yield from _cell_pairs(rows.iloc[starts[at] : starts[at + 1]], similarity)
+    if held is not None:
+        yield from _cell_pairs(held, similarity)
+
+
+def _cell_pairs(rows: pd.DataFrame, similarity: float) -> Iterator[pd.DataFrame]:
+    """Pairs of one cell that may be near and share no word before this one."""
+    top, size, own, rids = (rows[c].to_numpy() for c in ("class", "n", "own", "rid"))
+    across, m = rows["lo"].iloc[0] != rows["hi"].iloc[0], len(rows)
+    packed = np.frombuffer(b"".join(rows["counts"]), np.uint8).reshape(m, COUNTERS // 2)
+    counts = np.concatenate([packed >> 4, packed & 15], axis=1).astype(np.int8)
+    # Sums of four, for a first look.
+    folded = counts.reshape(m, 4, COUNTERS // 4).sum(axis=1, dtype=np.int16)
+    before = np.frombuffer(b"".join(rows["before"]), np.uint64).reshape(m, BEFORE)
+    step = max(1, 20_000 // m)
+    for s in range(0, m, step):
+        at = np.arange(s, min(s + step, m))
+        ok = (top[at, None] != top) & (at[:, None] < np.arange(m))
+        ok &= np.minimum(size[at, None], size) >= similarity * np.maximum(size[at, None], size) - 1e-9
+        if across:
+            ok &= own[at, None] != own
+        i, j = np.nonzero(ok)
+        i = at[i]
+        # What differs in counters differs in words.
+        for held in (folded, counts):
+            near = np.abs(held[i] - held[j]).sum(axis=1) <= size[i] + size[j] - 2 * similarity * np.maximum(size[i], size[j]) + 1e-9
+            i, j = i[near], j[near]
+        met = ((before[i][:, :, None] == before[j][:, None, :]) & (before[i] != 0)[:, :, None]).any(axis=(1, 2))
+        i, j = i[~met], j[~met]
+        if len(i):
+            yield pd.DataFrame({"a": np.minimum(rids[i], rids[j]), "b": np.maximum(rids[i], rids[j])})
 
 
 def _cell(pdf: pd.DataFrame, similarity: float) -> list[tuple[int, int]]:
-    """Links of one cell that connect classes: of pairs of its two blocks, or of all pairs if it has one."""
+    """Links of one bucket that connect classes."""
     pdf = pdf.sort_values("rid")
     rids, key = pdf["rid"].tolist(), int(pdf["key"].iloc[0])
-    words, own = [np.frombuffer(w, np.uint32) for w in pdf["w"]], pdf["own"].to_numpy()
+    words = [np.frombuffer(w, np.uint32) for w in pdf["w"]]
     # What a text has before this key, by place; places where a text has nothing or another kind of sketch never agree.
     before = [list(s)[: list(s).index(key)] for s in pdf["sk"]]
     at = max(map(len, before))
     sk = np.array([b + [i] * (at - len(b)) for i, b in enumerate(before)], np.int64)
-    across = pdf["lo"].iloc[0] != pdf["hi"].iloc[0]
     size = np.array([len(w) for w in words])
     # Equal words are numbered, so that texts have as many of these in common as words.
     labelled = [labelled_kmers(w.astype(np.uint64), 1) for w in words]
@@ -227,8 +355,6 @@ def _cell(pdf: pd.DataFrame, similarity: float) -> list[tuple[int, int]]:
         # What costs least goes first: words are counted for those that are left.
         later = np.arange(i + 1, len(rids))
         later = later[top[later] != top[i]]
-        if across:
-            later = later[own[later] != own[i]]
         later = later[np.minimum(size[later], size[i]) >= similarity * np.maximum(size[later], size[i]) - 1e-9]
         if at:
             later = later[~(sk[later, :at] == sk[i, :at]).any(axis=1)]

@@ -394,6 +394,73 @@ def test_a_class_is_looked_up_once_for_a_node(spark):
     assert joined(out._jdf.queryExecution().executedPlan()) == [50]
 
 
+def rows_made(plan):
+    """Rows out of joins, explosions and Python under a plan that has run."""
+    inner = plan.executedPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan.plan() if "QueryStage" in plan.nodeName() else None
+    below = [inner] if inner else [plan.children().apply(i) for i in range(plan.children().size())]
+    own = plan.metrics().get("pythonNumRowsReceived" if "Pandas" in plan.nodeName() else "numOutputRows")
+    return [*([own.get().value()] if own.isDefined() and re.search("Join|Generate|Pandas", plan.nodeName()) else []), *[x for p in below for x in rows_made(p)]]
+
+
+def crowd_of(spark, texts, classes=None):
+    """Nodes of one bucket: rid, w, class."""
+    numbers = lambda t: np.array([zlib.crc32(w.encode()) for w in t], np.uint32).tobytes()
+    return spark.createDataFrame([(i, bytearray(numbers(t)), i if classes is None else classes[i]) for i, t in enumerate(texts)], "rid long, w binary, class long")
+
+
+def test_large_buckets_are_not_dealt_by_twos_of_blocks(spark, monkeypatch):
+    """The rows of a bucket of different texts that share a passage grow as the bucket, not as its square."""
+    monkeypatch.setattr(omh, "SMALL", 3)
+    monkeypatch.setattr(omh, "BLOCK", 8)
+    monkeypatch.setattr(omh, "salted_join", lambda rows, found, key, total, join=omh.salted_join: seen.append(rows.count()) or join(rows, found, key, total))
+    most = {}
+    for n in (100, 400):
+        seen = []
+        made = random.Random(n)
+        words = lambda k: ["".join(made.choices("abcdefghijkl", k=8)) for _ in range(k)]
+        passage, texts = words(20), []
+        for _ in range(n):
+            texts.append(words(15) + passage + words(15))
+        # One text that is near another, for which the leader does not stand.
+        texts.append(texts[-1][:-4] + words(4))
+        found = [r.class_id for r in omh.classes(documents(spark, [" ".join(t) for t in texts])).orderBy("doc_id").collect()]
+        assert found == [*range(n), n - 1]
+        most[n] = max(seen)
+    assert most[400] <= 6 * max(most[100], 100)
+
+
+@pytest.mark.parametrize("holders", [4096, 7])
+def test_crowd_pairs_miss_no_near_pair(spark, monkeypatch, holders):
+    """With and without words that are dealt to tasks; texts of few words as well."""
+    monkeypatch.setattr(omh, "HOLDERS", holders)
+    made = random.Random(holders)
+    texts, classes = [], []
+    for group in range(12):
+        base = made.choices("abcdefghijklmnopqrstuvwxyz", k=made.choice([1, 3, 12, 40, 90]))
+        for c in range(made.choice([2, 5, 25])):
+            copy = list(base)
+            for _ in range(made.randint(0, len(base) // 6)):
+                copy[made.randrange(len(copy))] = made.choice([f"z{group}x{c}", "a", "b"])
+            texts.append(copy)
+            classes.append(group if made.random() < 0.5 else 100 + len(texts))
+    got = {(r.a, r.b) for r in omh.crowd_pairs(crowd_of(spark, texts, classes)).collect()}
+    want = {(i, j) for j in range(len(texts)) for i in range(j) if classes[i] != classes[j] and plain_lcs(texts[i], texts[j]) >= 0.8 * max(len(texts[i]), len(texts[j])) - 1e-9}
+    assert want and want <= got and all(a < b and classes[a] != classes[b] for a, b in got)
+
+
+def test_crowd_pairs_of_different_texts(spark):
+    """Texts that have half of their words in common are no pairs, and rows grow as the texts do."""
+    made = random.Random(5)
+    common = [f"c{i}" for i in range(40)]
+    for n in (100, 300):
+        texts = [common + [f"w{i}x{k}" for k in range(40)] for i in range(n)]
+        texts.append(texts[0][:-3] + ["other", "words", "here"])
+        out = omh.crowd_pairs(crowd_of(spark, texts))
+        assert [tuple(r) for r in out.collect()] == [(0, n)]
+        assert max(rows_made(out._jdf.queryExecution().executedPlan())) <= 17 * (n + 1)
+    assert omh.crowd_pairs(crowd_of(spark, texts).limit(0)).count() == 0
+
+
 def plain_contamination(texts, items, window=10):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     out = []
