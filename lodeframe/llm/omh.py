@@ -20,7 +20,8 @@ are not dealt to cells by twos of blocks, of which there are as many as the squa
 where they share one of their rarest words (``crowd_pairs``), as texts that are near must, whichever the words
 in between. A node has as many rows there as a fifth of its words. So every
 pair that shares a bucket is either tried or in one class. Candidates of which the longer
-one is too long are dropped, as no alignment could link them. The driver gets tables of fixed size only.
+one is too long are dropped, as no alignment could link them. Texts are read for their words once, for all
+nodes that may be compared, and left out of all other shuffles but those of pairs. The driver gets tables of fixed size only.
 
 Null text, and one without words, is near to nothing but an equal non-null text. Rows
 whose doc_id is null get an id by their text and may be in groups. The class of
@@ -32,6 +33,7 @@ columns, whatever their names, are kept as they are. Empty input gives no rows.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,7 +51,7 @@ WORDS, SIMILARITY = 5, 0.8
 SKETCHES, PER_SKETCH, SHORT, SHORT_WORDS, LONG_WORDS = 28, 2, 64, 2, 3
 SMALL, BLOCK = 12, 512
 #: Counters by which words are put in order, and those of a text that tell texts apart; words before a place that are kept to see whether two texts met there; holders of one word in a task.
-SLOTS, COUNTERS, BEFORE, HOLDERS = 4096, 1024, 16, 4096
+SLOTS, COUNTERS, BEFORE, HOLDERS = 4096, 1024, 4, 4096
 #: k-mers times sketches whose hashes are held at once.
 CELLS = 2_000_000
 
@@ -94,7 +96,12 @@ def sketches(kmers: np.ndarray, salt: int) -> np.ndarray:
     for s in range(0, SKETCHES, step):
         own = seeds[s : s + step]
         x = _mix(kmers[None, :] ^ own[:, None])
-        least = np.sort(np.argpartition(x, m - 1, axis=1)[:, :m], axis=1) if m < n else np.tile(np.arange(n), (len(own), 1))
+        least = np.tile(np.arange(m), (len(own), 1))
+        if m < n:
+            for j in range(m):
+                least[:, j] = x.argmin(axis=1)
+                x[np.arange(len(own)), least[:, j]] = np.uint64(2**64 - 1)
+            least.sort(axis=1)
         key = own.copy()
         for j in range(m):
             key = _mix((key + kmers[least[:, j]]) * _ODD)
@@ -148,24 +155,28 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def buckets(nodes: DataFrame, total: int) -> DataFrame:
-    """rid, n, key, members, leader for every node (rid, n, sk) and each of its buckets that has others."""
+    """rid, n, key, members (of the bucket) for every node (rid, n, sk) and each of its buckets that has others."""
     # A text has two or three times SKETCHES rows here, of a few bytes each.
-    return _shared(nodes.select("rid", "n", F.explode("sk").alias("key")), total)
+    rows = nodes.select("rid", "n", F.explode("sk").alias("key"))
+    # Most keys are one node's alone: they are counted, and nothing else, before rows go by them.
+    found = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    return lookup_join(rows, found.withColumn("weight", F.col("members")), ["key"], "weight", total, "inner").select("rid", "n", "key", "members")
 
 
-def candidate_pairs(found: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def candidate_pairs(found: DataFrame, total: int, similarity: float = SIMILARITY) -> DataFrame:
     """Distinct pairs a < b: all of small buckets, and those with the leader of larger ones."""
-    return _within_small(found, similarity).unionByName(_with_leader(found.filter(F.col("members") > SMALL), similarity)).distinct()
+    return _within_small(found, similarity).unionByName(_with_leader(found.filter(F.col("members") > SMALL), total, similarity)).distinct()
 
 
-def _shared(rows: DataFrame, total: int) -> DataFrame:
-    """The rows whose key others have as well, with the number of them and a leader.
+def _with_leader(rows: DataFrame, total: int, similarity: float) -> DataFrame:
+    """Each row with the leader of its bucket.
 
     The leader is the member whose id has the least hash, so that the buckets that one
     group of near copies has under all sketches mostly agree on it, and pairs with it repeat.
     """
-    found = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct(F.xxhash64(F.lit(1), "rid").alias("h"), "rid", "n")).alias("leader")).filter("members > 1")
-    return lookup_join(rows, found.withColumn("weight", F.col("members")), ["key"], "weight", total, "inner").select("rid", "n", "key", "members", "leader")
+    leaders = rows.groupBy("key").agg(F.count(F.lit(1)).alias("weight"), F.min(F.struct(F.xxhash64(F.lit(1), "rid").alias("h"), "rid", "n")).alias("leader"))
+    rows = lookup_join(rows.select("rid", "n", "key"), leaders, ["key"], "weight", total, "inner")
+    return _pair("rid", "n", "lr", "ln", similarity, rows.select("rid", "n", F.col("leader.rid").alias("lr"), F.col("leader.n").alias("ln")))
 
 
 def _pair(a: str, na: str, b: str, nb: str, similarity: float, df: DataFrame) -> DataFrame:
@@ -173,10 +184,6 @@ def _pair(a: str, na: str, b: str, nb: str, similarity: float, df: DataFrame) ->
     return df.filter(close & (F.col(a) != F.col(b))).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
 
 
-def _with_leader(rows: DataFrame, similarity: float) -> DataFrame:
-    return _pair("rid", "n", "lr", "ln", similarity, rows.select("rid", "n", F.col("leader.rid").alias("lr"), F.col("leader.n").alias("ln")))
-
-
 def _within_small(rows: DataFrame, similarity: float) -> DataFrame:
     """All pairs of buckets of SMALL members at most."""
     lists = rows.filter(F.col("members") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("rid", "n"))).alias("m"))
@@ -191,24 +198,22 @@ def in_large(found: DataFrame, label: DataFrame) -> DataFrame:
     return known.select("rid", F.coalesce("class", "rid").alias("class"), F.explode("keys").alias("key"))
 
 
-def rest_of_large(found: DataFrame, label: DataFrame, nodes: DataFrame, docs: DataFrame, total: int, similarity: float = SIMILARITY) -> DataFrame:
-    """Links (a, b) between nodes of one large bucket that ``label`` (node, class) has in different classes."""
+def rest_of_large(found: DataFrame, label: DataFrame, nodes: DataFrame, words: DataFrame, total: int, similarity: float = SIMILARITY) -> DataFrame:
+    """Links (a, b) between nodes of one large bucket that ``label`` (node, class) has in different classes. ``words`` (rid, w) has the nodes of all large buckets."""
     large = in_large(found, label)
     large = written(large)
     state = large.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("class").alias("low"), F.max("class").alias("high"))
     state = state.withColumn("weight", F.col("members")).withColumn("open", F.col("low") != F.col("high")).drop("low", "high")
     left = written(lookup_join(large, state, ["key"], "weight", total).filter("open").select("rid", "class", "key", "members"))
-    needed = nodes.join(left.select("rid").distinct(), "rid", "left_semi")
-    words = written(_words(docs, needed).join(nodes.select("rid", "sk"), "rid"))
     cells = left.filter(F.col("members") <= BLOCK).drop("members")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(_cell(pdf, similarity), columns=["a", "b"], dtype="int64")
 
-    within = salted_join(cells, words, "rid", cells.count()).groupBy("key").applyInPandas(compare, "a long, b long")
+    within = salted_join(cells, words.join(nodes.select("rid", "sk").hint("shuffle_merge"), "rid"), "rid", cells.count()).groupBy("key").applyInPandas(compare, "a long, b long")
     crowd = left.filter(F.col("members") > BLOCK).select("rid", "class").distinct()
-    crowd = words.select("rid", "w").join(crowd.hint("shuffle_merge"), "rid")
-    return within.unionByName(verified(checkpoint(crowd_pairs(crowd, similarity)), nodes, docs, similarity))
+    crowd = words.join(crowd.hint("shuffle_merge"), "rid")
+    return within.unionByName(verified(checkpoint(crowd_pairs(crowd, similarity)), words, similarity))
 
 
 def crowd_pairs(crowd: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -266,7 +271,8 @@ def crowd_pairs(crowd: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
             for rid, c, w in zip(batch["rid"], batch["class"], batch["w"]):
                 words, first = rare(w)
                 counts = np.minimum(np.bincount((words % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS), 15).astype(np.uint8)
-                counts = (counts[::2] << 4 | counts[1::2]).tobytes()
+                # Packed once for all rows of the text.
+                counts = zlib.compress((counts[::2] << 4 | counts[1::2]).tobytes(), 1)
                 for i, word in enumerate(first.view(np.int64).tolist()):
                     before = np.zeros(BEFORE, np.uint64)
                     before[: min(i, BEFORE)] = first[max(0, i - BEFORE) : i]
@@ -310,7 +316,7 @@ def _cell_pairs(rows: pd.DataFrame, similarity: float) -> Iterator[pd.DataFrame]
     """Pairs of one cell that may be near and share no word before this one."""
     top, size, own, rids = (rows[c].to_numpy() for c in ("class", "n", "own", "rid"))
     across, m = rows["lo"].iloc[0] != rows["hi"].iloc[0], len(rows)
-    packed = np.frombuffer(b"".join(rows["counts"]), np.uint8).reshape(m, COUNTERS // 2)
+    packed = np.frombuffer(b"".join(map(zlib.decompress, rows["counts"])), np.uint8).reshape(m, COUNTERS // 2)
     counts = np.concatenate([packed >> 4, packed & 15], axis=1).astype(np.int8)
     # Sums of four, for a first look.
     folded = counts.reshape(m, 4, COUNTERS // 4).sum(axis=1, dtype=np.int16)
@@ -429,21 +435,20 @@ def _words(docs: DataFrame, needed: DataFrame) -> DataFrame:
             yield pd.DataFrame({"rid": batch["rid"], "w": [np.array([xxhash.xxh32_intdigest(w) for w in byte_words(t)], np.uint32).tobytes() for t in batch["text"]]})
 
     texts = docs.select(row_id(docs).alias("own"), text_id(docs).alias("h"), F.col("text").cast("string").alias("text"))
-    texts = texts.join(needed.select("rid", "own", "h"), ["own", "h"]).select("rid", "text")
-    # Repeats of a row have equal texts: one is taken.
-    return texts.mapInPandas(read, "rid long, w binary").groupBy("rid").agg(F.min("w").alias("w"))
+    # Repeats of a row have equal texts: one is taken, where the join has put them.
+    texts = texts.join(needed.select("rid", "own", "h"), ["own", "h"]).groupBy("own", "h", "rid").agg(F.min("text").alias("text"))
+    return texts.select("rid", "text").mapInPandas(read, "rid long, w binary")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) of nodes whose texts are near duplicates."""
+def verified(pairs: DataFrame, words: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) of nodes whose texts, by their ``words`` (rid, w), are near duplicates."""
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             ok = [similar(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), similarity) for x, y in zip(batch["wa"], batch["wb"])]
             yield batch.loc[ok, ["a", "b"]]
 
-    needed = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), "rid", "left_semi")
-    words, size = written(_words(docs, needed)), pairs.count()
+    size = pairs.count()
     one = salted_join(pairs, words.withColumnRenamed("rid", "b").withColumnRenamed("w", "wb"), "b", size)
     # The hash that deals the rows of a hot leader must not read the texts.
     both = salted_join(one.select("a", F.struct("b", "wb").alias("y")), words.withColumnRenamed("rid", "a").withColumnRenamed("w", "wa"), "a", size)
@@ -467,9 +472,12 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     groups = checkpoint(lookup_join(groups, twice.withColumn("rows", F.col("groups")), ["own"], "rows", total).withColumn("node", named).drop("groups"))
     nodes = written(rows.select(F.col("rid").alias("own"), "h", "n", "sk").join(groups.select("own", "h", F.col("node").alias("rid")), ["own", "h"]).groupBy("rid").agg(F.min("own").alias("own"), F.min("h").alias("h"), F.min("n").alias("n"), F.min("sk").alias("sk")))
     found = written(buckets(nodes, total))
-    near = checkpoint(verified(checkpoint(candidate_pairs(found, similarity)), nodes, docs, similarity))
+    pairs = checkpoint(candidate_pairs(found, total, similarity))
+    compared = pairs.select(F.explode(F.array("a", "b")).alias("rid")).union(found.filter(F.col("members") > SMALL).select("rid")).distinct()
+    words = written(_words(docs, nodes.join(compared, "rid", "left_semi")))
+    near = checkpoint(verified(pairs, words, similarity))
     label = components(near)
-    rest = checkpoint(rest_of_large(found, label, nodes, docs, total, similarity))
+    rest = checkpoint(rest_of_large(found, label, nodes, words, total, similarity))
     # What the rest links are classes by now: only their ends need connecting again.
     ends = rest
     for end in ("a", "b"):

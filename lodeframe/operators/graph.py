@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeframe.plans.skew import weighed_join
-from lodeframe.session import checkpoint, settle
+from lodeframe.session import checkpoint, few, settle
 
 _FOLDER = "regexp_replace(source, '/[^/]*$', '')"
 _PARENT = "regexp_replace(source, '/[^/]*/[^/]*$', '')"
@@ -76,24 +76,27 @@ def components(edges: DataFrame) -> DataFrame:
     nodes that still have edges go in a round, and edges within one end go with them, so all
     rounds together do little more than the first. A node that many point to is joined by
     broadcast. Nothing is collected. Null ends are dropped; loops and repeats do not matter.
+    Rounds have no more tasks than their rows are work for: each task leaves files on disk, in every step of a round.
     """
     ends = settle(edges.select(F.least("source", "target").alias("u"), F.greatest("source", "target").alias("v")).filter("source is not null and target is not null").distinct())
     label, size = ends.select(F.explode(F.array("u", "v")).alias("node")).distinct().withColumn("class", F.col("node")), ends.count()
-    ends = ends.filter("u <> v")
+    label, ends = few(label, 2 * size), few(ends.filter("u <> v"), size)
     left = ends.count()
     while left:
         both = ends.unionByName(ends.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        to = checkpoint(both.groupBy(F.col("u").alias("from")).agg(F.least(F.min("v"), F.col("u")).alias("to")))
+        to = checkpoint(few(both.groupBy(F.col("u").alias("from")).agg(F.least(F.min("v"), F.col("u")).alias("to")), 2 * left))
         while True:
             beyond = to.select(F.col("from").alias("to"), F.col("to").alias("beyond"))
-            step = settle(weighed_join(to, beyond, ["to"], 2 * left).select("from", F.col("beyond").alias("to"), (F.col("beyond") != F.col("to")).alias("moved")))
+            step = weighed_join(to, beyond, ["to"], 2 * left).select("from", F.col("beyond").alias("to"), (F.col("beyond") != F.col("to")).alias("moved"))
+            step = settle(few(step, 2 * left))
             to = step.select("from", "to")
             if step.filter("moved").isEmpty():
                 break
-        label = settle(weighed_join(label, to.withColumnRenamed("from", "class"), ["class"], 2 * size).select("node", F.coalesce("to", "class").alias("class")))
+        label = weighed_join(label, to.withColumnRenamed("from", "class"), ["class"], 2 * size).select("node", F.coalesce("to", "class").alias("class"))
+        label = settle(few(label, 2 * size))
         moved = weighed_join(ends, to.select(F.col("from").alias("u"), F.col("to").alias("p")), ["u"], left)
         moved = weighed_join(moved, to.select(F.col("from").alias("v"), F.col("to").alias("q")), ["v"], left)
-        ends = settle(moved.filter("p <> q").select(F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v")).distinct())
+        ends = settle(few(moved.filter("p <> q").select(F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v")).distinct(), left))
         left = ends.count()
     return label
 

@@ -461,6 +461,53 @@ def test_crowd_pairs_of_different_texts(spark):
     assert omh.crowd_pairs(crowd_of(spark, texts).limit(0)).count() == 0
 
 
+def test_rows_that_are_dealt_are_small(spark):
+    """What a text is known by goes to each of its rare words, so that its bytes count as often."""
+    made = random.Random(6)
+    texts = [made.choices([f"c{k}" for k in range(1000)], k=200) for _ in range(60)]
+    out = omh.crowd_pairs(crowd_of(spark, texts))
+    assert out.count() == 0
+    out.collect()
+
+    def from_python(plan):
+        inner = plan.executedPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan.plan() if "QueryStage" in plan.nodeName() else None
+        below = [inner] if inner else [plan.children().apply(i) for i in range(plan.children().size())]
+        own = [tuple(plan.metrics().apply(m).value() for m in ("pythonNumRowsReceived", "pythonDataReceived"))] if "Pandas" in plan.nodeName() else []
+        return [*own, *[x for p in below for x in from_python(p)]]
+
+    rows, size = from_python(out._jdf.queryExecution().executedPlan())[-1]
+    assert rows >= 60 * 20 and size <= 400 * rows
+
+
+def test_texts_are_read_for_their_words_once(spark, monkeypatch):
+    """Whatever is compared, pairs of small buckets and leaders, cells or crowds, takes the same words."""
+    monkeypatch.setattr(omh, "SMALL", 3)
+    monkeypatch.setattr(omh, "BLOCK", 8)
+    read = []
+    monkeypatch.setattr(omh, "_words", lambda *a, words=omh._words: read.append(1) or words(*a))
+    made = random.Random(11)
+    words = lambda k: ["".join(made.choices("abcdefghijkl", k=8)) for _ in range(k)]
+    passage, other = words(20), words(20)
+    texts = [words(15) + passage + words(15) for _ in range(30)] + [words(15) + other + words(15) for _ in range(6)]
+    texts += [texts[29][:-4] + words(4), texts[35][:-4] + words(4)]
+    found = [r.class_id for r in omh.classes(documents(spark, [" ".join(t) for t in texts + texts[:1]])).orderBy("doc_id").collect()]
+    assert found == [*range(36), 29, 35, 0] and read == [1]
+
+
+def test_components_of_few_links_take_few_tasks(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(0, 60, 2)] + [(i, i + 2) for i in range(0, 60, 2)], "a long, b long")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(kept, ("29", "false")):
+            spark.conf.set(k, v)
+        out = omh.components(links)
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert out.rdd.getNumPartitions() == 1
+    assert {r.node: r["class"] for r in out.collect()} == {i: 0 for i in range(61)}
+
+
 def plain_contamination(texts, items, window=10):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     out = []
