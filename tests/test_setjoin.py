@@ -105,3 +105,61 @@ def test_links_are_all_pairs(spark):
     want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
     got = [(r.a, r.b) for r in clones.links(spark.createDataFrame(rows, "node long, text string")).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def templates(r, n, common=30):
+    """Sets of a common part, a few bundles that others have too, and now and then items of their own."""
+    weights = [2, 6, 3, 3]
+    sets = {}
+    for k in range(n):
+        base = set(range(common))
+        for part, weight in enumerate(weights):
+            at = 1000 * (part + 1) + 10 * r.randrange(20)
+            base |= set(range(at, at + weight))
+        for part in range(3):
+            base |= set(range(9000 + 10 * part, 9000 + 10 * part + 4)) if r.random() < 0.5 else set()
+        sets[k] = base | ({100000 + 10 * k, 100001 + 10 * k} if r.random() < 0.1 else set())
+    return sets
+
+
+def alike(sets, similarity):
+    return {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]) - 1e-9}
+
+
+@pytest.mark.parametrize("similarity", [0.7, 0.8, 0.95])
+def test_sets_of_few_bundles_need_no_candidates(spark, monkeypatch, similarity):
+    """They meet on what they share, each pair once; none is left to the prefixes, where all with a common bundle meet."""
+    sets = templates(random.Random(8), 400)
+    sets[400], sets[401] = set(sets[7]), set(range(30))
+    monkeypatch.setattr(setjoin, "candidates", lambda *_: pytest.fail("candidates by prefixes"))
+    monkeypatch.setattr(setjoin, "TOGETHER", 7)
+    want = alike(sets, similarity)
+    got = setjoin.similar_sets(sets_of(spark, sets), similarity).collect()
+    assert want and len(got) == len(want) and {(x.a, x.b): pytest.approx(x.similarity) for x in got} == want
+
+
+@pytest.mark.parametrize("bits", [1, 4])
+def test_sets_of_few_and_of_many_bundles(spark, monkeypatch, bits):
+    """Pairs of both kinds, of one, and of the other; the most frequent items may not all have bits."""
+    r = random.Random(9)
+    sets = templates(r, 150, 30 if bits == 4 else 90)
+    for k in range(150, 260):
+        base = set(sets[r.randrange(k)])
+        sets[k] = base | {r.randrange(70000, 70030) for _ in range(r.randrange(6))}
+    monkeypatch.setattr(setjoin, "WORDS", bits)
+    kinds = {x.node: len(x.rare) <= setjoin.MOST_BUNDLES for x in setjoin.bundled(sets_of(spark, sets)).collect()}
+    want = alike(sets, 0.8)
+    got = setjoin.similar_sets(sets_of(spark, sets), 0.8).collect()
+    assert {(kinds[a], kinds[b]) for a, b in want} == {(x, y) for x in (True, False) for y in (True, False)}
+    assert len(got) == len(want) and {(x.a, x.b): pytest.approx(x.similarity) for x in got} == want
+
+
+def test_hashed_shingles_tell_sets_apart(spark):
+    texts = ["a b c a b c a b", "ab c d", "a bc d", "a b", "ab", "a\u00a0b", "a b c d"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", setjoin.token_shingles(F.col("text")).alias("s")).collect()
+    names = {}
+    for x in rows:
+        assert len(x.s) == len(set(x.s)) == len(search.shingles(x.text))
+        names[x.text] = set(x.s)
+    assert len(names["a b c d"] & names["a b c a b c a b"]) == 1
+    assert not names["ab c d"] & names["a bc d"] and not names["a b"] & names["ab"]
