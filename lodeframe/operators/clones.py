@@ -24,7 +24,11 @@ SIMILARITY = 0.8
 
 def links(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """a, b, similarity of the linked pairs of nodes (node, text) with different texts."""
-    return setjoin.similar_sets(checkpoint(spread(nodes).select("node", setjoin.token_shingles(F.col("text")).alias("items"))), similarity)
+    return setjoin.similar_sets(_sets(nodes), similarity)
+
+
+def _sets(nodes: DataFrame) -> DataFrame:
+    return checkpoint(spread(nodes).select("node", setjoin.token_shingles(F.col("text")).alias("items")))
 
 
 def clone_classes(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -35,9 +39,9 @@ def clone_classes(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     # The text itself is not carried through the count of copies.
     groups = checkpoint(rows.groupBy("digest").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("n_copies")))
     nodes = checkpoint(rows.join(groups.select(F.col("node").alias("id")), "id", "left_semi").select(F.col("id").alias("node"), "text"))
-    linked = checkpoint(links(nodes, similarity))
-    degree = linked.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    classes = components(linked.select(F.col("a").alias("source"), F.col("b").alias("target")))
+    # Links grow with the square of the copies of a template, so they are counted and not kept.
+    degree, edges = setjoin.link_counts(_sets(nodes), similarity)
+    classes = components(edges)
     known = groups.join(classes, "node", "left").join(degree, "node", "left").select("digest", F.coalesce("class", "node").alias("class_id"), "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     return lookup_join(rows.select("id", "digest"), known.withColumn("weight", F.col("n_copies")), ["digest"], "weight", total).select("id", "class_id", "n_copies", "n_links")
 

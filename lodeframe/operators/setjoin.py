@@ -236,6 +236,33 @@ def similar_sets(sets: DataFrame, similarity: float) -> DataFrame:
     return found if other is None else found.unionByName(other)
 
 
+def link_counts(sets: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """node, n_links of the nodes of ``similar_sets`` that have links, and edges (source, target) with the same components as the links.
+
+    Links are counted as they meet and not kept. Rows of a key that are alike in all that a link is told by are a cell: all of one cell
+    are linked with all of another, or none, so that edges between the first of each cell, and of each cell to its first, will do.
+    """
+    rows, other = _parts(sets, similarity)
+    met = _meet(rows, rows, similarity, F.col("a_node") != F.col("b_node")).filter(_apart())
+    counts = met.groupBy(F.col("a_node").alias("node")).agg(F.count(F.lit(1)).alias("n_links"))
+    like = ["key", "kept", "gone", "size", *[f"c{i}" for i in range(WORDS)]]
+    cells = checkpoint(rows.groupBy(*like).agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("n"), F.max("met").alias("met")))
+    # A cell is linked within itself if it has two nodes.
+    order = (F.col("a_node") < F.col("b_node")) | ((F.col("a_node") == F.col("b_node")) & (F.col("a_n") > 1))
+    near = checkpoint(_meet(cells, cells, similarity, order))
+    edges = near.filter("a_node <> b_node").select(F.col("a_node").alias("source"), F.col("b_node").alias("target"))
+    sides = [near.select("key", "kept", *[F.col(f"{x}_{c}").alias(c) for c in (*like[2:], "node", "n")]).filter("n > 1") for x in "ab"]
+    linked = checkpoint(sides[0].unionByName(sides[1]).distinct().withColumnRenamed("node", "source"))
+    total = linked.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    members = lookup_join(rows.select("node", *like), linked, like, "n", total, "inner").select("source", F.col("node").alias("target"))
+    edges = edges.unionByName(members.filter("source <> target"))
+    if other is not None:
+        other = checkpoint(other)
+        counts = counts.unionByName(other.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))).groupBy("node").agg(F.sum("n_links").alias("n_links"))
+        edges = edges.unionByName(other.select(F.col("a").alias("source"), F.col("b").alias("target")))
+    return checkpoint(counts), checkpoint(edges.distinct())
+
+
 def compare_all(items: DataFrame, pairs: DataFrame, enabled: bool = True) -> DataFrame:
     """bucket, n_items, n_small, n_candidates, compare_all: whether a bucket without candidates has all its pairs compared.
 

@@ -163,3 +163,28 @@ def test_hashed_shingles_tell_sets_apart(spark):
         names[x.text] = set(x.s)
     assert len(names["a b c d"] & names["a b c a b c a b"]) == 1
     assert not names["ab c d"] & names["a bc d"] and not names["a b"] & names["ab"]
+
+
+@pytest.mark.parametrize("few", [6, 3])
+def test_counts_and_classes_without_links(spark, monkeypatch, few):
+    """As many links of each node, and the same classes, as by the links; with fewer bundles allowed some pairs go by prefixes."""
+    sets = templates(random.Random(11), 160)
+    sets |= {k: {x + 500000 for x in sets[k - 200]} for k in range(200, 230)}
+    sets[300], sets[301] = set(sets[5]), set()
+    monkeypatch.setattr(setjoin, "MOST_BUNDLES", few)
+    monkeypatch.setattr(setjoin, "TOGETHER", 5)
+    monkeypatch.setattr(setjoin, "similar_sets", lambda *_: pytest.fail("links are kept"))
+    counts, edges = setjoin.link_counts(sets_of(spark, sets), 0.8)
+    want = alike({k: s for k, s in sets.items() if s}, 0.8)
+    degree = {k: sum(k in pair for pair in want) for k in sets}
+    assert {x.node: x.n_links for x in counts.collect()} == {k: n for k, n in degree.items() if n}
+
+    def classes(pairs):
+        first = {k: k for k in sets}
+        for _ in sets:
+            for a, b in pairs:
+                first[a] = first[b] = min(first[a], first[b])
+        return first
+
+    got = [(x.source, x.target) for x in edges.collect()]
+    assert len(set(classes(want).values())) > 3 and classes(got) == classes(want) and all((min(e), max(e)) in want for e in got if few == 6)
