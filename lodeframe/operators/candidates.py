@@ -101,7 +101,8 @@ def _best(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = _code(spark, sf_dir).select("id", "file", "text")
     classes = clones.clone_classes(code.select("id", "text")).select("id", "class_id")
     is_test = F.col("file").rlike(TEST_FILE)
-    return best(code.filter(~is_test).join(classes, "id").select("class_id", "file", "text"), code.filter(is_test).select("file", "text"))
+    # Texts are estimated at the size of the table that they are made from: without the hint the driver gathers them to broadcast.
+    return best(code.filter(~is_test).join(classes.hint("shuffle_merge"), "id").select("class_id", "file", "text"), code.filter(is_test).select("file", "text"))
 
 
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:

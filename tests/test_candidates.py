@@ -58,3 +58,10 @@ def test_ranks(spark, n):
     got = {r.id: r["rank"] for r in candidates.ranked(rows, [F.desc("v"), F.col("id")]).collect()}
     want = {r.id: i for i, r in enumerate(sorted(rows.collect(), key=lambda r: (-r.v, r.id)), 1)}
     assert got == want
+
+
+def test_texts_are_not_for_the_driver_to_gather(spark, monkeypatch):
+    monkeypatch.setattr(candidates.clones, "clone_classes", lambda rows: rows.select("id", F.col("id").alias("class_id")))
+    monkeypatch.setattr(candidates, "best", lambda members, tests: members)
+    plan = candidates._best(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
